@@ -36,9 +36,9 @@ def number_rows(df: DataFrame, key: str, tie: list[str] | None = None, chunk: in
     )
 
 
-def progress_marks(entries: DataFrame, key: str, every: int = PROGRESS_MARK, chunk: int = CHUNK) -> DataFrame:
+def progress_marks(entries: DataFrame, key: str, tie: list[str] | None = None, every: int = PROGRESS_MARK) -> DataFrame:
     """Every ``every``-th entry of a build, errors included."""
-    return number_rows(entries, key, chunk=chunk).where(F.col("n") % every == 0)
+    return number_rows(entries, key, tie).where(F.col("n") % every == 0)
 
 
 def commit_batches(changes: DataFrame, key: str, tie: list[str] | None = None, size: int = COMMIT_BATCH) -> DataFrame:

@@ -14,16 +14,17 @@ FILES = _table(
     ("path", _S), ("is_dir", _B), ("size", _L), ("mtime", T.TimestampType()), ("error", _S)
 )
 
-DOCS = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I))
+# ``segment`` (and below it ``bucket``) are partition folders of the stored index.
+DOCS = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I), ("segment", _S))
 
 # ``dl`` (tokens in the document) rides along so that ranking needs no join.
 # ``bucket`` comes from the term, ``shard`` from the document.
 POSTINGS = _table(
     ("term", _S), ("doc_id", _L), ("tf", _I), ("dl", _I), ("positions", T.ArrayType(_I)),
-    ("shard", _I), ("bucket", _I),
+    ("shard", _I), ("segment", _S), ("bucket", _I),
 )
-TERMS = _table(("term", _S), ("df", _L), ("bucket", _I))
-DEAD = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I))
+TERMS = _table(("term", _S), ("df", _L), ("segment", _S), ("bucket", _I))
+DEAD = DOCS
 
 # ``exists_after[i]`` tells whether ``paths[i]`` was present after the event.
 FS_EVENTS = _table(

@@ -5,13 +5,13 @@ a new segment (documents, postings, term counts, ids of documents it removed) an
 publishes the next generation file, so readers see whole commits only and a commit costs
 about the size of its batch. ``compact`` folds the segments into one.
 
-Layout of a segment:
+Folders:
 
-* ``postings/bucket=N/`` sorted by term; ``bucket`` is a hash of the term, and within a
-  bucket documents are spread over ``shards`` files, so a term found in a third of all
-  documents is neither written nor read by a single task;
-* ``terms/bucket=N/``: signed document counts, added up over segments;
-* ``docs/`` in id order; ``dead/`` removed documents.
+* ``postings/segment=S/bucket=N/`` sorted by term; ``bucket`` is a hash of the term, and
+  within a bucket documents are spread over ``shards`` files, so a term found in a third
+  of all documents is neither written nor read by a single task;
+* ``terms/segment=S/bucket=N/``: signed document counts, added up over segments;
+* ``docs/segment=S/`` in id order; ``dead/segment=S/`` removed documents.
 """
 
 from __future__ import annotations
@@ -88,10 +88,14 @@ class IndexTable:
 
     # ------------------------------------------------------------ read
 
+    def _folder(self, kind: str, segment: str) -> str:
+        return f"{self.root}/{kind}/segment={segment}"
+
     def _read(self, schema, kind: str, segments: list[str]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s}/{kind}" for s in segments])
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}")
+        return reader.parquet(*[self._folder(kind, s) for s in segments])
 
     def _alive(self, rows: DataFrame) -> DataFrame:
         """Rows of live documents. Catalyst sizes the removed ids from their files."""
@@ -144,22 +148,20 @@ class IndexTable:
         g = self.generation
         if stream and g.streams.get(stream[0], -1) >= stream[1]:
             return self
-        segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.root}/{segment}"
-        gone = self._write_dead(base, deletes) if deletes is not None else None
-        new = self._write_docs(base, adds) if adds is not None else None
+        segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
+        gone = self._write_dead(segment, deletes) if deletes is not None else None
+        new = self._write_docs(segment, adds) if adds is not None else None
 
         changed = []
         if new is not None:
-            write_postings(
-                build_postings(new, "name", g.tokenizer), f"{base}/postings", g.buckets, g.shards
-            )
-            changed.append(doc_frequency(self.spark.read.schema(POSTINGS).parquet(f"{base}/postings")))
+            postings = build_postings(new, "name", g.tokenizer)
+            write_postings(postings, self._folder("postings", segment), g.buckets, g.shards)
+            changed.append(doc_frequency(self._read(POSTINGS, "postings", [segment])))
         if gone is not None:
             words = gone.select(F.explode(F.array_distinct(tokenize("name", g.tokenizer))).alias("term"))
             changed.append(words.groupBy("term").agg((-F.count("*")).alias("df")))
         if changed:
-            write_terms(changed, f"{base}/terms", g.buckets)
+            write_terms(changed, self._folder("terms", segment), g.buckets)
 
         added, added_tokens, last_id = _totals(new)
         removed, removed_tokens, _ = _totals(gone)
@@ -175,28 +177,28 @@ class IndexTable:
             streams={**g.streams, stream[0]: stream[1]} if stream else g.streams,
         ))._publish()
 
-    def _write_docs(self, base: str, adds: DataFrame) -> DataFrame:
+    def _write_docs(self, segment: str, adds: DataFrame) -> DataFrame:
         name = F.col("name") if "name" in adds.columns else derive_name("path")
         if "doc_id" in adds.columns:
             doc_id = F.col("doc_id")
         else:
             if self.generation.next_id > MAX_ID:
-                raise OverflowError("document ids are used up; compact the index")
+                raise OverflowError("document ids are used up; rebuild the index")
             # Unique without a global order; fixed by this write, which all later steps read.
             doc_id = F.lit(self.generation.next_id) + F.monotonically_increasing_id()
         docs = doc_lengths(
             adds.select(doc_id.cast("long").alias("doc_id"), "path", name.alias("name")),
             "name", self.generation.tokenizer,
         )
-        docs.write.parquet(f"{base}/docs")
-        return self.spark.read.schema(DOCS).parquet(f"{base}/docs")
+        docs.write.parquet(self._folder("docs", segment))
+        return self._read(DOCS, "docs", [segment])
 
-    def _write_dead(self, base: str, deletes: DataFrame) -> DataFrame:
+    def _write_dead(self, segment: str, deletes: DataFrame) -> DataFrame:
         dead = lookup_join(
             self.docs(), deletes.select("path").distinct(), "path", "left_semi", spread=F.xxhash64("doc_id")
         )
-        dead.select(*DEAD.names).write.parquet(f"{base}/dead")
-        return self.spark.read.schema(DEAD).parquet(f"{base}/dead")
+        dead.drop("segment").write.parquet(self._folder("dead", segment))
+        return self._read(DEAD, "dead", [segment])
 
     def reset(self) -> IndexTable:
         """An empty next generation; older folders are no longer referenced."""
@@ -209,11 +211,11 @@ class IndexTable:
         g = self.generation
         if len({*g.docs, *g.dead}) <= 1 or not g.docs:
             return self
-        segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.root}/{segment}"
-        self.docs().write.parquet(f"{base}/docs")
-        write_postings(self.postings().drop("bucket", "shard"), f"{base}/postings", g.buckets, g.shards)
-        write_terms([self.terms().select("term", "df")], f"{base}/terms", g.buckets)
+        segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
+        self.docs().drop("segment").write.parquet(self._folder("docs", segment))
+        postings = self.postings().drop("segment", "bucket", "shard")
+        write_postings(postings, self._folder("postings", segment), g.buckets, g.shards)
+        write_terms([self.terms().select("term", "df")], self._folder("terms", segment), g.buckets)
         return IndexTable(
             self.spark, self.root, replace(g, number=g.number + 1, docs=[segment], dead=[])
         )._publish()
