@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .joins import lookup_join
+from .joins import fits_broadcast, lookup_join
 
 
 def union_catalogs(first: DataFrame, second: DataFrame, prefix: str = "") -> DataFrame:
@@ -33,9 +33,11 @@ def overlay_catalogs(first: DataFrame, second: DataFrame, value: list[str]) -> D
 
 def load_assets(wanted: DataFrame, first: DataFrame, second: DataFrame, value: list[str]) -> DataFrame:
     """Wanted paths with their overlaid values; ``found`` is false where neither has the path."""
-    relevant = [lookup_join(c, wanted, "path", "left_semi") for c in (first, second)]
+    paths = wanted.select("path").distinct()
+    small = fits_broadcast(paths)
+    relevant = [lookup_join(c, paths, "path", "left_semi", small=small) for c in (first, second)]
     merged = overlay_catalogs(*relevant, value)
-    return lookup_join(wanted, merged, "path", "left").withColumn("found", F.col("layer").isNotNull())
+    return lookup_join(wanted, merged, "path", "left", small=small).withColumn("found", F.col("layer").isNotNull())
 
 
 def kind_lookup(rows: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .filters import exclude_prefix
-from .joins import lookup_join
+from .joins import fits_broadcast, lookup_join
 
 # Changes of one path are counted per range of this many sequence numbers.
 CHUNK = 1 << 16
@@ -41,10 +41,11 @@ def resolve_rename(changes: DataFrame, files: DataFrame | None = None) -> DataFr
         return changes
     # Only renames without the flag look at the catalogue, each path once.
     open_paths = changes.where("op = 'rename' AND exists_after IS NULL").select("path").distinct()
-    present = lookup_join(files.select("path").distinct(), open_paths, "path", "left_semi")
+    small = fits_broadcast(open_paths)
+    present = lookup_join(files.select("path"), open_paths, "path", "left_semi", small=small).distinct()
     known = present.withColumn("_present", F.lit(True))
     return (
-        lookup_join(changes, known, "path", "left", spread=F.xxhash64("seq", "pos"))
+        lookup_join(changes, known, "path", "left", spread=F.xxhash64("seq", "pos"), small=small)
         .withColumn("exists_after", F.coalesce("exists_after", "_present", F.lit(False)))
         .drop("_present")
     )

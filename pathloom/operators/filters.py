@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import parent
-from .joins import lookup_join
+from .joins import fits_broadcast, lookup_join
 
 # A prefix list up to this length becomes one predicate that reaches the scan.
 INLINE_PREFIXES = 200
+# A prefix frame with up to this many distinct lengths is matched length by length.
+INLINE_LENGTHS = 32
 
 
 def starts_with_any(path: Column | str, prefixes: list[str], component: bool = False) -> Column:
@@ -28,34 +30,49 @@ def starts_with_any(path: Column | str, prefixes: list[str], component: bool = F
     return reduce(lambda a, b: a | b, (hit(p) for p in prefixes), F.lit(False))
 
 
-def _excluded_keys(keys: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
-    """Distinct values of ``key`` that start with any row of ``prefixes(prefix)``.
+def _without_prefixes(df: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` starts with no row of ``prefixes(prefix)``; NULL keys stay.
 
-    Each value is cut to the distinct prefix lengths (a scalar array, at most the
-    longest path long) and the pieces meet the prefixes by equality, so no row is
-    compared with every prefix.
+    No row is compared with every prefix: a prefix of length n can only equal the first
+    n characters of the key. Few prefixes of few lengths become one broadcast anti join
+    per length, a single pass without a shuffle.
     """
-    lengths = prefixes.select(F.collect_set(F.length("prefix"))).scalar()
+    prefixes = prefixes.select("prefix").where(F.col("prefix").isNotNull()).distinct()
+    sized = prefixes.withColumn("n", F.char_length("prefix"))
+    lengths = [r["n"] for r in sized.select("n").distinct().limit(INLINE_LENGTHS + 1).collect()]
+    if len(lengths) <= INLINE_LENGTHS and fits_broadcast(prefixes):
+        for n in sorted(lengths):
+            listed = sized.where(F.col("n") == n).select(F.col("prefix").alias("_cut"))
+            cut = F.when(F.char_length(key) >= n, F.substring(F.col(key), 1, n))
+            df = df.withColumn("_cut", cut).join(F.broadcast(listed), "_cut", "left_anti").drop("_cut")
+        return df
+    # Any number of prefixes: cut each distinct key at every prefix length (a scalar
+    # array) and match by equality. The prefixes are salted, as one may cover most keys.
     cuts = (
-        keys.select(key).where(F.col(key).isNotNull()).distinct()
-        .withColumn("_n", F.explode(lengths))
-        .where(F.col("_n") <= F.length(key))
+        df.select(key).where(F.col(key).isNotNull()).distinct()
+        .withColumn("_n", F.explode(sized.select(F.collect_set("n")).scalar()))
+        .where(F.col("_n") <= F.char_length(key))
         .select(key, F.substring(F.col(key), F.lit(1), F.col("_n")).alias("prefix"))
     )
-    return lookup_join(cuts, prefixes, "prefix", "left_semi", spread=F.xxhash64(key)).select(key).distinct()
+    hit = lookup_join(cuts, prefixes, "prefix", "left_semi", spread=F.xxhash64(key), small=False)
+    return df.join(hit.select(key).distinct(), key, "left_anti")
+
+
+def _drop_by_prefix(df: DataFrame, key: str, prefixes: list[str] | DataFrame) -> DataFrame:
+    if isinstance(prefixes, list):
+        if len(prefixes) <= INLINE_PREFIXES:
+            return df.where(~F.coalesce(starts_with_any(key, prefixes), F.lit(False)))
+        prefixes = df.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    return _without_prefixes(df, key, prefixes)
 
 
 def exclude_prefix(df: DataFrame, prefixes: list[str] | DataFrame, path: str = "path") -> DataFrame:
     """Drop rows whose path starts with an excluded string.
 
-    A list (up to ``INLINE_PREFIXES``) is a plain predicate without any join; a frame
-    with a ``prefix`` column of any size is matched by equality on cut prefixes.
+    A list (up to ``INLINE_PREFIXES``) is a plain predicate that reaches the scan; a
+    frame with a ``prefix`` column may have any size.
     """
-    if isinstance(prefixes, list):
-        if len(prefixes) <= INLINE_PREFIXES:
-            return df.where(~F.coalesce(starts_with_any(path, prefixes), F.lit(False)))
-        prefixes = df.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
-    return lookup_join(df, _excluded_keys(df, path, prefixes), path, "left_anti")
+    return _drop_by_prefix(df, path, prefixes)
 
 
 def prune_subtrees(
@@ -71,12 +88,7 @@ def prune_subtrees(
     root = F.lit(root) if isinstance(root, str) else root
     up = parent(path)
     inner = F.when(F.char_length(up) > F.char_length(root), up)
-    if isinstance(prefixes, list) and len(prefixes) <= INLINE_PREFIXES:
-        return files.where(~F.coalesce(starts_with_any(inner, prefixes), F.lit(False)))
-    if isinstance(prefixes, list):
-        prefixes = files.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
-    keyed = files.withColumn("_up", inner)
-    return lookup_join(keyed, _excluded_keys(keyed, "_up", prefixes), "_up", "left_anti").drop("_up")
+    return _drop_by_prefix(files.withColumn("_up", inner), "_up", prefixes).drop("_up")
 
 
 def partition_roots(roots: DataFrame, excludes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to learn whether ``df`` is small."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` is small, by rows and by bytes; reads at most ``max_rows + 1`` rows."""
+    width = F.lit(0)
+    for column, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        else:
+            width = width + F.lit(8)
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(

@@ -75,7 +75,3 @@ def term_bucket(term: Column | str, buckets: int) -> Column:
     term = F.col(term) if isinstance(term, str) else term
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-
-def doc_shard(doc_id: Column | str, shards: int) -> Column:
-    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")

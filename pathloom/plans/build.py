@@ -14,9 +14,12 @@ from ..sources.settings import RESET_STATE, append_log, index_staleness, latest,
 
 
 def plan_roots(files: DataFrame, excludes: DataFrame, root: str = "/") -> tuple[DataFrame, DataFrame]:
-    """(roots to crawl, excludes still to apply inside them)."""
+    """(roots to crawl, excludes still to apply inside them).
+
+    Both are a few rows that later steps use repeatedly, hence the checkpoints.
+    """
     excluded, remaining = partition_roots(list_roots(files, root), excludes)
-    return remaining, remaining_excludes(excludes, excluded)
+    return remaining.checkpoint(), remaining_excludes(excludes, excluded).checkpoint()
 
 
 def crawl_entries(files: DataFrame, roots: DataFrame, excludes: DataFrame | list[str]) -> DataFrame:

@@ -18,10 +18,9 @@ FILES = _table(
 DOCS = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I), ("segment", _S))
 
 # ``dl`` (tokens in the document) rides along so that ranking needs no join.
-# ``bucket`` comes from the term, ``shard`` from the document.
 POSTINGS = _table(
     ("term", _S), ("doc_id", _L), ("tf", _I), ("dl", _I), ("positions", T.ArrayType(_I)),
-    ("shard", _I), ("segment", _S), ("bucket", _I),
+    ("segment", _S), ("bucket", _I),
 )
 TERMS = _table(("term", _S), ("df", _L), ("segment", _S), ("bucket", _I))
 DEAD = DOCS

@@ -7,9 +7,9 @@ about the size of its batch. ``compact`` folds the segments into one.
 
 Folders:
 
-* ``postings/segment=S/bucket=N/`` sorted by term; ``bucket`` is a hash of the term, and
-  within a bucket documents are spread over ``shards`` files, so a term found in a third
-  of all documents is neither written nor read by a single task;
+* ``postings/segment=S/bucket=N/``; ``bucket`` is a hash of the term. Rows are range
+  partitioned by (bucket, term, document), so files have tight term ranges and a term
+  found in a third of all documents is spread over as many files as its size needs;
 * ``terms/segment=S/bucket=N/``: signed document counts, added up over segments;
 * ``docs/segment=S/`` in id order; ``dead/segment=S/`` removed documents.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.paths import derive_name
 from ..functions.text import tokenize
 from ..operators.joins import lookup_join
-from ..operators.postings import build_postings, doc_frequency, doc_lengths, doc_shard, term_bucket
+from ..operators.postings import build_postings, doc_frequency, doc_lengths, term_bucket
 from ..operators.ranking import IndexView
 from ..schemas import DEAD, DOCS, POSTINGS, TERMS
 from .storage import list_names, publish_text, read_text
@@ -39,7 +39,6 @@ class Generation:
 
     number: int = 0
     buckets: int = 64
-    shards: int = 8
     tokenizer: str = "mixed"
     docs: list[str] = field(default_factory=list)
     dead: list[str] = field(default_factory=list)
@@ -60,10 +59,10 @@ class IndexTable:
 
     @classmethod
     def create(
-        cls, spark: SparkSession, root: str, buckets: int = 64, shards: int = 8, tokenizer: str = "mixed"
+        cls, spark: SparkSession, root: str, buckets: int = 64, tokenizer: str = "mixed"
     ) -> IndexTable:
-        """An empty index. Size ``buckets`` by vocabulary, ``shards`` by document count."""
-        return cls(spark, root, Generation(buckets=buckets, shards=shards, tokenizer=tokenizer))._publish()
+        """An empty index. Size ``buckets`` by the vocabulary."""
+        return cls(spark, root, Generation(buckets=buckets, tokenizer=tokenizer))._publish()
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, number: int | None = None) -> IndexTable:
@@ -155,7 +154,7 @@ class IndexTable:
         changed = []
         if new is not None:
             postings = build_postings(new, "name", g.tokenizer)
-            write_postings(postings, self._folder("postings", segment), g.buckets, g.shards)
+            write_postings(postings, self._folder("postings", segment), g.buckets)
             changed.append(doc_frequency(self._read(POSTINGS, "postings", [segment])))
         if gone is not None:
             words = gone.select(F.explode(F.array_distinct(tokenize("name", g.tokenizer))).alias("term"))
@@ -203,7 +202,7 @@ class IndexTable:
     def reset(self) -> IndexTable:
         """An empty next generation; older folders are no longer referenced."""
         g = self.generation
-        fresh = Generation(number=g.number + 1, buckets=g.buckets, shards=g.shards, tokenizer=g.tokenizer)
+        fresh = Generation(number=g.number + 1, buckets=g.buckets, tokenizer=g.tokenizer)
         return IndexTable(self.spark, self.root, fresh)._publish()
 
     def compact(self) -> IndexTable:
@@ -213,8 +212,8 @@ class IndexTable:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         self.docs().drop("segment").write.parquet(self._folder("docs", segment))
-        postings = self.postings().drop("segment", "bucket", "shard")
-        write_postings(postings, self._folder("postings", segment), g.buckets, g.shards)
+        postings = self.postings().drop("segment", "bucket")
+        write_postings(postings, self._folder("postings", segment), g.buckets)
         write_terms([self.terms().select("term", "df")], self._folder("terms", segment), g.buckets)
         return IndexTable(
             self.spark, self.root, replace(g, number=g.number + 1, docs=[segment], dead=[])
@@ -229,16 +228,15 @@ def _totals(docs: DataFrame | None) -> tuple[int, int, int]:
     return tuple(row)
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int, shards: int) -> None:
-    """Term buckets as partitions, each spread over document shards and sorted by term."""
-    placed = postings.withColumn("bucket", term_bucket("term", buckets)).withColumn(
-        "shard", doc_shard("doc_id", shards)
-    )
-    (
-        placed.repartition("bucket", "shard")
-        .sortWithinPartitions("bucket", "term", "doc_id")
-        .write.partitionBy("bucket").parquet(path)
-    )
+def write_postings(postings: DataFrame, path: str, buckets: int) -> None:
+    """Term buckets as folders, rows range partitioned and sorted by term and document.
+
+    Sampled ranges give every task about the same number of rows, whatever the term
+    frequencies are.
+    """
+    order = ["bucket", "term", "doc_id"]
+    placed = postings.withColumn("bucket", term_bucket("term", buckets))
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
 
 
 def write_terms(counts: list[DataFrame], path: str, buckets: int) -> None:

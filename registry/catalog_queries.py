@@ -11,7 +11,7 @@ from pathloom.session import work_dir
 from pathloom.sources import catalog as C
 
 from .tables import (
-    AS_OF, FILES_SQL, NAMED_SQL, catalog, docs, fs_events, files, k_of, register, rooted_files, table,
+    AS_OF, FILES_SQL, NAMED_SQL, catalog, docs, files, k_of, manifest, register, rooted_files, table,
 )
 
 NAME = "regexp_extract(path, '([^/]+)/*\\z', 1)"
@@ -216,7 +216,7 @@ ex AS (SELECT DISTINCT {ROOT} AS prefix FROM files WHERE contains(path, '/es/')
 
 
 def _root_excludes(spark, sf_dir):
-    spanish = files(spark, sf_dir).where(F.col("path").contains("/es/")).select(P.root_of("path").alias("prefix"))
+    spanish = manifest(spark, sf_dir).where(F.col("path").contains("/es/")).select(P.root_of("path").alias("prefix"))
     return spanish.unionByName(spark.createDataFrame([("/m.",), ("/none",)], "prefix string")).distinct()
 
 
@@ -226,7 +226,7 @@ def _root_excludes(spark, sf_dir):
 )
 def partition_roots(spark, sf_dir):
     excluded, remaining = filters.partition_roots(
-        C.list_roots(files(spark, sf_dir)), _root_excludes(spark, sf_dir)
+        C.list_roots(manifest(spark, sf_dir)), _root_excludes(spark, sf_dir)
     )
     return excluded.withColumn("excluded", F.lit(True)).unionByName(remaining.withColumn("excluded", F.lit(False)))
 
@@ -237,7 +237,7 @@ def partition_roots(spark, sf_dir):
 )
 def remaining_excludes(spark, sf_dir):
     excludes = _root_excludes(spark, sf_dir)
-    excluded, _ = filters.partition_roots(C.list_roots(files(spark, sf_dir)), excludes)
+    excluded, _ = filters.partition_roots(C.list_roots(manifest(spark, sf_dir)), excludes)
     return filters.remaining_excludes(excludes, excluded)
 
 
@@ -269,7 +269,7 @@ def crawl_count(spark, sf_dir):
 SELECT root, round(row_number() OVER (ORDER BY root) / CAST(count(*) OVER () AS DOUBLE) * 100, 6) AS percent FROM r""",
 )
 def progress(spark, sf_dir):
-    _, roots = filters.partition_roots(C.list_roots(files(spark, sf_dir)), _root_excludes(spark, sf_dir))
+    _, roots = filters.partition_roots(C.list_roots(manifest(spark, sf_dir)), _root_excludes(spark, sf_dir))
     done = numbering.progress(roots.withColumnRenamed("path", "root"))
     return done.select("root", F.round("percent", 6).alias("percent"))
 
@@ -364,6 +364,6 @@ SELECT root, path FROM e WHERE root IN (SELECT path FROM keep)
   AND NOT EXISTS (SELECT 1 FROM rest WHERE length(up) > length(root) AND starts_with(up, prefix))""",
 )
 def crawl_entries_query(spark, sf_dir):
-    everything = files(spark, sf_dir)
+    everything = manifest(spark, sf_dir)
     roots, excludes = plan_roots(everything, _root_excludes(spark, sf_dir))
     return crawl_entries(everything, roots, excludes).select("root", "path")

@@ -16,7 +16,7 @@ from pathloom.streaming.requests import answer_stream, read_queries
 
 from .catalog_queries import PARENT, ROOT, ROOTS_SQL, _root_excludes
 from .search_queries import BATCH_SQL
-from .tables import FEED_SQL, NAMED_SQL, docs, files, fs_events, index_of, k_of, kv_log, register, requests, table
+from .tables import FEED_SQL, NAMED_SQL, docs, fs_events, index_of, k_of, kv_log, manifest, register, requests, table
 
 NOW = 1706659200
 
@@ -247,8 +247,8 @@ def init_index_query(spark, sf_dir):
         excludes.select(F.lit("default_exclude_path").alias("key"), "value", F.lit(1).alias("version"), F.lit(9).alias("ord")),
         path,
     )
-    empty = IndexTable.create(spark, work_dir(spark, "files"), buckets=8, shards=2)
-    init_index(empty, files(spark, sf_dir), path, NOW, "v1")
+    empty = IndexTable.create(spark, work_dir(spark, "files"), buckets=8)
+    init_index(empty, manifest(spark, sf_dir), path, NOW, "v1")
     return K.list_settings(K.read_log(spark, path)).where("key <> 'default_exclude_path'")
 
 
@@ -278,7 +278,7 @@ def _run_feed(spark, sf_dir, excludes=(), index_root=None):
     """Feed the events in three uneven instalments, restarting the stream for each."""
     base = work_dir(spark, "watch")
     root = index_root or f"{base}/index"
-    IndexTable.open_or_create(spark, root, buckets=4, shards=2)
+    IndexTable.open_or_create(spark, root, buckets=4)
     events = fs_events(spark, sf_dir)
     a, b = _cuts(spark, sf_dir)
     seq = F.col("seq")
@@ -320,7 +320,7 @@ def stream_count(spark, sf_dir):
 def start_gate(spark, sf_dir):
     """A bulk build covers the first half; the stream then brings the whole backlog."""
     _, half = _cuts(spark, sf_dir)
-    empty = IndexTable.create(spark, f"{work_dir(spark, 'gate')}/index", buckets=4, shards=2)
+    empty = IndexTable.create(spark, f"{work_dir(spark, 'gate')}/index", buckets=4)
     covered = M.replay_log(_actions(spark, sf_dir).where(F.col("seq") < half))
     copies = covered.select("path", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("path")
     empty.commit(adds=copies, snapshot_seq=half - 1)
@@ -341,7 +341,7 @@ def event_errors(spark, sf_dir):
     line = F.to_json(F.struct(*events.columns))
     torn = F.substring(line, F.lit(1), F.length(line) - 5)
     events.join(marks, "seq").select(F.when(F.col("cut"), torn).otherwise(line).alias("value")).write.text(f"{base}/in")
-    IndexTable.create(spark, f"{base}/index", buckets=4, shards=2)
+    IndexTable.create(spark, f"{base}/index", buckets=4)
 
     def split(batch, batch_id):
         good, bad = split_bad_events(batch)

@@ -16,8 +16,8 @@ from pathloom.sources.index_table import IndexTable
 
 from .catalog_queries import DAY, PARENT, ROOT, ROOTS_SQL, _root_excludes
 from .tables import (
-    AS_OF, CORPUS_SQL, HAN_SQL, NAMED_SQL, REQUESTS_SQL, catalog, corpus, docs, files, han_names, index_of,
-    register, requests, table,
+    AS_OF, CORPUS_SQL, HAN_SQL, NAMED_SQL, REQUESTS_SQL, catalog, corpus, docs, han_names, index_of,
+    manifest, register, requests, table,
 )
 
 # ---------------------------------------------------------------- text
@@ -127,7 +127,7 @@ def changed_index(spark, sf_dir) -> IndexTable:
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
     sized = docs(spark, sf_dir).join(sizes, "doc_id")
     again = sized.where("p_size <= 5").select((F.col("doc_id") + 1000000000).alias("doc_id"), "path")
-    first = IndexTable.create(spark, work_dir(spark, "changed"), buckets=8, shards=2).commit(adds=docs(spark, sf_dir))
+    first = IndexTable.create(spark, work_dir(spark, "changed"), buckets=8).commit(adds=docs(spark, sf_dir))
     return first.commit(adds=again, deletes=sized.where("p_size > 45"))
 
 
@@ -164,9 +164,9 @@ FROM e WHERE root IN (SELECT path FROM keep)
   AND NOT EXISTS (SELECT 1 FROM rest WHERE length(up) > length(root) AND starts_with(up, prefix))""",
 )
 def index_files_query(spark, sf_dir):
-    everything = files(spark, sf_dir)
+    everything = manifest(spark, sf_dir)
     roots, excludes = plan_roots(everything, _root_excludes(spark, sf_dir))
-    empty = IndexTable.create(spark, work_dir(spark, "files"), buckets=8, shards=2)
+    empty = IndexTable.create(spark, work_dir(spark, "files"), buckets=8)
     built, _ = index_files(empty, crawl_entries(everything, roots, excludes))
     return built.docs().select("path", F.col("dl").cast("long").alias("dl"))
 

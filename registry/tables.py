@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathloom.functions.paths import root_of
 from pathloom.session import work_dir
+from pathloom.sources.catalog import scan_files
 from pathloom.sources.index_table import IndexTable
 
 AS_OF = dt.date(2024, 6, 1)
@@ -92,6 +93,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_MANIFESTS: dict[tuple[str, str], str] = {}
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same catalogue as a stored manifest, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MANIFESTS:
+        _MANIFESTS[key] = work_dir(spark, "manifest")
+        files(spark, sf_dir).write.parquet(_MANIFESTS[key])
+    return scan_files(spark, _MANIFESTS[key])
+
+
 def rooted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).withColumn("root", root_of("path"))
 
@@ -226,7 +239,7 @@ def index_of(spark: SparkSession, sf_dir: str, kind: str) -> IndexTable:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _INDEXES:
         source = corpus(spark, sf_dir) if kind == "corpus" else docs(spark, sf_dir)
-        empty = IndexTable.create(spark, work_dir(spark, f"index-{kind}"), buckets=16, shards=4)
+        empty = IndexTable.create(spark, work_dir(spark, f"index-{kind}"), buckets=16)
         _INDEXES[key] = empty.commit(adds=source)
     return _INDEXES[key]
 
