@@ -70,9 +70,9 @@ def clause_terms(clauses: DataFrame, tokenizer: str = "mixed") -> DataFrame:
     tokens = clauses.withColumn("tokens", tokenize("text", tokenizer)).where(F.size("tokens") > 0)
     # A query is a handful of clauses, so this window sees small groups only.
     of_query = Window.partitionBy("query_id")
-    return tokens.select(
-        "query_id", "clause", "occur",
-        F.count_if(F.col("occur") == "must").over(of_query).cast("int").alias("n_must"),
+    musts = F.count_if(F.col("occur") == "must").over(of_query).cast("int")
+    return tokens.withColumn("n_must", musts).select(
+        "query_id", "clause", "occur", "n_must",
         F.size("tokens").alias("n_terms"),
         F.posexplode("tokens").alias("offset", "term"),
     )
