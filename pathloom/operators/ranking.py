@@ -127,9 +127,8 @@ def _restrict(view: IndexView, clauses: DataFrame) -> tuple[DataFrame, DataFrame
 def clause_hits(view: IndexView, clauses: DataFrame, small: bool | None = None) -> DataFrame:
     """One row per matching clause and document, with tf, dl and idf.
 
-    Term clauses take postings as they are. For a phrase, the position lists of its
-    terms are shifted by the term's place and intersected, so ``tf`` is the number of
-    places where the words stand in order; its idf is the sum over its terms.
+    Term clauses take postings as they are. For a phrase, ``tf`` is the number of places
+    where its terms stand in order, and its idf is the sum over them.
     """
     key = ["term"]
     if view.buckets:
@@ -146,35 +145,62 @@ def clause_hits(view: IndexView, clauses: DataFrame, small: bool | None = None)
         known = lookup_join(clauses, vocabulary, key, spread=F.xxhash64("query_id", "clause"))
     of_clause = ["query_id", "clause", "occur", "n_must"]
     known = known.select(
-        *key, *of_clause, "offset", "n_terms", idf(view.n_docs, F.col("df")).alias("idf")
+        *key, *of_clause, "offset", "n_terms", "df", idf(view.n_docs, F.col("df")).alias("idf")
     )
-
     hit = [*of_clause, "doc_id", "tf", "dl", "idf"]
-    spread = F.xxhash64("doc_id")
     singles = lookup_join(
         postings.select(*key, "doc_id", "tf", "dl"),
-        known.where("n_terms = 1"), key, spread=spread, small=small,
+        known.where("n_terms = 1"), key, spread=F.xxhash64("doc_id"), small=small,
     ).select(*hit)
     if clauses.where("n_terms > 1").isEmpty():
         return singles
+    phrases = _phrase_hits(postings, known.where("n_terms > 1"), key, of_clause, small)
+    return singles.unionByName(phrases.select(*hit))
 
-    parts = lookup_join(
-        postings.select(*key, "doc_id", "dl", "positions"),
-        known.where("n_terms > 1"), key, spread=spread, small=small,
-    ).withColumn("starts", F.transform("positions", lambda p: p - F.col("offset")))
-    # At most n_terms rows meet in a group: those of one phrase in one document.
-    phrases = (
-        parts.groupBy(*of_clause, "doc_id", "n_terms")
-        .agg(F.collect_list("starts").alias("lists"), F.sum("idf").alias("idf"), F.max("dl").alias("dl"))
-        .where(F.size("lists") == F.col("n_terms"))
-        .withColumn(
-            "tf",
-            F.size(F.aggregate("lists", F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b))),
-        )
-        .where("tf > 0")
-        .select(*hit)
+
+def _phrase_hits(
+    postings: DataFrame, known: DataFrame, key: list[str], of_clause: list[str], small: bool
+) -> DataFrame:
+    """Documents where the terms of a phrase stand in order.
+
+    The rarest term of each phrase proposes (document, start) candidates; every other
+    term of the phrase is then looked up in just those documents, by (term, document),
+    which no frequent word can skew. Frequent words are thus never copied once per
+    phrase they occur in.
+    """
+    # Sized like the queries and used three times below: written once.
+    whole = Window.partitionBy(*of_clause)
+    place = F.row_number().over(whole.orderBy("df", "offset"))
+    ranked = known.select(
+        *key, *of_clause, "offset", "n_terms", place.alias("place"),
+        F.count("*").over(whole).alias("n_known"), F.sum("idf").over(whole).alias("phrase_idf"),
+    ).where(F.col("n_known") == F.col("n_terms")).checkpoint()
+
+    shifted = F.transform("positions", lambda p: p - F.col("offset"))
+    lead = lookup_join(
+        postings.select(*key, "doc_id", "dl", "positions"), ranked.where("place = 1"), key,
+        spread=F.xxhash64("doc_id"), small=small,
+    ).select(*of_clause, "doc_id", "dl", "n_terms", "phrase_idf", shifted.alias("starts"))
+    others = ranked.where("place > 1").select(*key, *of_clause, "offset")
+    wanted = lookup_join(lead, others, of_clause, spread=F.xxhash64("doc_id"), small=small)
+
+    relevant = lookup_join(
+        postings.select(*key, "doc_id", "positions"), others, key, "left_semi",
+        spread=F.xxhash64("doc_id"), small=small,
+    )
+    # One row per start where a term agrees with the rarest one: few, and counted before
+    # the shuffle. A start that all other terms agree on is an occurrence of the phrase.
+    agreed = wanted.join(relevant, [*key, "doc_id"]).select(
+        *of_clause, "doc_id", "dl", "n_terms", "phrase_idf",
+        F.explode(F.array_intersect("starts", shifted)).alias("start"),
+    )
+    of_hit = [*of_clause, "doc_id", "dl", "n_terms", "phrase_idf"]
+    return (
+        agreed.groupBy(*of_hit, "start").agg(F.count("*").alias("agreeing"))
+        .where("agreeing = n_terms - 1")
+        .groupBy(*of_hit).agg(F.count("*").alias("tf"))
+        .withColumnRenamed("phrase_idf", "idf")
     )
-    return singles.unionByName(phrases)
 
 
 def score_hits(view: IndexView, hits: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ about the size of its batch. ``compact`` folds the segments into one.
 
 Folders:
 
-* ``postings/segment=S/bucket=N/``; ``bucket`` is a hash of the term. Rows are range
-  partitioned by (bucket, term, document), so files have tight term ranges and a term
-  found in a third of all documents is spread over as many files as its size needs;
+* ``postings/segment=S/bucket=N/`` sorted by term; ``bucket`` is a hash of the term. A
+  bucket has as many files as its size needs, so a term found in a third of all
+  documents is neither written nor read by a single task;
 * ``terms/segment=S/bucket=N/``: signed document counts, added up over segments;
 * ``docs/segment=S/`` in id order; ``dead/segment=S/`` removed documents.
 """
@@ -229,14 +229,14 @@ def _totals(docs: DataFrame | None) -> tuple[int, int, int]:
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int) -> None:
-    """Term buckets as folders, rows range partitioned and sorted by term and document.
+    """Term buckets as folders, each file sorted by term and document.
 
-    Sampled ranges give every task about the same number of rows, whatever the term
-    frequencies are.
+    ``rebalance`` gathers a bucket and lets adaptive execution split it at the advisory
+    partition size, however the sizes are distributed; row groups of the sorted files
+    then have tight term ranges.
     """
-    order = ["bucket", "term", "doc_id"]
-    placed = postings.withColumn("bucket", term_bucket("term", buckets))
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    placed = postings.withColumn("bucket", term_bucket("term", buckets)).hint("rebalance", "bucket")
+    placed.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
 
 
 def write_terms(counts: list[DataFrame], path: str, buckets: int) -> None:
@@ -249,7 +249,7 @@ def write_terms(counts: list[DataFrame], path: str, buckets: int) -> None:
     (
         merged.where("df <> 0")
         .withColumn("bucket", term_bucket("term", buckets))
-        .repartition("bucket")
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket").parquet(path)
     )

@@ -17,7 +17,7 @@ from pathloom.sources.index_table import IndexTable
 from .catalog_queries import DAY, PARENT, ROOT, ROOTS_SQL, _root_excludes
 from .tables import (
     AS_OF, CORPUS_SQL, HAN_SQL, NAMED_SQL, REQUESTS_SQL, catalog, corpus, docs, han_names, index_of,
-    manifest, register, requests, table,
+    manifest, register, requests, table, texts,
 )
 
 # ---------------------------------------------------------------- text
@@ -34,7 +34,7 @@ def route_language(spark, sf_dir):
 FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS t FROM documents)""",
 )
 def tokenize_words(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.tokenize_words("text")).alias("pos", "term"))
+    tokens = texts(spark, sf_dir).select("doc_id", F.posexplode(X.tokenize_words("text")).alias("pos", "term"))
     return tokens.withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -210,8 +210,15 @@ scored AS (
 """
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, spread out where the table is one small file that a single task would read."""
+    scan = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("name")
     )
 
