@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .filters import exclude_prefix
 from .joins import fits_broadcast, lookup_join
 
-# Changes of one path are counted per range of this many sequence numbers.
+# Changes of one path are gathered per range of this many sequence numbers.
 CHUNK = 1 << 16
 
 
@@ -62,49 +62,50 @@ def route_events(
     return changes.select("seq", "pos", "path", action_of().alias("action"))
 
 
-def last_deletes(actions: DataFrame) -> DataFrame:
-    """``(path, last_del)`` of every path with a delete; one row per path leaves each task."""
-    return actions.where("action = 'delete'").groupBy("path").agg(F.max("seq").alias("last_del"))
+def net_changes(actions: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(path, chunk, last_del, copies)``: what an ordered log does to each path.
 
+    ``last_del`` is the last delete of the path (NULL without one), ``copies`` the adds of
+    one sequence range that come after it; sums over ``chunk`` give the copies of a path.
 
-def surviving_adds(actions: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``(path, chunk, copies)``: adds after the last delete of their path.
-
-    A path may own a third of the log, so its adds are first counted per fixed
-    sequence range. Ranges after the one that holds the last delete count as a whole,
-    and only that one range is compared event by event. Sums over ``chunk`` give the
-    copies of a path.
+    The log is read and shuffled once, by (path, range). A path may own a third of the
+    log, yet a group holds at most the events of one range, and only one row per range
+    goes on to the second step, where ranges before the last delete are cleared.
     """
-    dels = last_deletes(actions).withColumn("del_chunk", F.floor(F.col("last_del") / chunk).cast("long"))
-    adds = actions.where("action = 'add'").withColumn("chunk", F.floor(F.col("seq") / chunk).cast("long"))
-    whole = (
-        adds.groupBy("path", "chunk").agg(F.count("*").alias("copies"))
-        .join(dels, "path", "left")
-        .where("del_chunk IS NULL OR chunk > del_chunk")
-        .select("path", "chunk", "copies")
+    is_del = F.col("action") == "delete"
+    ranges = (
+        actions.where("action IS NOT NULL")
+        .groupBy("path", F.floor(F.col("seq") / chunk).cast("long").alias("chunk"))
+        .agg(
+            F.max(F.when(is_del, F.col("seq"))).alias("del"),
+            F.collect_list(F.when(~is_del, F.col("seq"))).alias("adds"),
+        )
+        .select(
+            "path", "chunk", "del",
+            F.size(F.filter("adds", lambda s: F.col("del").isNull() | (s > F.col("del")))).cast("long").alias("n"),
+        )
     )
-    edge = (
-        adds.join(dels.withColumnRenamed("del_chunk", "chunk"), ["path", "chunk"])
-        .where("seq > last_del")
-        .groupBy("path", "chunk").agg(F.count("*").alias("copies"))
+    of_path = Window.partitionBy("path")
+    last_del = F.max("del").over(of_path)
+    cleared = F.col("chunk") < F.floor(F.col("last_del") / chunk)
+    return ranges.select("path", "chunk", "n", last_del.alias("last_del")).select(
+        "path", "chunk", "last_del", F.when(F.coalesce(cleared, F.lit(False)), F.lit(0)).otherwise(F.col("n")).alias("copies")
     )
-    return whole.unionByName(edge)
-
-
-def replay_log(actions: DataFrame) -> DataFrame:
-    """``(path, copies)`` left by a whole ordered log."""
-    return surviving_adds(actions).groupBy("path").agg(F.sum("copies").alias("copies"))
 
 
 def batch_summary(actions: DataFrame) -> DataFrame:
     """``(path, last_del, adds_after)``, all a batch does to a path."""
-    adds = replay_log(actions).withColumnRenamed("copies", "adds_after")
-    return (
-        last_deletes(actions).join(adds, "path", "full_outer")
-        .select("path", "last_del", F.coalesce("adds_after", F.lit(0)).cast("long").alias("adds_after"))
+    return net_changes(actions).groupBy("path").agg(
+        F.max("last_del").alias("last_del"), F.sum("copies").alias("adds_after")
     )
 
 
+def replay_log(actions: DataFrame) -> DataFrame:
+    """``(path, copies)`` left by a whole ordered log."""
+    left = batch_summary(actions).select("path", F.col("adds_after").alias("copies"))
+    return left.where("copies > 0")
+
+
 def combine_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """Summary of two consecutive batches; associative, so batches may be pre-combined."""
     e, l = earlier.alias("e"), later.alias("l")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -48,3 +50,15 @@ def lookup_join(
     salted = big.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def restrict_scan(df: DataFrame, key: str, lookup: DataFrame, most: int = 128) -> DataFrame:
+    """Keep rows of ``df`` whose ``key`` is in a short, already computed ``lookup``.
+
+    Up to ``most`` values become equality filters of the scan, which skip the row groups
+    that cannot hold them. A longer lookup leaves ``df`` as it is, for a join to filter.
+    """
+    values = [r[0] for r in lookup.select(key).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        return df
+    return df.where(reduce(lambda a, b: a | b, (F.col(key) == v for v in values), F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokenize
 from ..functions.values import normalize_query
+from ..session import cut_lineage
 from .joins import fits_broadcast, lookup_join
 from .postings import corpus_stats, doc_frequency, term_bucket
 
@@ -171,10 +172,12 @@ def _phrase_hits(
     # Sized like the queries and used three times below: written once.
     whole = Window.partitionBy(*of_clause)
     place = F.row_number().over(whole.orderBy("df", "offset"))
-    ranked = known.select(
-        *key, *of_clause, "offset", "n_terms", place.alias("place"),
-        F.count("*").over(whole).alias("n_known"), F.sum("idf").over(whole).alias("phrase_idf"),
-    ).where(F.col("n_known") == F.col("n_terms")).checkpoint()
+    ranked = cut_lineage(
+        known.select(
+            *key, *of_clause, "offset", "n_terms", place.alias("place"),
+            F.count("*").over(whole).alias("n_known"), F.sum("idf").over(whole).alias("phrase_idf"),
+        ).where(F.col("n_known") == F.col("n_terms"))
+    )
 
     shifted = F.transform("positions", lambda p: p - F.col("offset"))
     lead = lookup_join(

@@ -8,6 +8,7 @@ from ..functions.paths import root_of
 from ..functions.values import parse_prefix_list
 from ..operators.filters import partition_roots, prune_subtrees, remaining_excludes
 from ..operators.joins import lookup_join
+from ..session import cut_lineage
 from ..sources.catalog import list_roots, split_errors
 from ..sources.index_table import IndexTable
 from ..sources.settings import RESET_STATE, append_log, index_staleness, latest, pairs, read_log
@@ -16,10 +17,10 @@ from ..sources.settings import RESET_STATE, append_log, index_staleness, latest,
 def plan_roots(files: DataFrame, excludes: DataFrame, root: str = "/") -> tuple[DataFrame, DataFrame]:
     """(roots to crawl, excludes still to apply inside them).
 
-    Both are a few rows that later steps use repeatedly, hence the checkpoints.
+    Both are a few rows that later steps use repeatedly, so they are written once.
     """
     excluded, remaining = partition_roots(list_roots(files, root), excludes)
-    return remaining.checkpoint(), remaining_excludes(excludes, excluded).checkpoint()
+    return cut_lineage(remaining), cut_lineage(remaining_excludes(excludes, excluded))
 
 
 def crawl_entries(files: DataFrame, roots: DataFrame, excludes: DataFrame | list[str]) -> DataFrame:

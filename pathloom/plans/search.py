@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import normalize_query
-from ..operators.joins import fits_broadcast, lookup_join
+from ..operators.joins import fits_broadcast, lookup_join, restrict_scan
 from ..operators.ranking import (
     TOP_K, IndexView, any_term_scores, clause_hits, clause_terms, local_clauses, score_hits, top_k,
     top_k_single, word_clauses,
 )
 from ..operators.results import enrich, fetch_stored, project_result
+from ..session import cut_lineage
 
 
 def search_hits(view: IndexView, q: str, tokenizer: str = "mixed", k: int = TOP_K) -> DataFrame:
@@ -26,11 +27,13 @@ def search(
     view: IndexView, files: DataFrame, q: str, as_of: dt.date, tokenizer: str = "mixed", k: int = TOP_K
 ) -> DataFrame:
     """The result page of one query, with its ``rank``."""
-    # The page has at most k rows; checkpointing it keeps the look-ups that follow from
-    # running the search again.
-    hits = search_hits(view, q, tokenizer, k).checkpoint()
-    stored = fetch_stored(hits, view.docs, small=True)
-    return project_result(enrich(stored, files, as_of, small=True), keep=("rank",))
+    # The page has at most k rows. Written once, they also serve as scan filters for the
+    # stored paths and the metadata.
+    hits = cut_lineage(search_hits(view, q, tokenizer, k))
+    docs = restrict_scan(view.docs, "doc_id", hits)
+    stored = cut_lineage(fetch_stored(hits, docs, small=True))
+    known = restrict_scan(files, "path", stored)
+    return project_result(enrich(stored, known, as_of, small=True), keep=("rank",))
 
 
 def clause_search(view: IndexView, clauses: DataFrame, tokenizer: str = "mixed", k: int = TOP_K) -> DataFrame:
@@ -49,7 +52,7 @@ def batch_hits(view: IndexView, queries: DataFrame, tokenizer: str = "mixed", k:
     asked = trimmed.groupBy("q").agg(F.min("query_id").alias("asked_id"))
     distinct = asked.select(F.col("asked_id").alias("query_id"), "q")
     # Used for sizing, pruning and matching; written once instead of tokenized each time.
-    terms = clause_terms(word_clauses(distinct), tokenizer).checkpoint()
+    terms = cut_lineage(clause_terms(word_clauses(distinct), tokenizer))
     best = top_k(any_term_scores(view, clause_hits(view, terms)), k)
     owners = lookup_join(trimmed, asked, "q", spread=F.xxhash64("query_id")).select("query_id", "asked_id")
     answers = best.withColumnRenamed("query_id", "asked_id")
@@ -62,7 +65,7 @@ def search_batch(
     view: IndexView, files: DataFrame, queries: DataFrame, as_of: dt.date, tokenizer: str = "mixed", k: int = TOP_K
 ) -> DataFrame:
     """Result pages of many queries, keyed by ``query_id``."""
-    hits = batch_hits(view, queries, tokenizer, k).checkpoint()
+    hits = cut_lineage(batch_hits(view, queries, tokenizer, k))
     small = fits_broadcast(hits)
     stored = fetch_stored(hits, view.docs, small=small)
     return project_result(enrich(stored, files, as_of, small=small), keep=("query_id", "rank"))

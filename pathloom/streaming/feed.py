@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import last_deletes, route_events, surviving_adds
+from ..operators.changes import net_changes, route_events
+from ..session import cut_lineage
 from ..sources.events import split_bad_events
 from ..sources.index_table import IndexTable
 from ..sources.settings import append_log, pairs
@@ -15,10 +16,12 @@ COMPACT_AFTER = 64
 
 def apply_actions(table: IndexTable, actions: DataFrame, stream: tuple[str, int] | None = None) -> IndexTable:
     """Commit the net effect of one batch of routed events ``(seq, path, action)``."""
-    deletes = last_deletes(actions).select("path")
-    copies = surviving_adds(actions)
+    # Far fewer rows than the batch on a busy path; read for the adds and the deletes.
+    changes = cut_lineage(net_changes(actions))
+    deletes = changes.where("last_del IS NOT NULL").select("path").distinct()
     # One document per surviving add; a row here stands for at most one sequence range.
-    adds = copies.select("path", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("path")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    adds = changes.where("copies > 0").select("path", copies).select("path")
     return table.commit(
         adds=None if adds.isEmpty() else adds,
         deletes=None if deletes.isEmpty() else deletes,
@@ -56,9 +59,7 @@ def follow(
             if bad_path:
                 bad.write.mode("overwrite").json(f"{bad_path}/batch={batch_id}")
             fresh = good.where(F.col("seq") > table.generation.snapshot_seq)
-            actions = route_events(fresh, excludes, files).where("action IS NOT NULL").persist()
-            table = apply_actions(table, actions, (name, batch_id))
-            actions.unpersist()
+            table = apply_actions(table, route_events(fresh, excludes, files), (name, batch_id))
             batch.unpersist()
             if len({*table.generation.docs, *table.generation.dead}) >= compact_after:
                 table = table.compact()

@@ -11,7 +11,8 @@ from pathloom.functions import text as X
 from pathloom.operators import postings as I, ranking as R, results as O
 from pathloom.plans import search as S
 from pathloom.plans.build import crawl_entries, index_files, plan_roots
-from pathloom.session import work_dir
+from pathloom.operators.joins import restrict_scan
+from pathloom.session import cut_lineage, work_dir
 from pathloom.sources.index_table import IndexTable
 
 from .catalog_queries import DAY, PARENT, ROOT, ROOTS_SQL, _root_excludes
@@ -218,7 +219,7 @@ def phrase_query(spark, sf_dir):
             F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " "))
         ).alias("clause", "text"),
     )
-    clauses = R.clause_terms(pairs.withColumn("occur", F.lit("should"))).checkpoint()
+    clauses = cut_lineage(R.clause_terms(pairs.withColumn("occur", F.lit("should"))))
     hits = R.clause_hits(view, clauses)
     return R.any_term_scores(view, hits).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
@@ -245,7 +246,7 @@ def bool_query(spark, sf_dir):
         .when(F.length(F.regexp_extract("text", X.WORD, 0)) > 12, F.lit("must_not"))
         .otherwise(F.lit("should"))
     )
-    clauses = R.clause_terms(words.withColumn("occur", occur)).checkpoint()
+    clauses = cut_lineage(R.clause_terms(words.withColumn("occur", occur)))
     return R.score_hits(view, R.clause_hits(view, clauses)).select(
         "query_id", "doc_id", F.round("score", 6).alias("score")
     )
@@ -275,8 +276,8 @@ def top_k(spark, sf_dir):
 @register("fetch_stored", f"WITH {CORPUS_SQL} SELECT '/doc/' || doc_id AS path, rank FROM ({TOP_SQL})")
 def fetch_stored(spark, sf_dir):
     view = index_of(spark, sf_dir, "corpus").view()
-    hits = S.search_hits(view, "the of").checkpoint()
-    return O.fetch_stored(hits, view.docs, small=True).select("path", F.col("rank").cast("long").alias("rank"))
+    hits = cut_lineage(S.search_hits(view, "the of"))
+    return O.fetch_stored(hits, restrict_scan(view.docs, "doc_id", hits), small=True).select("path", F.col("rank").cast("long").alias("rank"))
 
 
 BATCH_SQL = f"""{CORPUS_SQL}, {REQUESTS_SQL},

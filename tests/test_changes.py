@@ -38,8 +38,11 @@ def as_dict(df):
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
 def test_replay_equals_model(spark, chunk):
     log = make_log(chunk)
-    adds = M.surviving_adds(as_frame(spark, log), chunk).groupBy("path").agg(F.sum("copies").alias("copies"))
+    changes = M.net_changes(as_frame(spark, log), chunk)
+    adds = changes.groupBy("path").agg(F.sum("copies").alias("copies")).where("copies > 0")
     assert as_dict(adds) == model(log)
+    last = {p: s for s, p, action in log if action == "delete"}
+    assert {r.path: r.last_del for r in changes.where("last_del IS NOT NULL").collect()} == last
 
 
 @pytest.mark.parametrize("cuts", [(100, 101), (1, 400), (300, 599)])
