@@ -55,10 +55,10 @@ def lookup_join(
 def restrict_scan(df: DataFrame, key: str, lookup: DataFrame, most: int = 128) -> DataFrame:
     """Keep rows of ``df`` whose ``key`` is in a short, already computed ``lookup``.
 
-    Up to ``most`` values become equality filters of the scan, which skip the row groups
+    Up to ``most`` rows become equality filters of the scan, which skip the row groups
     that cannot hold them. A longer lookup leaves ``df`` as it is, for a join to filter.
     """
-    values = [r[0] for r in lookup.select(key).distinct().limit(most + 1).collect()]
+    values = [r[0] for r in lookup.select(key).limit(most + 1).collect()]
     if len(values) > most:
         return df
-    return df.where(reduce(lambda a, b: a | b, (F.col(key) == v for v in values), F.lit(False)))
+    return df.where(reduce(lambda a, b: a | b, (F.col(key) == v for v in sorted(set(values))), F.lit(False)))

@@ -62,16 +62,17 @@ def word_clauses(queries: DataFrame) -> DataFrame:
     ).select("query_id", "clause", F.lit("should").alias("occur"), "text")
 
 
-def clause_terms(clauses: DataFrame, tokenizer: str = "mixed") -> DataFrame:
+def clause_terms(clauses: DataFrame, tokenizer: str = "mixed", optional: bool = False) -> DataFrame:
     """``(query_id, clause, occur, n_must, n_terms, offset, term)``.
 
     A clause text that gives one token is a term clause, several tokens make a phrase
-    and none drops the clause. ``n_must`` counts the required clauses of the query.
+    and none drops the clause. ``n_must`` counts the required clauses of the query;
+    ``optional`` says that there are none, so nothing has to be counted.
     """
     tokens = clauses.withColumn("tokens", tokenize("text", tokenizer)).where(F.size("tokens") > 0)
     # A query is a handful of clauses, so this window sees small groups only.
     of_query = Window.partitionBy("query_id")
-    musts = F.count_if(F.col("occur") == "must").over(of_query).cast("int")
+    musts = F.lit(0) if optional else F.count_if(F.col("occur") == "must").over(of_query).cast("int")
     return tokens.withColumn("n_must", musts).select(
         "query_id", "clause", "occur", "n_must",
         F.size("tokens").alias("n_terms"),
@@ -79,21 +80,36 @@ def clause_terms(clauses: DataFrame, tokenizer: str = "mixed") -> DataFrame:
     )
 
 
-def local_clauses(spark: SparkSession, q: str, tokenizer: str = "mixed") -> tuple[DataFrame, int]:
-    """Clause terms of one query text as a literal frame, and its number of clauses.
+@dataclass(frozen=True)
+class QueryTerms:
+    """Clause terms of one query text: a literal frame, and what is known about it."""
+
+    frame: DataFrame
+    terms: list[str]
+    clauses: int
+    phrases: bool
+
 
-    The words of one query are read to the driver so that they can become literals.
+def query_terms(spark: SparkSession, q: str, tokenizer: str = "mixed") -> QueryTerms:
+    """Tokenize one query text.
+
+    The words of one query are read to the driver, so that they become literals of the
+    scans.
     """
-    queries = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(q).alias("q"))
-    terms = clause_terms(word_clauses(queries), tokenizer)
-    rows = terms.collect()
+    query = spark.range(0, 1, 1, 1).select(F.lit(0).cast("long").alias("query_id"), F.lit(q).alias("q"))
+    frame = clause_terms(word_clauses(query), tokenizer, optional=True)
+    rows = frame.collect()
     if not rows:
-        return spark.createDataFrame([], terms.schema), 0
+        return QueryTerms(spark.createDataFrame([], frame.schema), [], 0, False)
     literals = F.array(*[
-        F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in terms.schema])
-        for row in rows
+        F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in frame.schema]) for row in rows
     ])
-    return spark.range(1).select(F.inline(literals)), len({row["clause"] for row in rows})
+    return QueryTerms(
+        frame=spark.range(0, 1, 1, 1).select(F.inline(literals)),
+        terms=sorted({row["term"] for row in rows}),
+        clauses=len({row["clause"] for row in rows}),
+        phrases=any(row["n_terms"] > 1 for row in rows),
+    )
 
 
 # ---------------------------------------------------------------- matching
@@ -107,7 +123,7 @@ def term_query(view: IndexView, term: str) -> DataFrame:
     return hits
 
 
-def _restrict(view: IndexView, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _restrict(view: IndexView, clauses: DataFrame, listed: list[str] | None) -> tuple[DataFrame, DataFrame]:
     """Postings and terms behind static filters, for a clause list known to be small.
 
     At most 256 terms, else at most ``view.buckets`` bucket numbers, become literals,
@@ -115,29 +131,33 @@ def _restrict(view: IndexView, clauses: DataFrame) -> tuple[DataFrame, DataFrame
     """
     if not view.buckets:
         return view.postings, view.terms
-    wanted = clauses.select("bucket", "term").distinct().limit(257).collect()
-    if len(wanted) <= 256:
-        keep = F.col("bucket").isin(sorted({r["bucket"] for r in wanted})) & F.col("term").isin(
-            sorted({r["term"] for r in wanted})
-        )
+    if listed is None:
+        listed = [r["term"] for r in clauses.select("term").distinct().limit(257).collect()]
+    if len(listed) <= 256:
+        in_bucket = F.col("bucket").isin([term_bucket(F.lit(t), view.buckets) for t in listed])
+        keep = in_bucket & F.col("term").isin(listed)
     else:
         keep = F.col("bucket").isin([r[0] for r in clauses.select("bucket").distinct().collect()])
     return view.postings.where(keep), view.terms.where(keep)
 
 
-def clause_hits(view: IndexView, clauses: DataFrame, small: bool | None = None) -> DataFrame:
+def clause_hits(view: IndexView, clauses: DataFrame | QueryTerms, small: bool | None = None) -> DataFrame:
     """One row per matching clause and document, with tf, dl and idf.
 
     Term clauses take postings as they are. For a phrase, ``tf`` is the number of places
     where its terms stand in order, and its idf is the sum over them.
     """
+    listed = phrases = None
+    if isinstance(clauses, QueryTerms):
+        listed, phrases, small = clauses.terms, clauses.phrases, True
+        clauses = clauses.frame
     key = ["term"]
     if view.buckets:
         clauses = clauses.withColumn("bucket", term_bucket("term", view.buckets))
         key = ["bucket", "term"]
     small = fits_broadcast(clauses) if small is None else small
     if small:
-        postings, terms = _restrict(view, clauses)
+        postings, terms = _restrict(view, clauses, listed)
         # Terms are unique, so the result is no longer than the clause list.
         known = lookup_join(terms, clauses, key, small=True)
     else:
@@ -153,10 +173,12 @@ def clause_hits(view: IndexView, clauses: DataFrame, small: bool | None = None)
         postings.select(*key, "doc_id", "tf", "dl"),
         known.where("n_terms = 1"), key, spread=F.xxhash64("doc_id"), small=small,
     ).select(*hit)
-    if clauses.where("n_terms > 1").isEmpty():
+    if phrases is None:
+        phrases = not clauses.where("n_terms > 1").isEmpty()
+    if not phrases:
         return singles
-    phrases = _phrase_hits(postings, known.where("n_terms > 1"), key, of_clause, small)
-    return singles.unionByName(phrases.select(*hit))
+    phrase_hits = _phrase_hits(postings, known.where("n_terms > 1"), key, of_clause, small)
+    return singles.unionByName(phrase_hits.select(*hit))
 
 
 def _phrase_hits(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.values import normalize_query
 from ..operators.joins import fits_broadcast, lookup_join, restrict_scan
 from ..operators.ranking import (
-    TOP_K, IndexView, any_term_scores, clause_hits, clause_terms, local_clauses, score_hits, top_k,
+    TOP_K, IndexView, any_term_scores, clause_hits, clause_terms, query_terms, score_hits, top_k,
     top_k_single, word_clauses,
 )
 from ..operators.results import enrich, fetch_stored, project_result
@@ -18,9 +18,8 @@ from ..session import cut_lineage
 
 def search_hits(view: IndexView, q: str, tokenizer: str = "mixed", k: int = TOP_K) -> DataFrame:
     """``(query_id, doc_id, score, rank)`` of one query text."""
-    clauses, count = local_clauses(view.docs.sparkSession, q, tokenizer)
-    hits = clause_hits(view, clauses, small=True)
-    return top_k_single(any_term_scores(view, hits, clauses_per_query=max(count, 1)), k)
+    asked = query_terms(view.docs.sparkSession, q, tokenizer)
+    return top_k_single(any_term_scores(view, clause_hits(view, asked), max(asked.clauses, 1)), k)
 
 
 def search(
@@ -52,7 +51,7 @@ def batch_hits(view: IndexView, queries: DataFrame, tokenizer: str = "mixed", k:
     asked = trimmed.groupBy("q").agg(F.min("query_id").alias("asked_id"))
     distinct = asked.select(F.col("asked_id").alias("query_id"), "q")
     # Used for sizing, pruning and matching; written once instead of tokenized each time.
-    terms = cut_lineage(clause_terms(word_clauses(distinct), tokenizer))
+    terms = cut_lineage(clause_terms(word_clauses(distinct), tokenizer, optional=True))
     best = top_k(any_term_scores(view, clause_hits(view, terms)), k)
     owners = lookup_join(trimmed, asked, "q", spread=F.xxhash64("query_id")).select("query_id", "asked_id")
     answers = best.withColumnRenamed("query_id", "asked_id")

@@ -187,9 +187,8 @@ def term_query(spark, sf_dir):
 )
 def any_term_query(spark, sf_dir):
     view = index_of(spark, sf_dir, "corpus").view()
-    clauses, count = R.local_clauses(spark, "the and que")
-    hits = R.clause_hits(view, clauses, small=True)
-    return R.any_term_scores(view, hits, count).select("doc_id", F.round("score", 6).alias("score"))
+    asked = R.query_terms(spark, "the and que")
+    return R.any_term_scores(view, R.clause_hits(view, asked), asked.clauses).select("doc_id", F.round("score", 6).alias("score"))
 
 
 PHRASE_SQL = f"""{CORPUS_SQL}, {REQUESTS_SQL},
@@ -219,7 +218,7 @@ def phrase_query(spark, sf_dir):
             F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " "))
         ).alias("clause", "text"),
     )
-    clauses = cut_lineage(R.clause_terms(pairs.withColumn("occur", F.lit("should"))))
+    clauses = cut_lineage(R.clause_terms(pairs.withColumn("occur", F.lit("should")), optional=True))
     hits = R.clause_hits(view, clauses)
     return R.any_term_scores(view, hits).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 

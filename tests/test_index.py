@@ -178,9 +178,9 @@ def test_clauses_match_brute_force(spark, view, small):
 def test_plain_frames_give_the_same_scores(spark, view):
     docs = view.docs.select("doc_id", "path", "name")
     plain = R.view_of(doc_lengths(docs), build_postings(docs))
-    clauses, count = R.local_clauses(spark, "a_b c")
-    assert count == 2
-    score = lambda v: sorted(map(tuple, R.any_term_scores(v, R.clause_hits(v, clauses)).withColumn("score", F.round("score", 6)).collect()))
+    asked = R.query_terms(spark, "a_b c")
+    assert (asked.clauses, asked.phrases, asked.terms) == (2, True, ["a", "b", "c"])
+    score = lambda v: sorted(map(tuple, R.any_term_scores(v, R.clause_hits(v, asked)).withColumn("score", F.round("score", 6)).collect()))
     assert score(plain) == score(view)
 
 
@@ -208,9 +208,23 @@ def test_top_k_is_whole(spark, k):
 
 
 def test_plan_prunes(spark, view):
-    clauses, count = R.local_clauses(spark, "a")
-    hits = R.any_term_scores(view, R.clause_hits(view, clauses, small=True), count)
+    asked = R.query_terms(spark, "a")
+    hits = R.any_term_scores(view, R.clause_hits(view, asked), asked.clauses)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,a)" in plan
     assert "HashAggregate" not in plan and "Exchange hashpartitioning" not in plan
     assert "positions" not in plan
+
+
+def test_hot_bucket_is_split(spark):
+    """One term in every document: its bucket becomes several files, not one task's work."""
+    docs = spark.range(40000).selectExpr("id AS doc_id", "concat('/n/', id) AS path", "concat('common ', uuid()) AS name")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100kb")
+        index = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=docs.repartition(6))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    hits = R.term_query(index.view(), "common")
+    assert hits.count() == 40000
+    assert hits.select(F.input_file_name()).distinct().count() > 2
