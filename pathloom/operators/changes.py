@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .filters import exclude_prefix
 from .joins import fits_broadcast, lookup_join
+from .numbering import range_of
 
 # Changes of one path are gathered per range of this many sequence numbers.
 CHUNK = 1 << 16
@@ -75,7 +76,7 @@ def net_changes(actions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     is_del = F.col("action") == "delete"
     ranges = (
         actions.where("action IS NOT NULL")
-        .groupBy("path", F.floor(F.col("seq") / chunk).cast("long").alias("chunk"))
+        .groupBy("path", range_of("seq", chunk).alias("chunk"))
         .agg(
             F.max(F.when(is_del, F.col("seq"))).alias("del"),
             F.collect_list(F.when(~is_del, F.col("seq"))).alias("adds"),
@@ -86,10 +87,10 @@ def net_changes(actions: DataFrame, chunk: int = CHUNK) -> DataFrame:
         )
     )
     of_path = Window.partitionBy("path")
-    last_del = F.max("del").over(of_path)
-    cleared = F.col("chunk") < F.floor(F.col("last_del") / chunk)
-    return ranges.select("path", "chunk", "n", last_del.alias("last_del")).select(
-        "path", "chunk", "last_del", F.when(F.coalesce(cleared, F.lit(False)), F.lit(0)).otherwise(F.col("n")).alias("copies")
+    known = ranges.withColumn("last_del", F.max("del").over(of_path))
+    cleared = F.coalesce(F.col("chunk") < range_of("last_del", chunk), F.lit(False))
+    return known.select(
+        "path", "chunk", "last_del", F.when(cleared, F.lit(0)).otherwise(F.col("n")).alias("copies")
     )
 
 

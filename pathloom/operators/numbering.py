@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = 1 << 16
 PROGRESS_MARK = 20_000
 COMMIT_BATCH = 1_000
 
 
+def range_of(key: str, width: int) -> Column:
+    """Number of the key range of ``width`` values; exact for every ``bigint``, also negative."""
+    return F.expr(f"(`{key}` - pmod(`{key}`, {width}L)) div {width}L")
+
+
 def number_rows(df: DataFrame, key: str, tie: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Adds ``n`` = 1, 2, ... in the order of a ``bigint`` key (then ``tie``).
 
@@ -17,9 +22,9 @@ def number_rows(df: DataFrame, key: str, tie: list[str] | None = None, chunk: in
     executor recomputes the same numbers, and no group is larger than one range.
     Offsets are themselves added up in two levels, which keeps them parallel.
     """
-    rows = df.withColumn("_chunk", F.floor(F.col(key) / chunk).cast("long"))
+    rows = df.withColumn("_chunk", range_of(key, chunk))
     sizes = rows.groupBy("_chunk").agg(F.count("*").alias("_rows"))
-    sizes = sizes.withColumn("_block", F.floor(F.col("_chunk") / chunk).cast("long"))
+    sizes = sizes.withColumn("_block", range_of("_chunk", chunk))
     before = Window.partitionBy("_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     within = sizes.withColumn("_in_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     # One row per 2^32 key values: tiny whatever the data.
@@ -44,7 +49,7 @@ def progress_marks(entries: DataFrame, key: str, tie: list[str] | None = None, e
 def commit_batches(changes: DataFrame, key: str, tie: list[str] | None = None, size: int = COMMIT_BATCH) -> DataFrame:
     """Adds ``batch``: changes fall into commits of ``size`` in feed order."""
     numbered = number_rows(changes, key, tie)
-    return numbered.withColumn("batch", F.floor((F.col("n") - 1) / size).cast("long"))
+    return numbered.withColumn("batch", F.expr(f"(n - 1) div {size}L"))
 
 
 def crawl_count(files: DataFrame, root: str = "root") -> DataFrame:

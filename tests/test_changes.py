@@ -83,7 +83,7 @@ def test_bad_events(spark):
 @pytest.mark.parametrize("chunk", [4, 1 << 16])
 def test_numbering(spark, chunk):
     rng = random.Random(1)
-    keys = sorted({rng.randint(-50, 50) for _ in range(40)} | {rng.randint(-(2**40), 2**40) for _ in range(60)})
+    keys = sorted({rng.randint(-50, 50) for _ in range(40)} | {rng.randint(-(2**40), 2**40) for _ in range(60)} | {2**62 + i for i in range(9)})
     rows = [(k, t) for k in keys for t in range(rng.randint(1, 3))]
     got = numbering.number_rows(spark.createDataFrame(rows, "k long, t int"), "k", ["t"], chunk)
     assert sorted((r.n, r.k, r.t) for r in got.collect()) == [(i, *r) for i, r in enumerate(sorted(rows), 1)]
