@@ -201,11 +201,11 @@ def _phrase_hits(
         ).where(F.col("n_known") == F.col("n_terms"))
     )
 
-    shifted = F.transform("positions", lambda p: p - F.col("offset"))
+    starts = F.transform("positions", lambda p: p - F.col("offset"))
     lead = lookup_join(
         postings.select(*key, "doc_id", "dl", "positions"), ranked.where("place = 1"), key,
         spread=F.xxhash64("doc_id"), small=small,
-    ).select(*of_clause, "doc_id", "dl", "n_terms", "phrase_idf", shifted.alias("starts"))
+    ).select(*of_clause, "doc_id", "dl", "n_terms", "phrase_idf", starts.alias("starts"))
     others = ranked.where("place > 1").select(*key, *of_clause, "offset")
     wanted = lookup_join(lead, others, of_clause, spread=F.xxhash64("doc_id"), small=small)
 
@@ -215,10 +215,12 @@ def _phrase_hits(
     )
     # One row per start where a term agrees with the rarest one: few, and counted before
     # the shuffle. A start that all other terms agree on is an occurrence of the phrase.
+    # The short list is shifted and hashed, the long one only walked.
+    expected = F.transform("starts", lambda p: p + F.col("offset"))
     agreed = wanted.join(relevant, [*key, "doc_id"]).select(
-        *of_clause, "doc_id", "dl", "n_terms", "phrase_idf",
-        F.explode(F.array_intersect("starts", shifted)).alias("start"),
-    )
+        *of_clause, "doc_id", "dl", "n_terms", "phrase_idf", "offset",
+        F.explode(F.array_intersect("positions", expected)).alias("met"),
+    ).withColumn("start", F.col("met") - F.col("offset"))
     of_hit = [*of_clause, "doc_id", "dl", "n_terms", "phrase_idf"]
     return (
         agreed.groupBy(*of_hit, "start").agg(F.count("*").alias("agreeing"))

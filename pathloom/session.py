@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Hash instead of sort-merge joins where every partition turned out to be small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64mb",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
