@@ -72,19 +72,19 @@ def test_decode_path(spark):
 
 
 def test_words(spark):
-    texts = ["user_authentication.py", "PhotoShoot_Beach2025.jpg", "a--b  c", "", "Élan vital²"]
+    texts = ["login_service.py", "Sunset_Beach2025.jpg", "a--b  c", "", "Élan vital²"]
     assert column(spark, texts, X.tokenize_words) == [
-        ["user", "authentication", "py"], ["PhotoShoot", "Beach2025", "jpg"], ["a", "b", "c"], [], ["Élan", "vital²"],
+        ["login", "service", "py"], ["Sunset", "Beach2025", "jpg"], ["a", "b", "c"], [], ["Élan", "vital²"],
     ]
 
 
 def test_language_and_han(spark):
-    names = ["财务_季度报告.xlsx", "会议纪要_Meeting_Notes.txt", "draft.txt", "東京タワー", "原神", "音乐创作.demo.mp3"]
+    names = ["预算_年度明细.xlsx", "周会记录_Weekly_Sync.txt", "draft.txt", "東京タワー", "星图", "乐曲初稿.demo.mp3"]
     assert column(spark, names, X.route_language) == ["cmn", "other", "other", "other", "cmn", "other"]
-    assert column(spark, ["财务_季度报告.xlsx", "项目(重要)v2", "好a好"], X.segment_han) == [
-        ["财务", "季度", "度报", "报告", "xlsx"], ["项目", "重要", "v2"], ["好", "a", "好"],
+    assert column(spark, ["预算_年度明细.xlsx", "草案(机密)v2", "好a好"], X.segment_han) == [
+        ["预算", "年度", "度明", "明细", "xlsx"], ["草案", "机密", "v2"], ["好", "a", "好"],
     ]
-    assert column(spark, ["原神.pdf", "my draft"], X.tokenize_mixed) == [["原神", "pdf"], ["my", "draft"]]
+    assert column(spark, ["星图.pdf", "my draft"], X.tokenize_mixed) == [["星图", "pdf"], ["my", "draft"]]
 
 
 def test_registry(spark):

@@ -18,13 +18,10 @@ from pathloom.sources.index_table import IndexTable
 
 AS_OF = dt.date(2024, 6, 1)
 
-# Names of the expected behaviour's own sample tree.
-LATIN_NAMES = """user_authentication.py|database_connection_pool.js|api_response_handler.ts|unit_test_results.xml
-deployment_config.yaml|error_log_analyzer.rb|quarterly-sales-report.xlsx|client-meeting-notes.docx
-Research Methodology.pdf|Literature Review Draft.docx|Experiment Data Analysis.xlsx|Thesis Chapter 3.txt
-PhotoShoot_Beach2025.jpg|Logo Design v2.ai|music_composition_draft.mp3|cv.pdf|todo.txt|notes.md"""
-HAN_NAMES = """财务_季度报告.xlsx|数学-微积分-笔记.pdf|购物 清单 超市.md|部署脚本-生产环境.sh|化学-课件-第三章.pptx
-会议纪要_Meeting_Notes.txt|测试报告_Test_Report.xml|2025年度总结.txt|项目(重要).txt|配置#生产.json|简历.pdf"""
+LATIN_NAMES = """login_service.py|db_pool.js|unit_checks.xml|yearly-sales.xlsx|board-minutes.docx
+Second Essay Draft.docx|first_essay_draft.txt|Beach2025_Sunset.jpg|Logo v2.ai|a.pdf|todo.txt"""
+HAN_NAMES = """预算_年度.xlsx|几何-习题-解答.pdf|早餐 食谱 合集.md|发布-生产环境.sh|生物-讲义-第二章.pptx
+周会记录_Weekly_Sync.txt|验收结果_Acceptance.xml|2024年度规划.txt|草案(机密).txt|参数#生产.json|履历.pdf"""
 
 
 def paths_of(spark, paths):
@@ -47,7 +44,7 @@ def test_workflow(spark, tree):
     index, errors = index_files(IndexTable.create(spark, work_dir(spark, "ix"), buckets=4), files)
     n = len(names) + 1
     assert index.num_docs() == n and errors.count() == 0
-    for i, name in enumerate(["购物 清单 超市.md", "会议纪要_Meeting_Notes.txt", "化学-课件-第三章.pptx", "测试报告_Test_Report.xml"], 1):
+    for i, name in enumerate(["早餐 食谱 合集.md", "周会记录_Weekly_Sync.txt", "生物-讲义-第二章.pptx", "验收结果_Acceptance.xml"], 1):
         index = index.commit(deletes=paths_of(spark, [f"{root}/{name}"]))
         assert index.num_docs() == n - i
     n -= 4
@@ -56,17 +53,17 @@ def test_workflow(spark, tree):
         page = S.search(index.view(), files, q, AS_OF).orderBy("rank").collect()
         return [os.path.basename(r.path) for r in page]
 
-    assert set(found("生产")) == {"部署脚本-生产环境.sh", "配置#生产.json"}
-    assert found("Draft") == ["Literature Review Draft.docx"]
-    index = index.commit(adds=paths_of(spark, [f"{root}/原神.pdf", f"{root}/genshin.pdf"]))
+    assert set(found("生产")) == {"发布-生产环境.sh", "参数#生产.json"}
+    assert found("Draft") == ["Second Essay Draft.docx"]
+    index = index.commit(adds=paths_of(spark, [f"{root}/星图.pdf", f"{root}/starmap.pdf"]))
     assert index.num_docs() == n + 2
-    assert found("genshin")[0] == "genshin.pdf" and found("原神")[0] == "原神.pdf"
-    assert found("Meeting_Notes") == [] and found("unit_test") == ["unit_test_results.xml"]
-    twice = f"{root}/rust_duplicate.pdf"
+    assert found("starmap")[0] == "starmap.pdf" and found("星图")[0] == "星图.pdf"
+    assert found("Weekly_Sync") == [] and found("unit_checks") == ["unit_checks.xml"]
+    twice = f"{root}/twin_copy.pdf"
     index = index.commit(adds=paths_of(spark, [twice])).commit(adds=paths_of(spark, [twice]))
-    assert index.num_docs() == n + 4 and found("rust") == ["rust_duplicate.pdf"] * 2
+    assert index.num_docs() == n + 4 and found("twin") == ["twin_copy.pdf"] * 2
     index = index.commit(deletes=paths_of(spark, [twice]))
-    assert index.num_docs() == n + 2 == index.docs().count() and found("rust") == []
+    assert index.num_docs() == n + 2 == index.docs().count() and found("twin") == []
     assert found("") == found("  ") == found("!!") == []
 
     # Statistics stay exact through deletes, and compaction changes nothing.

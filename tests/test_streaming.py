@@ -38,10 +38,10 @@ class Feed:
 def test_guard(spark):
     """40 creates, 10 renames, all removed: 40, 40, 0 documents."""
     feed = Feed(spark, excludes=["/w/skip"])
-    names = [f"/w/test_file_{i}.txt" for i in range(40)]
+    names = [f"/w/item_{i}.txt" for i in range(40)]
     index = feed.send([("create", [n], None) for n in names] + [("create", ["/w/skip/x"], None)])
     assert index.num_docs() == 40 and S.search_hits(index.view(), "4").count() == 1
-    moved = [f"/w/renamed_file_{i * 101}.txt" for i in range(10)]
+    moved = [f"/w/moved_{i * 101}.txt" for i in range(10)]
     index = feed.send([("rename", [a, b], [False, True]) for a, b in zip(names, moved)], torn=['{"seq": 7, "op'])
     assert index.num_docs() == 40 and S.search_hits(index.view(), "303").count() == 1
     index = feed.send([("remove", [n], None) for n in names[10:] + moved])
