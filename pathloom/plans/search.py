@@ -52,10 +52,12 @@ def batch_hits(view: IndexView, queries: DataFrame, tokenizer: str = "mixed", k:
     distinct = asked.select(F.col("asked_id").alias("query_id"), "q")
     # Used for sizing, pruning and matching; written once instead of tokenized each time.
     terms = cut_lineage(clause_terms(word_clauses(distinct), tokenizer, optional=True))
-    best = top_k(any_term_scores(view, clause_hits(view, terms)), k)
+    best = cut_lineage(top_k(any_term_scores(view, clause_hits(view, terms)), k))
+    # A text may be asked by a third of all requests; its answer is k rows at most. So the
+    # requests are the side that is spread, and the answers the side that is looked up.
     owners = lookup_join(trimmed, asked, "q", spread=F.xxhash64("query_id")).select("query_id", "asked_id")
     answers = best.withColumnRenamed("query_id", "asked_id")
-    return lookup_join(answers, owners, "asked_id", spread=F.xxhash64("doc_id")).select(
+    return lookup_join(owners, answers, "asked_id", spread=F.xxhash64("query_id")).select(
         "query_id", "doc_id", "score", "rank"
     )
 
