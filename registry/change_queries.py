@@ -11,7 +11,7 @@ from pathloom.session import work_dir
 from pathloom.sources import settings as K
 from pathloom.sources.events import read_events, split_bad_events
 from pathloom.sources.index_table import IndexTable
-from pathloom.streaming.feed import apply_actions, follow
+from pathloom.streaming.feed import follow
 from pathloom.streaming.requests import answer_stream, read_queries
 
 from .catalog_queries import PARENT, ROOT, ROOTS_SQL, _root_excludes

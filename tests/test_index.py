@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import ranking as R
-from pathloom.operators.joins import lookup_join
 from pathloom.operators.postings import build_postings, doc_lengths
 from pathloom.plans import search as S
 from pathloom.plans.build import index_files
