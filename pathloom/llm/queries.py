@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathloom.llm import decontaminate, packing, quality, simhash_gray, suffix_dedup
+from pathloom.llm import chat_repair, decontaminate, packing, quality, recurrent_lm, simhash_gray, suffix_dedup, url_rules, warc_segments, weighted_sampling
 from pathloom.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "rating.expected_grade", "rating.tail_probability", "rating.grade", (F.col("rating.tail_probability") >= 0.5).alias("selected"))
 
 
+@register("op2_chat_repair")
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 CONTAMINATION_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -73,6 +78,40 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op4_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select(
+        "page_id", "host", "path", "rule", "verdict",
+        F.col("mined.verdict").alias("mined_verdict"), F.col("mined.confidence").alias("mined_confidence"),
+    )
+
+
+@register("op5_recurrent_lm")
+def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents"))
+
+
+@register("op6_weighted_sampling")
+def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.neighbour_likeness(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@register("op7_warc_segments", WARC_SQL)
+def warc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_segments.archive_report(table(spark, sf_dir, "pages"))
+
+
 @register("op8_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(spark))
