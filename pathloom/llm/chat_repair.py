@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.llm.common import saved
+from pathloom.operators.numbering import range_of
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -23,6 +24,7 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 BLOCK = 512  # turns, or blocks of the level below, that are combined at once
 FAR = 10**12
+NONE = -(1 << 63)  # stands for a null number inside; nothing is before it
 
 
 @dataclass(frozen=True)
@@ -135,10 +137,12 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """
     auto = Automaton(costs)
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("key"),
-        F.col("turn").cast("long").alias("turn"), F.coalesce(F.floor(F.col("turn").cast("long") / BLOCK), F.lit(-(1 << 53))).alias("block"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(NONE)).alias("key"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(NONE)).alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
+    # Blocks count from that of NONE, so all are 0 or more and meet in one block at last.
+    rows = rows.withColumn("block", range_of("turn", BLOCK) - F.lit(NONE // BLOCK))
     order = ["key", "block", "turn", "role", "text"]
     rows = rows.repartition("key", "block").sortWithinPartitions(*order)
 
@@ -174,7 +178,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         if open_key is not None:
             yield pd.DataFrame([(*open_key, matrix.ravel().tolist())], columns=["key", "block", "costs"])
 
-    up = F.floor(F.col("block") / BLOCK).alias("up")
+    up = range_of("block", BLOCK).alias("up")
     while levels[-1].groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         below = levels[-1].select("key", "block", "costs", up).repartition("key", "up").sortWithinPartitions("key", "up", "block")
         levels.append(saved(below.select("key", "up", "block", "costs").mapInPandas(upper, block_schema), "chat-blocks"))
@@ -217,15 +221,15 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(group: list[tuple]) -> list[tuple]:
-            entry, leave, last = group[0][6:9]
-            path = best_path([auto.step[number_of(g[4])] for g in group], int(entry), int(leave))
+            entry, leave, last = group[0][5:]
+            path = best_path([auto.step[number_of(g[3])] for g in group], int(entry), int(leave))
             out, state = [], int(entry)
             plan = []  # (row, role, merged, inserted before)
             for row, role in zip(group, path):
                 joined = bool(auto.merge[state, role])
                 plan.append((row, role, joined, [] if joined else auto.path[state, role]))
                 state = role
-            for (_, _, turn, _, was, text, *_), role, joined, before in plan:
+            for (_, _, turn, was, text, *_), role, joined, before in plan:
                 sub = 0
                 first = len(out) == 0 and entry != START
                 closing = "" if joined or (len(out) == 0 and not first) else "<|im_end|>\n"
@@ -247,17 +251,13 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         names = [c.split()[0] for c in OUT.split(", ")]
 
         def frame_of(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({"conv_id": "Int64", "turn": "Int64", "sub": "int32"})
+            return pd.DataFrame(rows, columns=names).astype({"sub": "int32"})
 
         group: list[tuple] = []
         for frame in frames:
             out = []
-            columns = ["conv_id", "key", "turn", "block", "role", "text", "entry", "leave", "last"]
-            conv = [None if pd.isna(x) else int(x) for x in frame["conv_id"]]
-            turn = [None if pd.isna(x) else int(x) for x in frame["turn"]]
-            for row in zip(conv, frame["key"], turn, *[frame[c] for c in columns[3:]]):
-                if group and (row[1], row[3]) != (group[0][1], group[0][3]):
+            for row in zip(*[frame[c] for c in columns]):
+                if group and row[:2] != group[0][:2]:
                     out += solved(group)
                     group = []
                 group.append(row)
@@ -265,4 +265,6 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         if group:
             yield frame_of(solved(group))
 
-    return both.select("conv_id", "key", "turn", "block", "role", "text", "entry", "leave", "last").mapInPandas(emit, OUT)
+    columns = ["key", "block", "turn", "role", "text", "entry", "leave", "last"]
+    out = both.select(*columns).mapInPandas(emit, OUT)
+    return out.withColumns({c: F.when(F.col(c) != NONE, F.col(c)) for c in ("conv_id", "turn")})

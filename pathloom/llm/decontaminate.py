@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pathloom.llm.common import saved, slices, utf8
@@ -114,6 +115,26 @@ def benchmark_grams(benchmark: DataFrame, n: int, item_col: str, text_col: str)
     return items.mapInPandas(cut, "item string, gram binary").groupBy("gram").agg(F.collect_set("item").alias("items"))
 
 
+def _scanner(held: Broadcast):
+    """Hits of the held windows, added to the spans and items that were found before."""
+
+    @F.pandas_udf(HIT)
+    def scan(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        grams = held.value
+        for texts, spans, items in parts:
+            results = []
+            for text, before, known in zip(texts, spans, items):
+                words = words_of(text)
+                mask, found = grams.scan(words)
+                for a, b in before if before is not None else ():
+                    mask[a:b] = True
+                found.update(known if known is not None else ())
+                results.append((len(words), int(mask.sum()), sorted(found), runs(mask)))
+            yield pd.DataFrame(results, columns=["n_words", "n_hit", "item_ids", "spans"])
+
+    return scan
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -144,7 +165,6 @@ def find_contamination(
     blocks = max(1, -(-grams.count() // block_grams))
     columns = [c for c in docs.columns if c != "contamination"]
     out = docs.select(*columns, F.lit(None).cast(HIT).alias("contamination"))
-    schema = out.schema
     spark = docs.sparkSession
     for block in range(blocks):
         part = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block)
@@ -154,25 +174,8 @@ def find_contamination(
         if block:
             out = saved(out, "decontaminate")
 
-        def scan(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            grams = held.value
-            for frame in slices(frames, text_col):
-                results = []
-                for text, before in zip(frame[text_col], frame["contamination"]):
-                    words = words_of(text)
-                    mask, found = grams.scan(words)
-                    if before is not None:
-                        for a, b in before["spans"]:
-                            mask[a:b] = True
-                        found.update(before["item_ids"])
-                    results.append((len(words), int(mask.sum()), sorted(found), runs(mask)))
-                yield frame.assign(
-                    contamination=pd.Series(
-                        [dict(zip(("n_words", "n_hit", "item_ids", "spans"), r)) for r in results], index=frame.index, dtype=object
-                    )
-                )
-
-        out = out.mapInPandas(scan, schema)
+        found = _scanner(held)(F.col(text_col).cast("string"), "contamination.spans", "contamination.item_ids")
+        out = out.withColumn("contamination", found)
     return out
 
 

@@ -67,7 +67,8 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     """(tokens, verdict, confidence, support) of rules that lead from URL tokens to a label.
 
     ``labelled``: tokens array<string>, label string. FP-growth runs on all labelled rows;
-    tokens below ``min_support`` take no part. A rule is pruned if a rule with fewer of its
+    tokens below ``min_support`` take no part. A rule is pruned if its label is no likelier than
+    among all rows, or if a rule with fewer of its
     tokens has the same verdict and at least its confidence. Rows without a label are
     ignored; without labelled rows there are no rules.
     """
@@ -79,7 +80,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     if rows.isEmpty():
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith("=")).where(~F.exists("antecedent", lambda x: x.startswith("=")))
+    found = model.associationRules.where("lift > 1").where(F.element_at("consequent", 1).startswith("=")).where(~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = found.select(
         F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 2)").alias("verdict"), "confidence", "support"
     )

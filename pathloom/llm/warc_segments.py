@@ -135,13 +135,13 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records_
     again = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = saved(again.select("digest", "first"), "warc-repeated")
     rows = lookup_join(rows, again, "digest", "left", spread=F.xxhash64("page_id"))
-    rows = rows.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"))
+    rows = rows.select("page_id", "url", "html", F.least("first", "page_id").alias("first"))
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "html"):
             out: list[bytes] = []
             for page, url, html, first in zip(frame["page_id"], frame["url"], frame["html"], frame["first"]):
-                out += page_records(int(page), url, utf8(html), None if pd.isna(first) else int(first), segment)
+                out += page_records(int(page), url, utf8(html), None if first == page else int(first), segment)
             yield pd.DataFrame({"record": out})
 
     records = rows.mapInPandas(build, "record binary")

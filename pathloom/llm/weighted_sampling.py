@@ -142,7 +142,7 @@ def neighbour_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "d
     spark = docs.sparkSession
     least = -(1 << 63)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("place"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("place"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -166,7 +166,7 @@ def neighbour_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "d
                 lambda x: x["part"].isNotNull(),
             )
         ),
-    ).select("doc_id", "place", "text", F.col("to.part").alias("part"), F.col("to.guest").alias("guest"))
+    ).select("place", "text", F.col("to.part").alias("part"), F.col("to.guest").alias("guest"))
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(row: tuple, following: tuple) -> tuple:
@@ -180,7 +180,7 @@ def neighbour_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "d
         last, part, guest_seen = None, None, False
         for frame in frames:
             out = []
-            for doc, text, own_part, guest in zip(frame["doc_id"], frame["text"], frame["part"], frame["guest"]):
+            for doc, text, own_part, guest in zip(frame["place"], frame["text"], frame["part"], frame["guest"]):
                 if own_part != part:
                     last, part, guest_seen = None, own_part, False
                 if guest_seen:
@@ -190,7 +190,7 @@ def neighbour_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "d
                     out.append(done(last, row))
                 last = row
                 guest_seen = bool(guest)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", "place", "text")
-    return ordered.mapInPandas(stream, RESULT)
+    return ordered.mapInPandas(stream, RESULT).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
