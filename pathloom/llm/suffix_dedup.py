@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pathloom.llm.common import saved, slices, utf8
+from pathloom.operators.joins import lookup_join
 
 LEVELS = (20, 36, None)  # bytes of an anchor: first, where an anchor is too common, and the whole window
 COLLECTION = 1024  # strings of one collection, as far as whole anchors allow
@@ -43,31 +44,27 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 def anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, last window) of each anchor of a text.
 
-    The anchor of a window of ``length`` bytes is the first of its runs of ``size`` bytes with
-    the smallest hash. It depends on the window's bytes alone, so equal windows of any two
-    texts have equal anchors, and neighbouring windows mostly share one.
+    The anchor of a window of ``length`` bytes is the smallest hash of its runs of ``size``
+    bytes. It depends on the window's bytes alone, so equal windows of any two texts have
+    equal anchors, and neighbouring windows mostly share one. Where a text repeats itself and
+    an anchor goes on for longer, it is cut, so that the bytes of one stay few.
     """
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = gram_hashes(data, size)
+    least = gram_hashes(data, size)
     span, reach = length - size + 1, 1
-    best = np.arange(len(hashes), dtype=np.int32)
-
-    def first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(hashes[b] < hashes[a], b, a)
-
     while reach * 2 <= span:
-        best = first(best[:-reach], best[reach:])
+        least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if reach < span:
-        best = first(best[: -(span - reach)], best[span - reach :])
-    cut = np.flatnonzero(np.diff(best)) + 1
-    starts = np.concatenate(([0], cut))
-    return hashes[best[starts]], starts, np.concatenate((cut, [len(best)])) - 1
-
-
-def keys_of(hashes: np.ndarray) -> np.ndarray:
-    return hashes.view(np.int64)
+        least = np.minimum(least[: -(span - reach)], least[span - reach :])
+    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    sizes = np.diff(np.append(starts, len(least)))
+    if sizes.max() > span:
+        pieces = -(-sizes // span)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(starts, pieces) + nth * span
+    return least[starts], starts, np.append(starts[1:], len(least)) - 1
 
 
 # ------------------------------------------------------------------ the collection
@@ -78,16 +75,16 @@ def column_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     Round t puts the suffix of length t of every string in its place among the suffixes of
     length below t: one symbol per string is added to the collection's Burrows-Wheeler
     transform. A suffix c.v stands after all suffixes that begin with less than c, and among
-    those with c in the order of the c's in the transform before it, so places follow from one
-    stable pass over the transform. The common prefix of a new row is one more than the least
-    common prefix between v and the last row above with the same symbol; the row after it is
-    updated likewise. Columns are read and rewritten front to back in each round. Every string
-    has an end of its own, smaller than any byte; ends never match. The symbols
-    are the finished transform.
+    those with c in the order of the c's in the transform before it. ``order`` keeps the rows of
+    each symbol together, so that a symbol's place in it is its place among the longer
+    suffixes. The common prefix of a new row is one more than the least common prefix between
+    v and the last row above with the same symbol; the row after it is updated likewise.
+    Columns are read and rewritten front to back in each round. Every string has an end of its
+    own, smaller than any byte; ends never match. The symbols are the finished transform.
     """
     lengths = np.array([len(s) for s in strings], np.int64)
     m, longest = len(strings), int(lengths.max())
-    # Symbol of round t in row t - 1: the t-th byte from the end plus one. 0 is the end of a string.
+    # Row t - 1 has the symbols of round t: the t-th byte from the end plus one. 0 is the end of a string.
     symbols = np.zeros((longest + 1, m), np.uint8)
     joined = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum(lengths)
@@ -95,41 +92,36 @@ def column_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         has = lengths >= t
         symbols[t - 1, has] = joined[ends[has] - t] + np.uint8(1)  # no UTF-8 byte is 255
     bwt, lcp = symbols[0].copy(), np.zeros(m, np.uint8)
-    owner, size = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-    place, who = np.arange(m), np.arange(m)
+    tag = np.arange(m, dtype=np.int32) << 8  # string, and length of the suffix
+    order = np.argsort(bwt, kind="stable")[int(np.count_nonzero(bwt == 0)) :]
+    counts = np.bincount(bwt, minlength=257)
+    counts[0] = 0
+    at, who = np.arange(len(order)), order.copy()
     for t in range(1, longest + 1):
-        live = bwt[place] > 0
-        place, who = place[live], who[live]
-        order = np.argsort(bwt, kind="stable")
-        ended = int(np.count_nonzero(bwt == 0))
-        order = order[ended:]
-        fresh = np.zeros(len(bwt), bool)
-        fresh[place] = True
-        at = np.flatnonzero(fresh[order])  # the symbols to insert, in the order of their new rows
-        who = who[np.searchsorted(place, order[at])]
-        place = order[at]
+        place, row = order[at], at + m
         least = np.append(lcp, np.uint8(255))
 
         def between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
             # Backwards, as a step down from one range's end to the next range's start costs nothing.
-            ends = np.stack((low[::-1] + 1, high[::-1] + 1), axis=1).ravel()
-            return np.minimum.reduceat(least, ends)[::2][::-1]
+            edges = np.stack((low[::-1] + 1, high[::-1] + 1), axis=1).ravel()
+            return np.minimum.reduceat(least, edges)[::2][::-1]
 
-        row = at + m
+        symbol = bwt[place]
         before = order[np.maximum(at - 1, 0)]
-        same = (at > 0) & (bwt[before] == bwt[place])
+        same = (at > 0) & (bwt[before] == symbol)
         own = np.zeros(len(at), np.uint8)
         if same.any():
             own[same] = between(before[same], place[same]) + np.uint8(1)
         after = order[np.minimum(at + 1, len(order) - 1)]
-        follows = (at + 1 < len(order)) & (bwt[after] == bwt[place])
+        follows = (at + 1 < len(order)) & (bwt[after] == symbol)
         total = m + len(order)
         old = np.ones(total, bool)
         old[row] = False
+        moved = np.flatnonzero(old)  # where each row so far comes to stand
 
         def merged(column: np.ndarray, new: np.ndarray) -> np.ndarray:
             out = np.empty(total, column.dtype)
-            out[old] = column
+            out[moved] = column
             out[row] = new
             return out
 
@@ -140,10 +132,28 @@ def column_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             still = old[below]
             next_lcp[below[still]] = shared[still]
         lcp = next_lcp
-        bwt = merged(bwt, symbols[t, who])
-        owner, size = merged(owner, who.astype(np.int32)), merged(size, np.full(len(who), t, np.uint8))
-        place = row
-    return owner, size, lcp, bwt
+        following = symbols[t, who]
+        bwt, tag = merged(bwt, following), merged(tag, (who.astype(np.int32) << 8) | t)
+        # The next symbols take their places among the rows of the same symbol.
+        live = np.flatnonzero(following)
+        live = live[np.argsort(following[live], kind="stable")]
+        fresh, rows = following[live], row[live]
+        order = moved[order]
+        first = np.concatenate(([0], np.cumsum(counts)))
+        heads = np.flatnonzero(np.concatenate(([True], fresh[1:] != fresh[:-1]))) if len(fresh) else np.zeros(0, np.int64)
+        put = np.empty(len(live), np.int64)
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(fresh)]):
+            low, high = first[fresh[a]], first[fresh[a] + 1]
+            put[a:b] = low + np.searchsorted(order[low:high], rows[a:b])
+        at = put + np.arange(len(put))
+        kept = np.ones(len(order) + len(at), bool)
+        kept[at] = False
+        joint = np.empty(len(kept), order.dtype)
+        joint[kept] = order
+        joint[at] = rows
+        order, who = joint, who[live]
+        counts += np.bincount(fresh, minlength=257)
+    return (tag >> 8).astype(np.int64), (tag & 255).astype(np.int64), lcp, bwt
 
 
 def first_owners(strings: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
@@ -154,7 +164,7 @@ def first_owners(strings: list[bytes], docs: np.ndarray, length: int) -> list[np
     """
     owner, size, lcp, _ = column_order(strings)
     keep = size >= length
-    owner, size, lcp = owner[keep].astype(np.int64), size[keep].astype(np.int64), lcp[keep]
+    owner, size, lcp = owner[keep], size[keep], lcp[keep]
     lengths = np.array([len(s) for s in strings], np.int64)
     run = np.flatnonzero(np.concatenate(([True], lcp[1:] < length)))
     least = np.repeat(np.minimum.reduceat(docs[owner], run), np.diff(np.append(run, len(owner))))
@@ -166,14 +176,34 @@ def first_owners(strings: list[bytes], docs: np.ndarray, length: int) -> list[np
 
 # ------------------------------------------------------------------ jobs
 
-def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, mark, keys): anchors that occur in more than one document, as packed longs.
+PACKED = "part int, ids binary, marks binary, keys binary"
+
+
+def part_of(parts: int) -> Column:
+    """The group of documents that a document belongs to; ``mark`` is a hash."""
+    return F.pmod(F.col("doc_id").bitwiseXOR(F.col("mark")), F.lit(parts)).cast("int")
+
+
+def packed(ids: np.ndarray, marks: np.ndarray, hashes: np.ndarray, parts: int) -> pd.DataFrame:
+    """(document, anchor) pairs as one row per group of documents."""
+    part = (ids ^ marks) % parts
+    order = np.lexsort((ids, part))
+    part, ids, marks, hashes = part[order], ids[order], marks[order], hashes[order]
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    rows = [
+        (int(part[a]), ids[a:b].tobytes(), marks[a:b].tobytes(), hashes[a:b].tobytes())
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)])
+    ]
+    return pd.DataFrame(rows, columns=["part", "ids", "marks", "keys"]).astype({"part": np.int32})
+
+
+def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
+    """Pairs of a document and an anchor of it that another document has too, packed (``PACKED``).
 
     A batch of documents settles by itself what repeats within it and sends each of its
     anchors once, packed, to one of the shuffle's buckets by hash: an anchor that is in a third
     of all documents arrives once per batch, not once per document.
     """
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text", 16 << 20):
@@ -184,106 +214,144 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
                 hashes.append(own)
                 rows.append(np.full(len(own), i))
             hashed, row = np.concatenate(hashes), np.concatenate(rows)
+            if not len(hashed):
+                continue
             order = np.lexsort((ids[row], hashed))
             hashed, row = hashed[order], row[order]
-            new = np.concatenate(([True], hashed[1:] != hashed[:-1])) if len(hashed) else np.zeros(0, bool)
             # Repeated here: the first and the last document of a hash differ.
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1])))
             last = np.append(first[1:], len(hashed)) - 1
             twice = ids[row[first]] != ids[row[last]]
             here = np.repeat(twice, last - first + 1)
-            out = []
-            by_row = np.argsort(row[here], kind="stable")
-            own_rows, own_hashes = row[here][by_row], hashed[here][by_row]
-            cuts = np.flatnonzero(np.diff(own_rows)) + 1
-            for part in np.split(np.arange(len(own_rows)), cuts) if len(own_rows) else []:
-                i = own_rows[part[0]]
-                out.append((int(i) % buckets, 0, int(ids[i]), int(marks[i]), own_hashes[part].tobytes(), None, None, None))
+            settled = packed(ids[row[here]], marks[row[here]], hashed[here], parts)
+            yield settled.assign(bucket=settled["part"], settled=True, local=None)[columns]
             # One of each to its bucket: hash, its document within the piece, whether it is settled.
             sent = row[first]
-            bucket = (hashed[first] % np.uint64(buckets)).astype(np.int64)
+            bucket = (hashed[first] % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((sent, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                part = order[edges[b] : edges[b + 1]]
-                if len(part):
-                    used, local = np.unique(sent[part], return_inverse=True)
-                    local = (local.astype(np.uint32) << np.uint32(1)) | twice[part].astype(np.uint32)
-                    docs = np.stack((ids[used], marks[used])).tobytes()
-                    out.append((b, 1, 0, 0, hashed[first][part].tobytes(), docs, local.tobytes(), len(used)))
+            edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+            out = []
+            for b in range(parts):
+                own = order[edges[b] : edges[b + 1]]
+                if len(own):
+                    used, local = np.unique(sent[own], return_inverse=True)
+                    local = (local.astype(np.uint32) << np.uint32(1)) | twice[own].astype(np.uint32)
+                    out.append((b, False, 0, ids[used].tobytes(), marks[used].tobytes(), hashed[first][own].tobytes(), local.tobytes()))
             yield pd.DataFrame(out, columns=columns)
 
-    columns = ["bucket", "kind", "doc_id", "mark", "keys", "docs", "local", "n_docs"]
-    kinds = "bucket int, kind int, doc_id long, mark long, keys binary, docs binary, local binary, n_docs int"
+    columns = ["bucket", "settled", "part", "ids", "marks", "keys", "local"]
+    kinds = f"bucket int, settled boolean, {PACKED}, local binary"
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close(held: list[tuple]) -> Iterator[pd.DataFrame]:
             if not held:
                 return
-            hashes = np.concatenate([np.frombuffer(x[0], np.uint64) for x in held])
-            local = np.concatenate([np.frombuffer(x[2], np.uint32) for x in held])
-            edges = np.concatenate(([0], np.cumsum([len(x[0]) // 8 for x in held])))
-            _, code, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            want = (times[code] > 1) & ((local & 1) == 0)
-            for b, (_, docs, _) in enumerate(held):
-                own = edges[b] + np.flatnonzero(want[edges[b] : edges[b + 1]])
-                if len(own):
-                    ids, marks = np.frombuffer(docs, np.int64).reshape(2, -1)
-                    who = local[own] >> 1
-                    order = np.argsort(who, kind="stable")
-                    who, mine = who[order], hashes[own][order]
-                    cuts = np.flatnonzero(np.diff(who)) + 1
-                    heads = who[np.concatenate(([0], cuts))]
-                    yield pd.DataFrame({"doc_id": ids[heads], "mark": marks[heads], "keys": [x.tobytes() for x in np.split(mine, cuts)]})
+            hashes = np.frombuffer(b"".join(x[2] for x in held), np.uint64)
+            local = np.frombuffer(b"".join(x[3] for x in held), np.uint32)
+            ids, marks = (np.frombuffer(b"".join(x[k] for x in held), np.int64) for k in (0, 1))
+            shift = np.cumsum([0, *[len(x[0]) // 8 for x in held[:-1]]])
+            who = np.repeat(shift, [len(x[2]) // 8 for x in held]) + (local >> 1)
+            order = np.argsort(hashes, kind="stable")
+            same = hashes[order][1:] == hashes[order][:-1]
+            met = np.zeros(len(hashes), bool)
+            met[order[1:][same]] = met[order[:-1][same]] = True
+            want = met & ((local & 1) == 0)
+            if want.any():
+                yield packed(ids[who[want]], marks[who[want]], hashes[want], parts)
 
         bucket, held = None, []
         for frame in frames:
-            done = frame[frame["kind"] == 0]
+            done = frame[frame["settled"]]
             if len(done):
-                yield done[["doc_id", "mark", "keys"]]
-            sent = frame[frame["kind"] == 1]
-            for b, keys, docs, local in zip(sent["bucket"], sent["keys"], sent["docs"], sent["local"]):
+                yield done[["part", "ids", "marks", "keys"]]
+            sent = frame[~frame["settled"]]
+            for b, *row in zip(sent["bucket"], sent["ids"], sent["marks"], sent["keys"], sent["local"]):
                 if b != bucket:
                     yield from close(held)
                     bucket, held = b, []
-                held.append((keys, docs, local))
+                held.append(row)
         yield from close(held)
 
-    sent = texts.mapInPandas(cut, kinds).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInPandas(meet, "doc_id long, mark long, keys binary")
+    sent = texts.mapInPandas(cut, kinds).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInPandas(meet, PACKED)
+
 
+def occurrences(texts: DataFrame, wanted: DataFrame, length: int, parts: int) -> DataFrame:
+    """(doc_id, mark, at, anchor, piece): the bytes around each repeated anchor and where they start.
 
-def occurrences(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc_id, mark, at, anchor, piece): the bytes around each repeated anchor and where they start."""
-    listed = wanted.groupBy("doc_id", "mark").agg(F.collect_list("keys").alias("keys"))
+    Packed anchors and texts of a group of documents meet in one task, anchors first; only
+    the anchors of a group are held, texts stream by.
+    """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, table, keys = None, [], {}, np.zeros(0, np.uint64)
         for frame in slices(frames, "text"):
-            parts = []
-            for doc, mark, text, keys in zip(frame["doc_id"], frame["mark"], frame["text"], frame["keys"]):
+            ids, marks = [], []
+            rows: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+            pieces: list[bytes] = []
+            for group, own_ids, own_marks, own_keys, doc, mark, text in zip(*[frame[c] for c in both_columns]):
+                if group != part:
+                    part, held, table = group, [], {}
+                if own_ids is not None:
+                    held.append((own_ids, own_marks, own_keys))
+                    continue
+                if held:
+                    docs, tags = (np.frombuffer(b"".join(h[k] for h in held), np.int64) for k in (0, 1))
+                    order = np.lexsort((tags, docs))
+                    docs, tags = docs[order], tags[order]
+                    keys = np.frombuffer(b"".join(h[2] for h in held), np.uint64)[order]
+                    cuts = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))))
+                    table = {(int(docs[a]), int(tags[a])): (a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(docs)])}
+                    held = []
+                place = table.get((int(doc), int(mark)))
+                if place is None:
+                    continue
                 raw = utf8(text)
                 hashes, first, last = anchors(np.frombuffer(raw, np.uint8), length, LEVELS[0])
-                own = np.isin(hashes, np.concatenate([np.frombuffer(k, np.uint64) for k in keys]))
+                own = np.isin(hashes, keys[place[0] : place[1]])
                 hashes, first, last = hashes[own], first[own], last[own]
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "doc_id": np.int64(doc), "mark": np.int64(mark), "at": first, "anchor": keys_of(hashes),
-                            "piece": [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist())],
-                        }
-                    )
-                )
-            yield pd.concat(parts, ignore_index=True)
-
-    both = texts.join(listed, ["doc_id", "mark"])
+                rows.append(np.stack((np.full(len(first), len(ids)), first, hashes.view(np.int64))))
+                pieces += [raw[a:b] for a, b in zip(first.tolist(), (last + length).tolist())]
+                ids.append(int(doc))
+                marks.append(int(mark))
+            row, at, anchor = np.concatenate(rows, axis=1)
+            yield pd.DataFrame(
+                {"doc_id": np.array(ids, np.int64)[row], "mark": np.array(marks, np.int64)[row], "at": at, "anchor": anchor, "piece": pieces}
+            )
+
+    both_columns = ["part", "ids", "marks", "keys", "doc_id", "mark", "text"]
+    keyed = texts.select(part_of(parts).alias("part"), "doc_id", "mark", "text")
+    nobody = F.lit(0).cast("long")  # no nulls, which would make numbers of them that are not exact
+    listed = wanted.withColumns({"doc_id": nobody, "mark": nobody})
+    both = listed.unionByName(keyed, allowMissingColumns=True).select(*both_columns)
+    both = both.repartition(parts, "part").sortWithinPartitions("part", F.col("ids").isNull())
     return both.mapInPandas(cut, "doc_id long, mark long, at long, anchor long, piece binary")
 
 
+def sharing(strings: list[bytes], size: int) -> np.ndarray:
+    """Which strings share ``size`` bytes with another one, by hash: the rest share no longer string either."""
+    lengths = np.array([len(x) for x in strings])
+    owner = np.repeat(np.arange(len(strings)), lengths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = np.flatnonzero(place <= lengths[owner] - size)
+    if not len(inside):
+        return np.zeros(len(strings), bool)
+    hashes, owner = gram_hashes(np.frombuffer(b"".join(strings), np.uint8), size)[inside], owner[inside]
+    order = np.argsort(hashes, kind="stable")  # owners stay in order within a hash
+    hashes, owner = hashes[order], owner[order]
+    meets = (hashes[1:] == hashes[:-1]) & (owner[1:] != owner[:-1])
+    out = np.zeros(len(strings), bool)
+    out[owner[1:][meets]] = out[owner[:-1][meets]] = True
+    return out
+
+
 def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
     """(piece, at, firsts): the first owner of each window of a distinct piece, from window ``at`` on.
 
     ``pieces``: anchor, piece, doc_id (its smallest). Pieces of one anchor meet in one
-    collection, of many anchors at a time. The pieces of an anchor with more than ``COMMON``
+    collection, of many anchors at a time, and the collection's order says which windows are
+    equal. A piece that is alone with its anchor, or shares too few bytes with any other piece
+    of the collection, has no equal and is left out of the order. The pieces of an anchor with more than ``COMMON``
     of them are cut around longer anchors and meet again by those; at the last level the
     anchor is the window, and equal windows are one piece.
     """
@@ -292,22 +360,36 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
 
     def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close(strings: list, docs: list) -> Iterator[pd.DataFrame]:
-            if strings:
-                firsts = first_owners(strings, np.array(docs, np.int64), length)
+            if not strings:
+                return
+            shared = sharing(strings, min(LEVELS[1], length))
+            own = [(s, d) for s, d, x in zip(strings, docs, shared) if not x]
+            if own:
+                yield alone(*zip(*own))
+            both = [(s, d) for s, d, x in zip(strings, docs, shared) if x]
+            if both:
+                strings, docs = zip(*both)
+                firsts = first_owners(list(strings), np.array(docs, np.int64), length)
                 yield pd.DataFrame({"piece": strings, "firsts": firsts, "doc_id": docs})
 
         def cut(strings: list, docs: list) -> pd.DataFrame:
             return pd.DataFrame({"piece": strings, "firsts": [None] * len(strings), "doc_id": docs})
 
+        def alone(piece: list, docs: list) -> pd.DataFrame:
+            """Strings with nothing to compare them with: each is the first owner of its windows."""
+            return pd.DataFrame({"piece": list(piece), "firsts": [np.full(len(p) - length + 1, d) for p, d in zip(piece, docs)], "doc_id": list(docs)})
+
         done: tuple[list, list] = ([], [])
+        single: tuple[list, list] = ([], [])
         strings: list[bytes] = []
         docs: list[int] = []
         current, common = None, False
         for frame in frames:
             for anchor, piece, doc in zip(frame["anchor"], frame["piece"], frame["doc_id"]):
                 if anchor != current:
-                    done[0].extend(strings)
-                    done[1].extend(docs)
+                    into = single if len(strings) == 1 and not common else done
+                    into[0].extend(strings)
+                    into[1].extend(docs)
                     strings, docs, current, common = [], [], anchor, False
                     if len(done[0]) >= COLLECTION:
                         yield from close(*done)
@@ -322,6 +404,9 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
             if common and strings:
                 yield cut(strings, docs)
                 strings, docs = [], []
+            if single[0]:
+                yield alone(*single)
+                single = ([], [])
         done[0].extend(strings)
         done[1].extend(docs)
         yield from close(*done)
@@ -339,7 +424,7 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
             rows = []
             for piece, doc in zip(frame["piece"], frame["doc_id"]):
                 hashes, first, to = anchors(np.frombuffer(piece, np.uint8), length, finer)
-                rows += [(piece, a, h, piece[a : b + length], doc) for h, a, b in zip(keys_of(hashes).tolist(), first.tolist(), to.tolist())]
+                rows += [(piece, a, h, piece[a : b + length], doc) for h, a, b in zip(hashes.view(np.int64).tolist(), first.tolist(), to.tolist())]
             yield pd.DataFrame(rows, columns=["whole", "shift", "anchor", "piece", "doc_id"])
 
     inner = saved(rest.mapInPandas(recut, "whole binary, shift long, anchor long, piece binary, doc_id long"), "suffix-finer")
@@ -352,29 +437,44 @@ def repeat_spans(docs: DataFrame, length: int = 50, text_col: str = "text", id_c
     """(doc_id, mark, spans): byte runs covered by a window that also starts in a document with a smaller id.
 
     ``spans`` are maximal [start, end) runs, as a flat list. Only rows with such runs are
-    returned; ``mark`` tells rows that share an id apart (a hash of the text).
+    returned; ``mark`` tells rows that share an id apart (a hash of the text). Equal texts are
+    one member of the collection, the one with the smallest id; the others are covered whole.
     """
     texts = _texts(docs, text_col, id_col)
-    wanted = saved(repeated_anchors(texts, length), "suffix-anchors")
-    found = saved(occurrences(texts, wanted, length), "suffix-pieces")
+    texts = texts.withColumn("digest", F.when(F.octet_length("text") >= length, F.sha2("text", 256)))
+    twins = texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    twins = saved(twins.select("digest", "first"), "suffix-twins")
+    texts = lookup_join(texts, twins, "digest", "left", spread=F.xxhash64("doc_id"))
+    whole = texts.where("first < doc_id").select(
+        "doc_id", "mark", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b"))).alias("runs")
+    )
+    texts = texts.where("first IS NULL OR first = doc_id").select("doc_id", "mark", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = saved(repeated_anchors(texts, length, parts), "suffix-anchors")
+    found = saved(occurrences(texts, wanted, length, parts), "suffix-pieces")
     firsts = window_firsts(found.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc_id")), length)
 
-    def covered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, mark, at, shift, owners in zip(frame["doc_id"], frame["mark"], frame["at"], frame["shift"], frame["firsts"]):
-                later = np.asarray(owners) < doc
-                if later.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], later.astype(np.int8), [0]))))
-                    start = at + shift
-                    for a, b in edge.reshape(-1, 2).tolist():
-                        rows.append((doc, mark, start + a, start + b - 1 + length))
-            yield pd.DataFrame(rows, columns=["doc_id", "mark", "a", "b"]).astype(np.int64)
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, mark, start, shift = (batch.column(k).to_numpy() for k in range(4))
+            firsts = batch.column(4)
+            sizes = firsts.value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            later = firsts.flatten().to_numpy() < doc[row]
+            edge = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)  # last window of a row
+            begins = later & ~np.concatenate(([False], later[:-1] & ~edge[:-1]))
+            ends = later & ~np.append(later[1:] & ~edge[:-1], False) if len(row) else later
+            a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+            own = row[a]
+            base = start[own] + shift[own]
+            columns = [doc[own], mark[own], base + place[a], base + place[b] + length]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["doc_id", "mark", "a", "b"])
 
     owned = firsts.select("piece", F.col("at").alias("shift"), "firsts")
-    runs = found.select("doc_id", "mark", "at", "piece").join(owned, "piece")
-    runs = runs.mapInPandas(covered, "doc_id long, mark long, a long, b long")
-    return runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    runs = found.select("doc_id", "mark", "at", "piece").join(owned, "piece").select("doc_id", "mark", "at", "shift", "firsts")
+    runs = runs.mapInArrow(covered, "doc_id long, mark long, a long, b long")
+    return runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("runs")).unionByName(whole)
 
 
 def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
