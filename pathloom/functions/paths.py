@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -23,9 +24,10 @@ def parent(path: Column | str) -> Column:
     return F.when(derive_name(path) == "", F.lit(None)).when(cut == "", F.lit("/")).otherwise(cut)
 
 
-def root_of(path: Column | str) -> Column:
-    """First-level ancestor (``/a`` for ``/a/b/c``)."""
-    return F.regexp_extract(_col(path), r"^(/[^/]+)", 1)
+def root_of(path: Column | str, below: str = "/") -> Column:
+    """Ancestor that is a child of ``below`` (``/a`` for ``/a/b/c`` below ``/``); ``''`` elsewhere."""
+    top = re.escape(below.rstrip("/"))
+    return F.regexp_extract(_col(path), f"^({top}/[^/]+)", 1)
 
 
 def derive_class(name: Column | str, is_dir: Column | str) -> Column:

@@ -10,14 +10,20 @@ SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` is small, by rows and by bytes; reads at most ``max_rows + 1`` rows."""
+    """Whether ``df`` is small, by rows and by bytes.
+
+    Each task counts its own rows and sends one number pair. Arrays, maps and structs are sized
+    by their text.
+    """
     width = F.lit(0)
     for column, kind in df.dtypes:
-        if kind == "string":
-            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{column}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{column}`").cast("string")), F.lit(0))
         else:
             width = width + F.lit(8)
-    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width.cast("long"))).first()
+    rows, size = df.agg(F.count("*"), F.sum(width.cast("long"))).first()
     return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK = 1 << 16
+from ..session import cut_lineage
+
 PROGRESS_MARK = 20_000
 COMMIT_BATCH = 1_000
 
@@ -14,31 +15,37 @@ def range_of(key: str, width: int) -> Column:
     return F.expr(f"(`{key}` - pmod(`{key}`, {width}L)) div {width}L")
 
 
-def number_rows(df: DataFrame, key: str, tie: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``n`` = 1, 2, ... in the order of a ``bigint`` key (then ``tie``).
+def _in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` sorted over all tasks, with ``_part`` and ``_place``, its place within the part.
 
-    Fixed key ranges of ``chunk`` values are numbered on their own and shifted by the
-    row counts of earlier ranges. The ranges do not depend on sampling, so a lost
-    executor recomputes the same numbers, and no group is larger than one range.
-    Offsets are themselves added up in two levels, which keeps them parallel.
+    Spark cuts the parts by sampled bounds on all keys, so neither sparse keys nor one that
+    holds a third of the rows make a large part, as long as later keys tell its rows apart.
+    The sorted rows are written once: what follows reads those, whatever a repeated sample
+    would say.
     """
-    rows = df.withColumn("_chunk", range_of(key, chunk))
-    sizes = rows.groupBy("_chunk").agg(F.count("*").alias("_rows"))
-    sizes = sizes.withColumn("_block", range_of("_chunk", chunk))
-    before = Window.partitionBy("_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    within = sizes.withColumn("_in_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    # One row per 2^32 key values: tiny whatever the data.
-    blocks = sizes.groupBy("_block").agg(F.sum("_rows").alias("_rows"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    offsets = within.join(starts, "_block").select(
-        "_chunk", (F.col("_in_block") + F.col("_start")).alias("_offset")
-    )
-    order = Window.partitionBy("_chunk").orderBy(key, *(tie or []))
-    numbered = rows.withColumn("_local", F.row_number().over(order)).join(offsets, "_chunk")
-    return numbered.withColumn("n", (F.col("_offset") + F.col("_local")).cast("long")).drop(
-        "_chunk", "_local", "_offset"
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id()
+    written = cut_lineage(rows.withColumn("_id", place))
+    return written.select(*df.columns, F.expr("shiftright(_id, 33)").alias("_part"), F.expr("_id & 8589934591L").alias("_place"))
+
+
+def _before(parts: DataFrame, *sums: str) -> DataFrame:
+    """Sums over the parts before each part; there is one row per task of the sort."""
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums])
+
+
+def number_rows(df: DataFrame, key: str, tie: list[str] | None = None) -> DataFrame:
+    """Adds ``n`` = 1, 2, ... in the order of a key (then ``tie``).
+
+    Rows are sorted over all tasks and shifted by the row counts of earlier parts; no task
+    has more than its part, and one row per part meets in one.
+    """
+    rows = _in_order(df, key, *(tie or []))
+    starts = _before(rows.groupBy("_part").agg(F.count("*").alias("_rows")), "_rows")
+    numbered = rows.join(F.broadcast(starts), "_part")
+    return numbered.select(*df.columns, (F.col("_rows_before") + F.col("_place") + 1).cast("long").alias("n"))
 
 
 def progress_marks(entries: DataFrame, key: str, tie: list[str] | None = None, every: int = PROGRESS_MARK) -> DataFrame:
@@ -57,13 +64,15 @@ def crawl_count(files: DataFrame, root: str = "root") -> DataFrame:
     per_root = files.groupBy(root).agg(
         F.count("*").alias("entries"), F.count_if(F.col("error").isNotNull()).alias("errors")
     )
-    # One row per first-level directory.
-    order = Window.partitionBy(F.lit(0)).orderBy(root)
-    return per_root.withColumn("total", F.sum("entries").over(order))
+    rows = _in_order(per_root, root)
+    starts = _before(rows.groupBy("_part").agg(F.sum("entries").alias("_sum")), "_sum")
+    so_far = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("_own", F.sum("entries").over(so_far)).join(F.broadcast(starts), "_part")
+    return summed.select(*per_root.columns, (F.col("_own") + F.col("_sum_before")).cast("long").alias("total"))
 
 
 def progress(roots: DataFrame, root: str = "root") -> DataFrame:
     """Percent of roots done after each root, in root order; no roots, no rows."""
-    everything = Window.partitionBy(F.lit(0))
-    done = F.row_number().over(everything.orderBy(root))
-    return roots.withColumn("percent", done / F.count("*").over(everything) * 100.0)
+    numbered = number_rows(roots, root)
+    total = roots.agg(F.count("*").alias("_total"))
+    return numbered.join(F.broadcast(total)).select(*roots.columns, (F.col("n") / F.col("_total") * 100.0).alias("percent"))

@@ -17,19 +17,21 @@ def fetch_stored(hits: DataFrame, docs: DataFrame, small: bool | None = None) ->
 
 
 def read_metadata(paths: DataFrame, files: DataFrame, small: bool | None = None) -> DataFrame:
-    """``(path, is_dir, size, mtime)`` of the wanted paths that exist.
+    """``(path, is_dir, size, mtime)`` of the wanted paths that exist, one row per path.
 
-    The catalogue is only filtered by the wanted paths, never moved for them.
+    The catalogue is only filtered by the wanted paths, never moved for them. Of several
+    entries of a path (a merged catalogue, or one that was crawled twice) the newest counts.
     """
-    return lookup_join(
-        files.select("path", "is_dir", "size", "mtime"), paths, "path", "left_semi", small=small
-    )
+    found = lookup_join(files.select("path", "is_dir", "size", "mtime"), paths, "path", "left_semi", small=small)
+    newest = found.groupBy("path").agg(F.max(F.struct("mtime", "size", "is_dir")).alias("entry"))
+    return newest.select("path", "entry.is_dir", "entry.size", "entry.mtime")
 
 
 def enrich(hits: DataFrame, files: DataFrame, as_of: dt.date, small: bool | None = None) -> DataFrame:
     """Adds name, class, size and date. A path without metadata gets size 0 and ``as_of``.
 
-    ``small`` says that ``hits`` (hence also what it finds) is known to fit a broadcast.
+    ``small`` says that the distinct paths of ``hits`` are known to fit a broadcast; what is found
+    has at most one row for each, of a few numbers, so it fits as well.
     """
     found = read_metadata(hits, files, small)
     named = lookup_join(hits, found, "path", "left", spread=F.xxhash64("doc_id"), small=small).withColumn(

@@ -11,7 +11,7 @@ from ..operators.joins import lookup_join
 from ..session import cut_lineage
 from ..sources.catalog import list_roots, split_errors
 from ..sources.index_table import IndexTable
-from ..sources.settings import RESET_STATE, append_log, index_staleness, latest, pairs, read_log
+from ..sources.settings import RESET_STATE, append_log, index_staleness, latest, next_version, pairs, read_log
 
 
 def plan_roots(files: DataFrame, excludes: DataFrame, root: str = "/") -> tuple[DataFrame, DataFrame]:
@@ -23,9 +23,14 @@ def plan_roots(files: DataFrame, excludes: DataFrame, root: str = "/") -> tuple[
     return cut_lineage(remaining), cut_lineage(remaining_excludes(excludes, excluded))
 
 
-def crawl_entries(files: DataFrame, roots: DataFrame, excludes: DataFrame | list[str]) -> DataFrame:
-    """Catalogue rows of all roots that a crawl with these excludes reports, with their ``root``."""
-    below = files.withColumn("root", root_of("path"))
+def crawl_entries(
+    files: DataFrame, roots: DataFrame, excludes: DataFrame | list[str], root: str = "/"
+) -> DataFrame:
+    """Catalogue rows of all roots that a crawl with these excludes reports, with their ``root``.
+
+    ``root`` is the crawl root whose children the roots are.
+    """
+    below = files.withColumn("root", root_of("path", root))
     listed = lookup_join(below, roots.select(F.col("path").alias("root")), "root", "left_semi")
     return prune_subtrees(listed, F.col("root"), excludes)
 
@@ -56,7 +61,8 @@ def init_index(
     """Rebuild the index if its state asks for it, and record the outcome.
 
     Roots are not crawled one after the other: all of them are one job, so progress
-    goes from the reset value to 100.
+    goes from the reset value to 100. ``indexed_files`` counts documents, ``entries`` what the
+    crawl saw and ``errors`` those of it that could not be indexed.
     """
     spark = table.spark
     settings = latest(read_log(spark, log_path))
@@ -66,15 +72,18 @@ def init_index(
     reset = list(RESET_STATE)
     if reason == "version":
         reset = [("version", version), *reset]
-    append_log(pairs(spark, reset, version=now), log_path)
+    append_log(pairs(spark, reset, version=next_version(spark, log_path)), log_path)
     roots, excludes = plan_roots(files, exclude_rows(settings))
-    built, _ = index_files(table.reset(), crawl_entries(files, roots, excludes), snapshot_seq)
+    built, errors = index_files(table.reset(), crawl_entries(files, roots, excludes), snapshot_seq)
+    n_errors = errors.count()
     outcome = [
         ("indexed", "true"),
         ("last_indexed", str(now)),
         ("indexed_files", str(built.num_docs())),
+        ("entries", str(built.num_docs() + n_errors)),
+        ("errors", str(n_errors)),
     ]
     if not roots.isEmpty():
         outcome.append(("indexed_progress", "100"))
-    append_log(pairs(spark, outcome, version=now + 1), log_path)
+    append_log(pairs(spark, outcome, version=next_version(spark, log_path)), log_path)
     return built

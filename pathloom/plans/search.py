@@ -26,13 +26,13 @@ def search(
     view: IndexView, files: DataFrame, q: str, as_of: dt.date, tokenizer: str = "mixed", k: int = TOP_K
 ) -> DataFrame:
     """The result page of one query, with its ``rank``."""
-    # The page has at most k rows. Written once, they also serve as scan filters for the
-    # stored paths and the metadata.
+    # Written once, the page's rows also serve as scan filters for the stored paths and the
+    # metadata. Each frame is counted before it is broadcast, as ``k`` is the caller's.
     hits = cut_lineage(search_hits(view, q, tokenizer, k))
     docs = restrict_scan(view.docs, "doc_id", hits)
-    stored = cut_lineage(fetch_stored(hits, docs, small=True))
+    stored = cut_lineage(fetch_stored(hits, docs, small=fits_broadcast(hits)))
     known = restrict_scan(files, "path", stored)
-    return project_result(enrich(stored, known, as_of, small=True), keep=("rank",))
+    return project_result(enrich(stored, known, as_of, small=fits_broadcast(stored)), keep=("rank",))
 
 
 def clause_search(view: IndexView, clauses: DataFrame, tokenizer: str = "mixed", k: int = TOP_K) -> DataFrame:
@@ -67,6 +67,5 @@ def search_batch(
 ) -> DataFrame:
     """Result pages of many queries, keyed by ``query_id``."""
     hits = cut_lineage(batch_hits(view, queries, tokenizer, k))
-    small = fits_broadcast(hits)
-    stored = fetch_stored(hits, view.docs, small=small)
-    return project_result(enrich(stored, files, as_of, small=small), keep=("query_id", "rank"))
+    stored = cut_lineage(fetch_stored(hits, view.docs, small=fits_broadcast(hits)))
+    return project_result(enrich(stored, files, as_of, small=fits_broadcast(stored)), keep=("query_id", "rank"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ DEFAULTS = {
     # Hash instead of sort-merge joins where every partition turned out to be small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64mb",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go once nothing refers to their frames any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,14 +40,17 @@ def local_session(app: str = "pathloom", cores: str = "8", **extra: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A temporary folder is used only when the session names none, which is the case in
-    single-machine tests.
+    A temporary folder is used only where the session names none and runs on one machine, as
+    in tests. On a cluster each machine would write to a folder of its own, so there the
+    setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
     return context.getCheckpointDir()
 

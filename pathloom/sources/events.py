@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import FS_EVENTS
 
@@ -24,13 +24,22 @@ def read_events(spark: SparkSession, path: str, fmt: str = "json", **options: st
     return reader.schema(FS_EVENTS).format(fmt).load(path)
 
 
-def split_bad_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unknown_renames() -> Column:
+    """Renames that do not say of each path whether it exists afterwards."""
+    unknown = F.exists(F.sequence(F.lit(0), F.size("paths") - 1), lambda i: F.get("exists_after", i).isNull())
+    return (F.col("op") == "rename") & (F.size("paths") > 0) & F.coalesce(unknown, F.lit(True))
+
+
+def split_bad_events(events: DataFrame, also: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(good events, bad events with the raw line).
 
-    An event without sequence number, kind or paths cannot be applied and is bad too.
+    An event without sequence number, kind or paths cannot be applied and is bad too, and so
+    are those for which ``also`` holds.
     """
     raw = F.col(BAD) if BAD in events.columns else F.lit(None).cast("string")
     complete = F.col("seq").isNotNull() & F.col("op").isNotNull() & F.col("paths").isNotNull()
     good = raw.isNull() & complete
+    if also is not None:
+        good = good & ~F.coalesce(also, F.lit(False))
     bad = events.where(~good).select("seq", F.coalesce(raw, F.to_json(F.struct("seq", "op", "paths"))).alias("raw"))
     return events.where(good).drop(BAD), bad

@@ -47,6 +47,7 @@ class Generation:
     next_id: int = 0
     snapshot_seq: int = -1
     streams: dict[str, int] = field(default_factory=dict)
+    feeds: dict[str, str] = field(default_factory=dict)
 
 
 class IndexTable:
@@ -97,11 +98,17 @@ class IndexTable:
         return reader.parquet(*[self._folder(kind, s) for s in segments])
 
     def _alive(self, rows: DataFrame) -> DataFrame:
-        """Rows of live documents. Catalyst sizes the removed ids from their files."""
+        """Rows of live documents. Catalyst sizes the removed ids from their files.
+
+        A removal concerns segments older than its own: an id that is added again in the same
+        or a later commit is a live document.
+        """
         if not self.generation.dead:
             return rows
-        dead = self._read(DEAD, "dead", self.generation.dead).select("doc_id")
-        return rows.join(dead, "doc_id", "left_anti")
+        dead = self._read(DEAD, "dead", self.generation.dead)
+        dead = dead.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("segment").alias("_by"))
+        removed = (F.col("doc_id") == F.col("_gone")) & (F.col("segment") < F.col("_by"))
+        return rows.join(dead, removed, "left_anti")
 
     def docs(self) -> DataFrame:
         return self._alive(self._read(DOCS, "docs", self.generation.docs))
@@ -136,12 +143,14 @@ class IndexTable:
         deletes: DataFrame | None = None,
         snapshot_seq: int | None = None,
         stream: tuple[str, int] | None = None,
+        feed: str | None = None,
     ) -> IndexTable:
         """Delete the documents of ``deletes(path)``, then append ``adds``, and publish.
 
         ``adds`` has ``path`` and may bring its own ``doc_id`` and ``name`` (the indexed
         text, else the last path component). Adds never replace older documents. ``stream``
-        is (name, batch number): a batch that was committed before is left alone.
+        is (stream id, batch number): a batch that was committed before is left alone. ``feed`` is
+        the name under which that stream is known.
         ``snapshot_seq`` records the last feed event that a bulk build already covers.
         """
         g = self.generation
@@ -174,6 +183,7 @@ class IndexTable:
             next_id=max(g.next_id, last_id + 1),
             snapshot_seq=g.snapshot_seq if snapshot_seq is None else snapshot_seq,
             streams={**g.streams, stream[0]: stream[1]} if stream else g.streams,
+            feeds={**g.feeds, feed: stream[0]} if stream and feed else g.feeds,
         ))._publish()
 
     def _write_docs(self, segment: str, adds: DataFrame) -> DataFrame:
@@ -189,7 +199,7 @@ class IndexTable:
             adds.select(doc_id.cast("long").alias("doc_id"), "path", name.alias("name")),
             "name", self.generation.tokenizer,
         )
-        docs.write.parquet(self._folder("docs", segment))
+        docs.sortWithinPartitions("doc_id").write.parquet(self._folder("docs", segment))
         return self._read(DOCS, "docs", [segment])
 
     def _write_dead(self, segment: str, deletes: DataFrame) -> DataFrame:
@@ -211,7 +221,7 @@ class IndexTable:
         if len({*g.docs, *g.dead}) <= 1 or not g.docs:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        self.docs().drop("segment").write.parquet(self._folder("docs", segment))
+        self.docs().drop("segment").sortWithinPartitions("doc_id").write.parquet(self._folder("docs", segment))
         postings = self.postings().drop("segment", "bucket")
         write_postings(postings, self._folder("postings", segment), g.buckets)
         write_terms([self.terms().select("term", "df")], self._folder("terms", segment), g.buckets)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.joins import lookup_join
 from ..schemas import KV_LOG
+from .storage import list_names
 
 # Default settings and the state a reset writes. Folder-dependent
 # settings are arguments of ``default_settings``.
@@ -28,6 +29,17 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*[F.col(f.name).cast(f.dataType) for f in KV_LOG]).write.mode("append").parquet(path)
 
 
+def next_version(spark: SparkSession, path: str) -> int:
+    """One above the newest version in the log, 0 for a log that is not there yet.
+
+    All writers of build state take their version here, so the last one to write counts.
+    """
+    if not list_names(spark, path):
+        return 0
+    newest = read_log(spark, path).agg(F.max("version")).first()[0]
+    return 0 if newest is None else newest + 1
+
+
 def pairs(spark: SparkSession, values: list[tuple[str, str]], version: int) -> DataFrame:
     """Log rows of one batch; the ordinal lets the last duplicate key win."""
     return spark.createDataFrame([(k, v, version, i) for i, (k, v) in enumerate(values)], KV_LOG)
@@ -68,6 +80,7 @@ def default_settings(
     """All settings a new installation starts with."""
     import json
 
+    # Keys and defaults.
     return [
         ("home_dir", home_dir),
         ("config_file", config_file),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -31,10 +33,11 @@ def read_text(spark: SparkSession, path: str) -> str:
 def publish_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a new small file that readers see whole or not at all.
 
-    Fails if the file exists, which is how a second writer is noticed.
+    Fails if the file exists, which is how a second writer is noticed. Each writer has a draft
+    of its own.
     """
     _, final, fs = _fs(spark, path)
-    _, draft, _ = _fs(spark, f"{path}.draft")
+    _, draft, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.draft")
     stream = fs.create(draft, True)
     try:
         stream.write(bytearray(text.encode("utf-8")))

@@ -367,3 +367,18 @@ def crawl_entries_query(spark, sf_dir):
     everything = manifest(spark, sf_dir)
     roots, excludes = plan_roots(everything, _root_excludes(spark, sf_dir))
     return crawl_entries(everything, roots, excludes).select("root", "path")
+
+
+@register(
+    "crawl_below",
+    f"""WITH {FILES_SQL}, below AS (SELECT '/mnt' || path AS path FROM files UNION ALL SELECT '/mntx' || path FROM files)
+SELECT regexp_extract(path, '^(/mnt/[^/]+)', 1) AS root, path FROM below WHERE starts_with(path, '/mnt/')""",
+)
+def crawl_below(spark, sf_dir):
+    """A crawl root other than ``/``; the same tree beside it, under a longer name, is not entered."""
+    listed = manifest(spark, sf_dir)
+    everything = listed.withColumn("path", F.concat(F.lit("/mnt"), "path")).unionByName(
+        listed.withColumn("path", F.concat(F.lit("/mntx"), "path"))
+    )
+    roots, excludes = plan_roots(everything, spark.createDataFrame([], "prefix string"), "/mnt")
+    return crawl_entries(everything, roots, excludes, "/mnt").select("root", "path")

@@ -232,11 +232,13 @@ def kv_defaults(spark, sf_dir):
     "init_index",
     f"""WITH {ROOTS_SQL}, keep AS (SELECT path FROM roots WHERE path NOT IN (SELECT prefix FROM ex)),
 rest AS (SELECT prefix FROM ex WHERE prefix NOT IN (SELECT path FROM roots)),
-e AS (SELECT path, {ROOT} AS root, {PARENT} AS up FROM files WHERE error IS NULL),
-n AS (SELECT count(*) AS n FROM e WHERE root IN (SELECT path FROM keep)
-  AND NOT EXISTS (SELECT 1 FROM rest WHERE length(up) > length(root) AND starts_with(up, prefix)))
+e AS (SELECT path, error, {ROOT} AS root, {PARENT} AS up FROM files),
+seen AS (SELECT error FROM e WHERE root IN (SELECT path FROM keep)
+  AND NOT EXISTS (SELECT 1 FROM rest WHERE length(up) > length(root) AND starts_with(up, prefix))),
+n AS (SELECT count(*) AS n FROM seen WHERE error IS NULL), nbad AS (SELECT count(*) AS bad FROM seen WHERE error IS NOT NULL)
 SELECT 'indexed' AS key, 'true' AS value UNION ALL SELECT 'last_indexed', '{NOW}' UNION ALL SELECT 'refresh', 'false'
-UNION ALL SELECT 'indexed_progress', '100' UNION ALL SELECT 'version', 'v1' UNION ALL SELECT 'indexed_files', CAST(n AS VARCHAR) FROM n""",
+UNION ALL SELECT 'indexed_progress', '100' UNION ALL SELECT 'version', 'v1' UNION ALL SELECT 'indexed_files', CAST(n AS VARCHAR) FROM n
+UNION ALL SELECT 'entries', CAST(n + bad AS VARCHAR) FROM n, nbad UNION ALL SELECT 'errors', CAST(bad AS VARCHAR) FROM nbad""",
 )
 def init_index_query(spark, sf_dir):
     path = work_dir(spark, "settings")
@@ -274,6 +276,14 @@ def read_events_query(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(f"{base}/out").withColumn("pos", F.col("pos").cast("long"))
 
 
+def _torn_lines(spark, sf_dir):
+    marks = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (k_of() == 13).alias("cut"))
+    events = fs_events(spark, sf_dir)
+    line = F.to_json(F.struct(*events.columns))
+    torn = F.substring(line, F.lit(1), F.length(line) - 5)
+    return events.join(marks, "seq").select(F.when(F.col("cut"), torn).otherwise(line).alias("value"))
+
+
 def _run_feed(spark, sf_dir, excludes=(), index_root=None):
     """Feed the events in three uneven instalments, restarting the stream for each."""
     base = work_dir(spark, "watch")
@@ -295,6 +305,51 @@ WATCH_EXCLUDES = ["/u/1"]
 KEPT = "NOT starts_with(path, '/u/1')"
 
 
+@register("stream_restart", f"WITH {FEED_SQL} SELECT path, copies FROM copies")
+def stream_restart(spark, sf_dir):
+    """Three instalments by three streams with checkpoints and names of their own, on one index."""
+    base = work_dir(spark, "restart")
+    IndexTable.create(spark, f"{base}/index", buckets=4)
+    events = fs_events(spark, sf_dir)
+    a, b = _cuts(spark, sf_dir)
+    seq = F.col("seq")
+    for i, part in enumerate((seq < a, (seq >= a) & (seq < b), seq >= b)):
+        _feed_lines(events.where(part)).write.text(f"{base}/in{i}")
+        for _ in range(2):  # a restart of the same stream finds nothing new
+            follow(
+                read_events(spark, f"{base}/in{i}"), f"{base}/index", f"{base}/checkpoint{i}", f"{base}/bad", name=f"feed{i}"
+            ).awaitTermination()
+    return M.path_copies(IndexTable.open(spark, f"{base}/index").docs())
+
+
+@register(
+    "stream_bad_events",
+    f"WITH {FEED_SQL.replace('FROM events)', "FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) <> 13)", 1)} SELECT path, copies FROM copies",
+)
+def stream_bad_events(spark, sf_dir):
+    """The feed with some lines cut short: they go aside, and the stream applies the rest."""
+    base = work_dir(spark, "torn")
+    IndexTable.create(spark, f"{base}/index", buckets=4)
+    _torn_lines(spark, sf_dir).write.text(f"{base}/in")
+    follow(read_events(spark, f"{base}/in"), f"{base}/index", f"{base}/checkpoint", f"{base}/bad").awaitTermination()
+    return M.path_copies(IndexTable.open(spark, f"{base}/index").docs())
+
+
+@register(
+    "stream_included",
+    f"WITH {FEED_SQL} SELECT path, copies FROM copies WHERE path = '/u/7' OR starts_with(path, '/u/7/')",
+)
+def stream_included(spark, sf_dir):
+    """Only what is below the include root."""
+    base = work_dir(spark, "include")
+    IndexTable.create(spark, f"{base}/index", buckets=4)
+    _feed_lines(fs_events(spark, sf_dir)).write.text(f"{base}/in")
+    follow(
+        read_events(spark, f"{base}/in"), f"{base}/index", f"{base}/checkpoint", f"{base}/bad", include="/u/7/"
+    ).awaitTermination()
+    return M.path_copies(IndexTable.open(spark, f"{base}/index").docs())
+
+
 @register("stream_apply", f"WITH {FEED_SQL} SELECT path, copies FROM copies WHERE {KEPT}")
 def stream_apply(spark, sf_dir):
     index, _ = _run_feed(spark, sf_dir, WATCH_EXCLUDES)
@@ -336,11 +391,7 @@ FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP
 def event_errors(spark, sf_dir):
     """Some lines are cut short; they go to the side table and the rest is applied."""
     base = work_dir(spark, "errors")
-    marks = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (k_of() == 13).alias("cut"))
-    events = fs_events(spark, sf_dir)
-    line = F.to_json(F.struct(*events.columns))
-    torn = F.substring(line, F.lit(1), F.length(line) - 5)
-    events.join(marks, "seq").select(F.when(F.col("cut"), torn).otherwise(line).alias("value")).write.text(f"{base}/in")
+    _torn_lines(spark, sf_dir).write.text(f"{base}/in")
     IndexTable.create(spark, f"{base}/index", buckets=4)
 
     def split(batch, batch_id):

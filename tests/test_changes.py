@@ -80,15 +80,27 @@ def test_bad_events(spark):
     assert [r.seq for r in good.collect()] == [1] and bad.count() == 3 and bad.where("raw = '{torn'").count() == 1
 
 
-@pytest.mark.parametrize("chunk", [4, 1 << 16])
-def test_numbering(spark, chunk):
+def test_numbering(spark):
     rng = random.Random(1)
     keys = sorted({rng.randint(-50, 50) for _ in range(40)} | {rng.randint(-(2**40), 2**40) for _ in range(60)} | {2**62 + i for i in range(9)})
     rows = [(k, t) for k in keys for t in range(rng.randint(1, 3))]
-    got = numbering.number_rows(spark.createDataFrame(rows, "k long, t int"), "k", ["t"], chunk)
+    got = numbering.number_rows(spark.createDataFrame(rows, "k long, t int"), "k", ["t"])
     assert sorted((r.n, r.k, r.t) for r in got.collect()) == [(i, *r) for i, r in enumerate(sorted(rows), 1)]
 
 
+@pytest.mark.parametrize("kind", ["one hot key", "hashed keys"])
+def test_numbering_gives_no_task_much(spark, kind):
+    rows = spark.range(30_000).select(
+        (F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")) if kind == "one hot key" else F.xxhash64("id")).alias("k"),
+        F.col("id").alias("t"),
+    )
+    numbered = numbering.number_rows(rows, "k", ["t"])
+    want = sorted((r.k, r.t) for r in rows.collect())
+    assert sorted((r.n, r.k, r.t) for r in numbered.collect()) == [(i, *r) for i, r in enumerate(want, 1)]
+    parts = [r["count"] for r in numbering._in_order(rows, "k", "t").groupBy("_part").count().collect()]
+    assert len(parts) > 2 and max(parts) < 15_000
+
+
 def test_progress(spark):
     roots = spark.createDataFrame([("/b",), ("/a",), ("/c",), ("/d",)], "root string")
     assert [(r.root, r.percent) for r in numbering.progress(roots).orderBy("root").collect()] == [

@@ -1,11 +1,15 @@
 import datetime as dt
 
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P, text as X, values as V
 
+from .names import names, pieces, route, tokens
+
 AS_OF = dt.date(2024, 6, 1)
 
 
@@ -72,19 +76,16 @@ def test_decode_path(spark):
 
 
 def test_words(spark):
-    texts = ["login_service.py", "Sunset_Beach2025.jpg", "a--b  c", "", "Élan vital²"]
-    assert column(spark, texts, X.tokenize_words) == [
-        ["login", "service", "py"], ["Sunset", "Beach2025", "jpg"], ["a", "b", "c"], [], ["Élan", "vital²"],
-    ]
+    texts = [*names(1, 150), "", "--", "Ünïted²"]
+    assert column(spark, texts, X.tokenize_words) == [re.findall(r"[^\W_]+", t) for t in texts]
 
 
 def test_language_and_han(spark):
-    names = ["预算_年度明细.xlsx", "周会记录_Weekly_Sync.txt", "draft.txt", "東京タワー", "星图", "乐曲初稿.demo.mp3"]
-    assert column(spark, names, X.route_language) == ["cmn", "other", "other", "other", "cmn", "other"]
-    assert column(spark, ["预算_年度明细.xlsx", "草案(机密)v2", "好a好"], X.segment_han) == [
-        ["预算", "年度", "度明", "明细", "xlsx"], ["草案", "机密", "v2"], ["好", "a", "好"],
-    ]
-    assert column(spark, ["星图.pdf", "my draft"], X.tokenize_mixed) == [["星图", "pdf"], ["my", "draft"]]
+    texts = [*names(2, 150), "タ漢字", "한漢字漢", ""]
+    assert column(spark, texts[:150], X.route_language) == [route(t) for t in texts[:150]]
+    assert column(spark, texts[150:], X.route_language) == ["other"] * 3
+    assert column(spark, texts[:150], X.segment_han) == [[t for run in re.findall(r"[^\W_]+", n) for t in pieces(run)] for n in texts[:150]]
+    assert column(spark, texts[:150], X.tokenize_mixed) == [tokens(t) for t in texts[:150]]
 
 
 def test_registry(spark):

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import os
+import random
 import re
 from collections import Counter
 
@@ -15,73 +16,101 @@ from pathloom.session import work_dir
 from pathloom.sources.catalog import crawl
 from pathloom.sources.index_table import IndexTable
 
-AS_OF = dt.date(2024, 6, 1)
-
-LATIN_NAMES = """login_service.py|db_pool.js|unit_checks.xml|yearly-sales.xlsx|board-minutes.docx
-Second Essay Draft.docx|first_essay_draft.txt|Beach2025_Sunset.jpg|Logo v2.ai|a.pdf|todo.txt"""
-HAN_NAMES = """预算_年度.xlsx|几何-习题-解答.pdf|早餐 食谱 合集.md|发布-生产环境.sh|生物-讲义-第二章.pptx
-周会记录_Weekly_Sync.txt|验收结果_Acceptance.xml|2024年度规划.txt|草案(机密).txt|参数#生产.json|履历.pdf"""
+from .names import names, tokens
 
+AS_OF = dt.date(2024, 6, 1)
 
 def paths_of(spark, paths):
     return spark.createDataFrame([(p,) for p in paths], "path string")
 
 
-@pytest.fixture(scope="module")
-def tree(tmp_path_factory):
-    root = tmp_path_factory.mktemp("tree")
-    names = re.split(r"[|\n]", LATIN_NAMES + "\n" + HAN_NAMES)
-    for name in names:
-        (root / name).write_text("")
-    return str(root), names
-
-
-def test_workflow(spark, tree):
-    """Build, delete one by one, search, add, add twice, delete once."""
-    root, names = tree
-    files = crawl(spark, root, ["None"])
-    index, errors = index_files(IndexTable.create(spark, work_dir(spark, "ix"), buckets=4), files)
-    n = len(names) + 1
-    assert index.num_docs() == n and errors.count() == 0
-    for i, name in enumerate(["早餐 食谱 合集.md", "周会记录_Weekly_Sync.txt", "生物-讲义-第二章.pptx", "验收结果_Acceptance.xml"], 1):
-        index = index.commit(deletes=paths_of(spark, [f"{root}/{name}"]))
-        assert index.num_docs() == n - i
-    n -= 4
-
-    def found(q):
-        page = S.search(index.view(), files, q, AS_OF).orderBy("rank").collect()
-        return [os.path.basename(r.path) for r in page]
-
-    assert set(found("生产")) == {"发布-生产环境.sh", "参数#生产.json"}
-    assert found("Draft") == ["Second Essay Draft.docx"]
-    index = index.commit(adds=paths_of(spark, [f"{root}/星图.pdf", f"{root}/starmap.pdf"]))
-    assert index.num_docs() == n + 2
-    assert found("starmap")[0] == "starmap.pdf" and found("星图")[0] == "星图.pdf"
-    assert found("Weekly_Sync") == [] and found("unit_checks") == ["unit_checks.xml"]
-    twice = f"{root}/twin_copy.pdf"
-    index = index.commit(adds=paths_of(spark, [twice])).commit(adds=paths_of(spark, [twice]))
-    assert index.num_docs() == n + 4 and found("twin") == ["twin_copy.pdf"] * 2
-    index = index.commit(deletes=paths_of(spark, [twice]))
-    assert index.num_docs() == n + 2 == index.docs().count() and found("twin") == []
-    assert found("") == found("  ") == found("!!") == []
-
-    # Statistics stay exact through deletes, and compaction changes nothing.
-    def state(ix):
-        return (
-            sorted(map(tuple, ix.terms().select("term", "df").collect())),
-            sorted(map(tuple, ix.docs().select("doc_id", "path").collect())),
-            ix.generation.n_docs, ix.generation.n_tokens,
-        )
+def state(index):
+    return (
+        sorted(map(tuple, index.terms().select("term", "df").collect())),
+        sorted(map(tuple, index.docs().select("doc_id", "path").collect())),
+        index.generation.n_docs, index.generation.n_tokens,
+    )
+
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_changes_follow_the_model(spark, seed):
+    """Adds, deletes and searches in random order, against a list of paths."""
+    rng = random.Random(seed)
+    pool = [f"/r/{n}" for n in names(seed, 30)]
+    index, model = IndexTable.create(spark, work_dir(spark, "ix"), buckets=4), []
+    nothing = paths_of(spark, []).selectExpr("path", "false AS is_dir", "0L AS size", "current_timestamp() AS mtime")
+    for _ in range(6):
+        gone = rng.sample(pool, rng.randint(0, 3))
+        new = rng.choices(pool, k=rng.randint(1, 9))
+        index = index.commit(adds=paths_of(spark, new), deletes=paths_of(spark, gone) if gone else None)
+        model = [p for p in model if p not in gone] + new
+        assert index.num_docs() == len(model)
+        assert sorted(r.path for r in index.docs().collect()) == sorted(model)
+        asked = rng.choice(tokens(os.path.basename(rng.choice(pool))))
+        found = [r.path for r in S.search(index.view(), nothing, asked, AS_OF).collect()]
+        assert sorted(found) == sorted(p for p in model if asked in tokens(os.path.basename(p)))
     live = index.docs().select("doc_id", "path", "name")
-    fresh = sorted(map(tuple, build_postings(live).groupBy("term").count().collect()))
-    assert state(index)[0] == fresh
+    assert state(index)[0] == sorted(map(tuple, build_postings(live).groupBy("term").count().collect()))
     packed = index.compact()
     assert state(packed) == state(index) and len(packed.generation.docs) == 1
     assert state(IndexTable.open(spark, index.root)) == state(index)
     assert packed.reset().num_docs() == 0
 
 
+def test_the_whole_name_ranks_first(spark):
+    own = [n for n in names(5, 40) if len(set(tokens(n))) > 1]
+    index = IndexTable.create(spark, work_dir(spark, "ix"), buckets=4).commit(adds=paths_of(spark, [f"/r/{n}" for n in own]))
+    for n in own[:4]:
+        best = S.search_hits(index.view(), " ".join(tokens(n))).where("rank = 1").join(index.docs(), "doc_id").first()
+        assert set(tokens(n)) <= set(tokens(best.name))
+    assert S.search_hits(index.view(), "").count() == S.search_hits(index.view(), " -- ").count() == 0
+
+
+def test_crawl_lists_what_is_there(spark, tmp_path):
+    own = names(6, 25)
+    for i, n in enumerate(own):
+        folder = tmp_path / f"d{i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / n).write_text("x" * i)
+    files = crawl(spark, str(tmp_path), [f"{tmp_path}/d1"])
+    index, errors = index_files(IndexTable.create(spark, work_dir(spark, "ix"), buckets=4), files)
+    want = [str(tmp_path)] + [f"{tmp_path}/d{k}" for k in range(3)] + [f"{tmp_path}/d{i % 3}/{n}" for i, n in enumerate(own) if i % 3 != 1]
+    assert sorted(r.path for r in index.docs().collect()) == sorted(want) and errors.count() == 0
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_an_id_that_comes_back_is_live(spark, later):
+    def docs(*rows):
+        return spark.createDataFrame(rows, "doc_id long, path string")
+
+    index = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=docs((1, "/a/one"), (2, "/a/two"), (3, "/a/three")))
+    gone = paths_of(spark, ["/a/one", "/a/two"])
+    again = docs((1, "/a/one"), (2, "/b/other"))
+    index = index.commit(deletes=gone).commit(adds=again) if later else index.commit(adds=again, deletes=gone)
+    packed = index.compact()
+    for table in (index, packed):
+        assert sorted((r.doc_id, r.path) for r in table.docs().collect()) == [(1, "/a/one"), (2, "/b/other"), (3, "/a/three")]
+        assert table.num_docs() == 3 == sum(r["count"] for r in table.docs().groupBy("path").count().collect())
+        assert {r.term: r.df for r in table.terms().collect()} == {"one": 1, "other": 1, "three": 1}
+        assert S.search_hits(table.view(), "other").count() == 1 and S.search_hits(table.view(), "two").count() == 0
+    index = packed.commit(deletes=paths_of(spark, ["/b/other"]))
+    assert index.num_docs() == 2 == index.docs().count()
+
+
+def test_a_page_has_one_row_per_hit(spark):
+    index = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=paths_of(spark, ["/d/x.txt", "/d/y.txt"]))
+    files = spark.sql(
+        "SELECT * FROM VALUES ('/d/x.txt', false, 1L, timestamp_seconds(100)), ('/d/x.txt', false, 2L, timestamp_seconds(300)),"
+        " ('/d/x.txt', false, 3L, NULL), ('/d/y.txt', false, 4L, NULL) AS t(path, is_dir, size, mtime)"
+    )
+    page = S.search(index.view(), files, "txt", AS_OF).collect()
+    assert sorted((r.path, r["size"]) for r in page) == [("/d/x.txt", 2.0), ("/d/y.txt", 4.0)]
+    asked = spark.createDataFrame([(7, "x"), (8, "txt"), (9, "none")], "query_id long, q string")
+    pages = S.search_batch(index.view(), files, asked, AS_OF).collect()
+    assert sorted((r.query_id, r.path, r["size"]) for r in pages) == [(7, "/d/x.txt", 2.0), (8, "/d/x.txt", 2.0), (8, "/d/y.txt", 4.0)]
+    assert {r.name for r in pages} == {"x.txt", "y.txt"} and {r["class"] for r in pages} == {"txt"}
+
+
 def test_enrich_of_search(spark):
     root = work_dir(spark, "ix")
     index = IndexTable.create(spark, root, buckets=4).commit(adds=paths_of(spark, ["/d/conf.d", "/d/conf.txt", "/gone/conf", "/old/conf.x"]))

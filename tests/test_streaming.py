@@ -1,17 +1,21 @@
 import json
+import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pathloom.operators.changes import path_copies
 from pathloom.plans import search as S
+from pathloom.plans.build import init_index
 from pathloom.session import work_dir
 from pathloom.sources.events import read_events
 from pathloom.sources.index_table import IndexTable
-from pathloom.sources.settings import read_log
+from pathloom.sources.settings import append_log, list_settings, pairs, read_log
 from pathloom.streaming.feed import apply_actions, follow
 from pathloom.streaming.requests import answer_stream, read_queries
 
+from .names import names
 from .test_changes import as_frame, make_log, model
 
 
@@ -35,20 +39,74 @@ class Feed:
         return IndexTable.open(self.spark, f"{self.base}/index")
 
 
-def test_guard(spark):
-    """40 creates, 10 renames, all removed: 40, 40, 0 documents."""
-    feed = Feed(spark, excludes=["/w/skip"])
-    names = [f"/w/item_{i}.txt" for i in range(40)]
-    index = feed.send([("create", [n], None) for n in names] + [("create", ["/w/skip/x"], None)])
-    assert index.num_docs() == 40 and S.search_hits(index.view(), "4").count() == 1
-    moved = [f"/w/moved_{i * 101}.txt" for i in range(10)]
-    index = feed.send([("rename", [a, b], [False, True]) for a, b in zip(names, moved)], torn=['{"seq": 7, "op'])
-    assert index.num_docs() == 40 and S.search_hits(index.view(), "303").count() == 1
-    index = feed.send([("remove", [n], None) for n in names[10:] + moved])
-    assert index.num_docs() == 0 and S.search_hits(index.view(), "15").count() == 0
+def test_random_feeds_follow_the_model(spark):
+    """Creates, renames and removes in random order, in instalments, against a list of paths."""
+    rng = random.Random(3)
+    feed, model = Feed(spark, excludes=["/w/skip"], include="/w"), []
+    pool = [f"/w/{n}" for n in names(3, 25)]
+    counts = []
+    for _ in range(3):
+        events = []
+        for _ in range(25):
+            op = rng.choice(["create", "create", "rename", "remove"])
+            a, b = rng.sample(pool, 2)
+            if op == "rename":
+                events.append((op, [a, b], [False, True]))
+                model = [p for p in model if p != a] + [b]
+            else:
+                events.append((op, [a], None))
+                model = model + [a] if op == "create" else [p for p in model if p != a]
+        events += [("create", ["/w/skip/x"], None), ("create", ["/other/y"], None), ("create", ["/wide"], None), ("other", [pool[0]], None)]
+        index = feed.send(events, torn=['{"seq": 7, "op'])
+        assert sorted(r.path for r in index.docs().collect()) == sorted(model)
+        counts.append(str(len(model)))
     log = read_log(spark, f"{feed.base}/settings")
-    assert [(r.version, r.value) for r in log.orderBy("version").collect()] == [(0, "40"), (1, "40"), (2, "0")]
-    assert spark.read.json(f"{feed.base}/bad").where("raw IS NOT NULL").count() == 1
+    assert [(r.version, r.value) for r in log.orderBy("version").collect()] == list(enumerate(counts))
+    assert spark.read.json(f"{feed.base}/bad").where("raw IS NOT NULL").count() == 3
+
+
+def test_a_new_checkpoint_starts_a_new_stream(spark):
+    feed = Feed(spark)
+    feed.send([("create", ["/a/one"], None)])
+    rows = spark.createDataFrame([(json.dumps({"seq": 1, "op": "create", "paths": ["/a/two"]}),)], "value string")
+    rows.write.text(f"{feed.base}/more")
+
+    def run(name):
+        follow(read_events(spark, f"{feed.base}/more"), f"{feed.base}/index", f"{feed.base}/checkpoint-{name}", f"{feed.base}/bad", name=name).awaitTermination()
+
+    with pytest.raises(StreamingQueryException, match="new name"):
+        run("feed")
+    run("second")
+    run("second")
+    assert sorted(r.path for r in IndexTable.open(spark, f"{feed.base}/index").docs().collect()) == ["/a/one", "/a/two"]
+
+
+def test_a_rename_that_nobody_knows_about_is_a_bad_event(spark):
+    feed = Feed(spark)
+    index = feed.send([("create", ["/a/one"], None), ("rename", ["/a/one", "/a/two"], None), ("rename", ["/a/one", "/a/three"], [True, None])])
+    assert [r.path for r in index.docs().collect()] == ["/a/one"]
+    assert spark.read.json(f"{feed.base}/bad").where("raw IS NOT NULL").count() == 2
+    files = spark.createDataFrame([("/a/two",)], "path string")
+    known = Feed(spark, files=files)
+    index = known.send([("create", ["/a/one"], None), ("rename", ["/a/one", "/a/two"], None)])
+    assert [r.path for r in index.docs().collect()] == ["/a/two"]
+
+
+def test_build_and_feed_share_one_log(spark):
+    feed = Feed(spark)
+    path = f"{feed.base}/settings"
+    append_log(pairs(spark, [("version", "v1"), ("default_exclude_path", "[]")], 10**12), path)
+    files = spark.sql("SELECT * FROM VALUES ('/a', 'x'), ('/a/b', NULL), ('/a/c', NULL) AS t(path, error)").selectExpr(
+        "path", "false AS is_dir", "1L AS size", "current_timestamp() AS mtime", "error"
+    )
+    init_index(IndexTable.open(spark, f"{feed.base}/index"), files, path, 1_700_000_000, "v1", snapshot_seq=-1)
+
+    def value(key):
+        return {r.key: r.value for r in list_settings(read_log(spark, path)).collect()}[key]
+
+    assert (value("indexed_files"), value("entries"), value("errors")) == ("2", "3", "1")
+    feed.send([("create", ["/a/d"], None)])
+    assert value("indexed_files") == "3"
 
 
 @pytest.mark.parametrize("cuts", [[600], [50, 600], [1, 300, 301, 600]])
