@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pathloom.llm.common import saved
 
 
-def _least(edges: DataFrame, *extra: str) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
