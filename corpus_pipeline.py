@@ -10,8 +10,8 @@ from pathloom.llm import decontaminate, packing, quality, simhash_gray, suffix_d
 from pathloom.llm.common import saved, table
 from pathloom.llm.queries import ratings, tokenizer_path
 
-#: The near-duplicate stage: word shingles of five words; fingerprints link at up to this many bits.
-SHINGLE, BITS_APART = 5, 3
+#: The near-duplicate stage: fingerprints of shingles of three and of five words; either links at up to three bits.
+SHINGLES, BITS_APART = (3, 5), 3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash_gray.keep_first(docs, words_per_shingle=SHINGLE, most=BITS_APART)
+    return simhash_gray.keep_first(docs, shingles=SHINGLES, most=BITS_APART)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
