@@ -15,8 +15,8 @@ from pathloom.streaming.feed import follow
 from pathloom.streaming.requests import answer_stream, read_queries
 
 from .catalog_queries import PARENT, ROOT, ROOTS_SQL, _root_excludes
-from .search_queries import BATCH_SQL
-from .tables import FEED_SQL, NAMED_SQL, docs, fs_events, index_of, k_of, kv_log, manifest, register, requests, table
+from .search_queries import BATCH_SQL, PAGES_SQL, corpus_files
+from .tables import AS_OF, FEED_SQL, NAMED_SQL, docs, fs_events, index_of, k_of, kv_log, manifest, register, requests, table
 
 NOW = 1706659200
 
@@ -407,6 +407,20 @@ def event_errors(spark, sf_dir):
     return good.unionByName(bad).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@register("stream_pages", PAGES_SQL)
+def stream_pages(spark, sf_dir):
+    """A stream of requests, answered by whole result pages."""
+    base = work_dir(spark, "page-requests")
+    requests(spark, sf_dir).write.json(f"{base}/in")
+    view, known = index_of(spark, sf_dir, "corpus").view(), corpus_files(spark, sf_dir)
+    answer_stream(
+        read_queries(spark, f"{base}/in"), lambda q: S.search_batch(view, known, q, AS_OF), f"{base}/out", f"{base}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "class", "name", "path", "size", "last_modified_date"
+    )
+
+
 @register("search_stream", f"WITH {BATCH_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 100")
 def search_stream(spark, sf_dir):
     base = work_dir(spark, "requests")

@@ -296,6 +296,29 @@ def search_batch(spark, sf_dir):
 
 # ---------------------------------------------------------------- result pages
 
+PAGES_SQL = f"""WITH {BATCH_SQL} SELECT query_id, rank, 'file' AS class, CAST(doc_id AS VARCHAR) AS name, '/doc/' || doc_id AS path,
+  CAST(n_chars AS DOUBLE) AS size, DATE '1970-01-01' + CAST(doc_id AS INTEGER) AS last_modified_date
+FROM ranked JOIN documents USING (doc_id) WHERE rank <= 100"""
+
+
+def corpus_files(spark, sf_dir):
+    """A catalogue that was crawled twice: each document has an older entry as well."""
+    day = F.col("doc_id") * 86400
+    entry = lambda size, mtime: table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"), F.lit(False).alias("is_dir"),
+        size.cast("long").alias("size"), F.timestamp_seconds(mtime).alias("mtime"),
+    )
+    return entry(F.col("n_chars"), day).unionByName(entry(F.lit(1), day - 100))
+
+
+@register("search_pages", PAGES_SQL)
+def search_pages(spark, sf_dir):
+    """The whole result pages of many requests."""
+    view = index_of(spark, sf_dir, "corpus").view()
+    pages = S.search_batch(view, corpus_files(spark, sf_dir), requests(spark, sf_dir), AS_OF)
+    return pages.withColumn("rank", F.col("rank").cast("long"))
+
+
 PAGE_QUERY = "  red Ring eco bolt lar "
 PAGE_SQL = f"""{NAMED_SQL},
 ntoks AS (SELECT doc_id, path, name, regexp_extract_all(name, '[\\p{{L}}\\p{{N}}]+') AS t FROM named),
