@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -59,15 +61,15 @@ def lookup_join(
 def restrict_scan(df: DataFrame, key: str, lookup: DataFrame, most: int = 128) -> DataFrame:
     """Keep rows of ``df`` whose ``key`` is in a short, already computed ``lookup``.
 
-    Up to ``most`` rows become filters of the scan. For integers these are single
-    equalities, which skip every row group that cannot hold one of them (a long IN list
-    would reach the reader as one wide range). A longer lookup leaves ``df`` as it is, for
+    Up to ``most`` rows become filters of the scan. These are single equalities, which skip
+    every row group that cannot hold one of them by its range or bloom filter (a long IN
+    list would reach the reader as one wide range). A longer lookup leaves ``df`` as it is, for
     a join to filter.
     """
     values = [r[0] for r in lookup.select(key).limit(most + 1).collect()]
     if len(values) > most:
         return df
     values = sorted({v for v in values if v is not None})
-    if values and all(isinstance(v, int) for v in values):
-        return df.where(" OR ".join(f"`{key}` = {v}" for v in values))
-    return df.where(F.col(key).isin(values))
+    if not values:
+        return df.where(F.lit(False))
+    return df.where(reduce(lambda a, b: a | b, [F.col(key) == v for v in values]))

@@ -16,7 +16,9 @@ Folders:
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import derive_name
 from ..functions.text import tokenize
-from ..operators.joins import lookup_join
+from ..operators.joins import lookup_join, restrict_scan
 from ..operators.postings import build_postings, doc_frequency, doc_lengths, term_bucket
 from ..operators.ranking import IndexView
 from ..schemas import DEAD, DOCS, POSTINGS, TERMS
+from ..session import cut_lineage
 from .storage import list_names, publish_text, read_text
 
 MAX_ID = 1 << 62
@@ -48,6 +51,7 @@ class Generation:
     snapshot_seq: int = -1
     streams: dict[str, int] = field(default_factory=dict)
     feeds: dict[str, str] = field(default_factory=dict)
+    tiers: dict[str, int] = field(default_factory=dict)
 
 
 class IndexTable:
@@ -178,6 +182,7 @@ class IndexTable:
             number=g.number + 1,
             docs=[*g.docs, segment] if new is not None else g.docs,
             dead=[*g.dead, segment] if gone is not None else g.dead,
+            tiers={**g.tiers, segment: tier_of(added + removed)},
             n_docs=g.n_docs + added - removed,
             n_tokens=g.n_tokens + added_tokens - removed_tokens,
             next_id=max(g.next_id, last_id + 1),
@@ -199,13 +204,14 @@ class IndexTable:
             adds.select(doc_id.cast("long").alias("doc_id"), "path", name.alias("name")),
             "name", self.generation.tokenizer,
         )
-        docs.sortWithinPartitions("doc_id").write.parquet(self._folder("docs", segment))
+        write_docs(docs, self._folder("docs", segment))
         return self._read(DOCS, "docs", [segment])
 
     def _write_dead(self, segment: str, deletes: DataFrame) -> DataFrame:
-        dead = lookup_join(
-            self.docs(), deletes.select("path").distinct(), "path", "left_semi", spread=F.xxhash64("doc_id")
-        )
+        # A few paths are filters of the scan, for which the files have bloom filters; more are a join.
+        paths = cut_lineage(deletes.select("path").distinct())
+        stored = restrict_scan(self._read(DOCS, "docs", self.generation.docs), "path", paths)
+        dead = lookup_join(self._alive(stored), paths, "path", "left_semi", spread=F.xxhash64("doc_id"))
         dead.drop("segment").write.parquet(self._folder("dead", segment))
         return self._read(DEAD, "dead", [segment])
 
@@ -221,14 +227,50 @@ class IndexTable:
         if len({*g.docs, *g.dead}) <= 1 or not g.docs:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        self.docs().drop("segment").sortWithinPartitions("doc_id").write.parquet(self._folder("docs", segment))
+        write_docs(self.docs().drop("segment"), self._folder("docs", segment))
         postings = self.postings().drop("segment", "bucket")
         write_postings(postings, self._folder("postings", segment), g.buckets)
         write_terms([self.terms().select("term", "df")], self._folder("terms", segment), g.buckets)
         return IndexTable(
-            self.spark, self.root, replace(g, number=g.number + 1, docs=[segment], dead=[])
+            self.spark, self.root, replace(g, number=g.number + 1, docs=[segment], dead=[], tiers={segment: tier_of(g.n_docs)})
         )._publish()
 
+    def merge_tail(self, fanout: int = 8) -> IndexTable:
+        """Fold the newest commits into a segment of the next tier, once they weigh as much as ``fanout`` of theirs.
+
+        A tier is a power of 8 of the rows. A row is rewritten once per tier, and a large old
+        segment is not touched by small new ones. The folded segment keeps the ids that its
+        commits removed, for older segments.
+        """
+        g = self.generation
+        segments = sorted({*g.docs, *g.dead}, reverse=True)
+        tail: list[str] = []
+        for tier in sorted(set(g.tiers.values()) | {0}):
+            tail = list(itertools.takewhile(lambda s: g.tiers.get(s, 0) <= tier, segments))
+            # As much as ``fanout`` segments of this tier; smaller ones count by their size.
+            if len(tail) > 1 and sum(8.0 ** (g.tiers.get(s, 0) - tier) for s in tail) >= fanout:
+                break
+        else:
+            return self
+        segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
+        docs, dead = [s for s in tail if s in g.docs], [s for s in tail if s in g.dead]
+        if docs:
+            write_docs(self._alive(self._read(DOCS, "docs", docs)).drop("segment"), self._folder("docs", segment))
+            postings = self._alive(self._read(POSTINGS, "postings", docs)).drop("segment", "bucket")
+            write_postings(postings, self._folder("postings", segment), g.buckets)
+        if dead:
+            gone = self._read(DEAD, "dead", dead).drop("segment").dropDuplicates(["doc_id"])
+            gone.write.parquet(self._folder("dead", segment))
+        counts = self._read(TERMS, "terms", tail).groupBy("term").agg(F.sum("df").alias("df"))
+        write_terms([counts], self._folder("terms", segment), g.buckets)
+        older = set(tail)
+        return IndexTable(self.spark, self.root, replace(
+            g, number=g.number + 1,
+            docs=[s for s in g.docs if s not in older] + ([segment] if docs else []),
+            dead=[s for s in g.dead if s not in older] + ([segment] if dead else []),
+            tiers={**{s: t for s, t in g.tiers.items() if s not in older}, segment: tier + 1},
+        ))._publish().merge_tail(fanout)
+
 
 def _totals(docs: DataFrame | None) -> tuple[int, int, int]:
     """(documents, tokens, highest id) of a written frame."""
@@ -238,6 +280,16 @@ def _totals(docs: DataFrame | None) -> tuple[int, int, int]:
     return tuple(row)
 
 
+def tier_of(rows: int) -> int:
+    return int(math.log(rows + 1, 8))
+
+
+def write_docs(docs: DataFrame, path: str) -> None:
+    """Documents in id order per file, with a bloom filter that finds a path without reading the file."""
+    writer = docs.sortWithinPartitions("doc_id").write.option("parquet.bloom.filter.enabled#path", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int) -> None:
     """Term buckets as folders, each file sorted by term and document.
 

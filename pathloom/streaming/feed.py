@@ -14,7 +14,7 @@ from ..sources.index_table import IndexTable
 from ..sources.settings import append_log, next_version, pairs
 from ..sources.storage import read_text
 
-COMPACT_AFTER = 64
+MERGE_AFTER = 8
 
 
 def apply_actions(
@@ -52,7 +52,7 @@ def follow(
     include: str = "/",
     name: str = "feed",
     trigger: dict | None = None,
-    compact_after: int = COMPACT_AFTER,
+    merge_after: int = MERGE_AFTER,
 ) -> StreamingQuery:
     """Apply a feed to the index, one commit per micro-batch.
 
@@ -65,6 +65,9 @@ def follow(
     in its checkpoint, and its number. A new checkpoint is a new stream, whose numbers start
     again, and takes a new ``name``: a name that another stream of this index has used fails.
 
+    After ``merge_after`` commits of about one size, those are folded into one, and so on by
+    tiers; ``IndexTable.compact`` folds everything and is for quiet hours.
+
     Bad events go to ``bad_path`` and do not stop the stream. A rename of which neither the
     event nor a catalogue says what exists afterwards is one of them.
     """
@@ -87,8 +90,7 @@ def follow(
             count = [("indexed_files", str(table.num_docs()))]
             append_log(pairs(spark, count, version=next_version(spark, log_path)), log_path)
         batch.unpersist()
-        if len({*table.generation.docs, *table.generation.dead}) >= compact_after:
-            table.compact()
+        table.merge_tail(merge_after)
 
     return (
         events.writeStream.queryName(name)

@@ -6,6 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pathloom.operators.changes import path_copies
+from pathloom.operators.joins import restrict_scan
 from pathloom.plans import search as S
 from pathloom.plans.build import init_index
 from pathloom.session import work_dir
@@ -132,11 +133,29 @@ def test_backlog_is_applied_once(spark):
     assert sorted(r.path for r in index.docs().collect()) == ["/a/x", "/a/y"]
 
 
-def test_compaction_in_stream(spark):
-    feed = Feed(spark, compact_after=2)
-    for i in range(3):
-        index = feed.send([("create", [f"/c/n{i}.txt"], None)])
-    assert index.num_docs() == 3 and len(index.generation.docs) == 1
+def test_commits_are_merged_by_tiers(spark):
+    """A large first segment stays as it is; ids removed by merged commits stay removed in it."""
+    base = work_dir(spark, "tiers")
+    first = spark.range(5000).selectExpr("concat('/big/n', id) AS path")
+    table = IndexTable.create(spark, f"{base}/index", buckets=2).commit(adds=first)
+    big, model = table.generation.docs[0], [f"/big/n{i}" for i in range(5000)]
+    for i in range(5):
+        gone, new = [f"/big/n{i}", f"/c/n{i - 1}"], [f"/c/n{i}", f"/c/n{i}", f"/big/n{i}x"]
+        frame = lambda paths: spark.createDataFrame([(p,) for p in paths], "path string")
+        table = table.commit(adds=frame(new), deletes=frame(gone)).merge_tail(2)
+        model = [p for p in model if p not in gone] + new
+        assert table.generation.docs[0] == big and len(table.generation.docs) <= 4
+        assert sorted(r.path for r in table.docs().collect()) == sorted(model) and table.num_docs() == len(model)
+    packed = table.compact()
+    terms = lambda t: sorted(map(tuple, t.terms().select("term", "df").collect()))
+    assert terms(packed) == terms(table) == terms(IndexTable.open(spark, table.root, table.generation.number))
+
+
+def test_deletes_of_a_few_paths_are_filters_of_the_scan(spark):
+    table = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=spark.range(9).selectExpr("concat('/p/', id) AS path"))
+    stored = restrict_scan(table.docs(), "path", spark.createDataFrame([("/p/3",), ("/p/5",)], "path string"))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(path,/p/3)" in plan and "EqualTo(path,/p/5)" in plan and stored.count() == 2
 
 
 def test_requests(spark):
