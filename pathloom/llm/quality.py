@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,19 +20,26 @@ from pathloom.llm.common import slices
 SAMPLE = 8_000
 WIDTH = 1 << 16
 GRADES = 3
+#: Chance of the best grade from which a document is kept.
+LEAST_CHANCE = 0.55
 
 
 def token_features(token: str, width: int = WIDTH) -> list[int]:
-    """Hashed features of one token: its letters, their beginning, and its shape."""
+    """Hashed features of one token: its letters, their beginnings, and its shape."""
     letters = "".join(c for c in token.lower() if c.isalnum())
     shape = "".join(sorted({c for c in token if not c.isalnum()}))
     case = "u" if token.isupper() and len(letters) > 1 else "l"
     own = [f"s{case}{shape}"]
     if letters:
-        own += [f"w{letters}", f"b{letters[:5]}", f"c{letters[:6]}"]
+        own += [f"w{letters}", *[f"{k}{letters[:k]}" for k in (3, 4, 5, 6)]]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % width for x in own]
 
 
+def scale_of(tokens: int) -> float:
+    """What counts are divided by: about the root of the length, more for short texts, which tell little."""
+    return math.sqrt(tokens + 30)
+
+
 def repeat_feature(width: int = WIDTH) -> int:
     return zlib.crc32(b"r") % width
 
@@ -42,7 +52,7 @@ class Hasher:
         self.known: dict[str, list[int]] = {}
 
     def row(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(feature, value): counts over the square root of the number of tokens."""
+        """(feature, value): counts over ``scale_of`` the number of tokens."""
         tokens = (text or "").split()
         counts: Counter[int] = Counter()
         if len(self.known) > 200_000:
@@ -57,10 +67,30 @@ class Hasher:
         if again:
             counts[repeat_feature(self.width)] += again
         features = np.fromiter(counts.keys(), np.int32, len(counts))
-        values = np.fromiter(counts.values(), np.float32, len(counts)) / np.float32(np.sqrt(max(len(tokens), 1)))
+        values = np.fromiter(counts.values(), np.float32, len(counts)) / np.float32(scale_of(len(tokens)))
         return features, values
 
 
+class TokenScores(dict):
+    """What each token adds to a text's score: the sum of its features' weights, worked out once."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.weights, self.again = weights, float(weights[repeat_feature(len(weights))])
+
+    def __missing__(self, token: str) -> float:
+        value = self[token] = float(self.weights[token_features(token, len(self.weights))].sum())
+        return value
+
+    def score(self, text: str | None) -> float:
+        """The same as the weighted sum of ``Hasher.row``."""
+        tokens = (text or "").split()
+        if len(self) > 500_000:
+            self.clear()
+        again = sum(map(operator.eq, tokens, islice(tokens, 1, None)))
+        return (sum(map(self.__getitem__, tokens)) + again * self.again) / scale_of(len(tokens))
+
+
 @dataclass
 class OrdinalModel:
     """P(grade <= k) = sigmoid(threshold k - w.x): one weight vector, ordered thresholds."""
@@ -77,7 +107,7 @@ class OrdinalModel:
 
 def fit_rows(
     rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, grades_n: int = GRADES, width: int = WIDTH,
-    epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 7,
+    epochs: int = 12, rate: float = 0.3, decay: float = 3e-4, seed: int = 7,
 ) -> OrdinalModel:
     """Maximum likelihood by Adagrad over small batches.
 
@@ -162,12 +192,10 @@ def score(docs: DataFrame, model: OrdinalModel | None, least: int = GRADES - 1,
 
     @F.pandas_udf("struct<expected_grade:double,tail_probability:double,grade:int>")
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, hasher = held.value, Hasher()
+        own = held.value
+        added = TokenScores(own.weights)
         for texts in parts:
-            scores = np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                features, values = hasher.row(text)
-                scores[i] = own.weights[features] @ values
+            scores = np.array([added.score(text) for text in texts], float)
             chances = own.probabilities(scores)
             yield pd.DataFrame(
                 {
@@ -180,7 +208,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, least: int = GRADES - 1,
     return docs.select(*columns, rate(F.col(text_col).cast("string")).alias("rating"))
 
 
-def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = 0.5, **options) -> DataFrame:
+def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = LEAST_CHANCE, **options) -> DataFrame:
     """Rows whose chance of the best grade is at least ``least_chance``; all rows if nothing is rated."""
     scored = score(docs, fit(docs, ratings, **options))
     chance = F.col("rating.tail_probability")

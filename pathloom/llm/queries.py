@@ -36,7 +36,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, ratings(spark, sf_dir)))
-    return scored.select("doc_id", "rating.expected_grade", "rating.tail_probability", "rating.grade", (F.col("rating.tail_probability") >= 0.5).alias("selected"))
+    return scored.select("doc_id", "rating.expected_grade", "rating.tail_probability", "rating.grade", (F.col("rating.tail_probability") >= quality.LEAST_CHANCE).alias("selected"))
 
 
 @register("op2_chat_repair")
