@@ -61,7 +61,7 @@ def test_nothing_rated_rejects_nothing(frame):
 def test_gradients_are_differences_of_the_loss():
     rng = np.random.default_rng(0)
     net = recurrent_lm.Network.fresh(np.full(recurrent_lm.CLASSES, 1 / recurrent_lm.CLASSES))
-    x, y = rng.integers(0, 64, (2, 5, 7)).astype(np.int16)
+    x, y = rng.integers(0, 40, (2, 5, 7)).astype(np.int16)
     start, live = np.zeros((5, 7), bool), np.ones((5, 7), bool)
     start[0, :3] = start[2, 1] = True
     live[4, 5:] = False
@@ -78,7 +78,7 @@ def test_gradients_are_differences_of_the_loss():
 def test_windows_carry_the_state_through_whole_documents():
     rng = np.random.default_rng(1)
     net = recurrent_lm.Network.fresh(np.full(recurrent_lm.CLASSES, 1 / recurrent_lm.CLASSES))
-    docs = [rng.integers(0, 64, int(n)).astype(np.int16) for n in [*rng.integers(1, 90, 400), 700]]
+    docs = [rng.integers(0, 40, int(n)).astype(np.int16) for n in [*rng.integers(1, 90, 400), 700]]
     got = recurrent_lm.log10_chances(net, docs)
     for i in (0, 5, 117, 399, 400):
         h, before, total = np.zeros((recurrent_lm.HIDDEN, 1), np.float32), 0, 0.0
@@ -124,16 +124,17 @@ def test_chances_add_up_to_one(frame):
     after = net.forward(np.zeros((1, 1), int), np.ones((1, 1), bool), np.zeros((recurrent_lm.HIDDEN, 1), np.float32))[-1]
     logs = [net.log_chances(after, np.array([[c]]))[0, 0] for c in range(recurrent_lm.CLASSES)]
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
-    texts = frame([(1, "a b b c cc ccc dd " * 9)], "key long, text string")
-    counts = recurrent_lm.count_words(texts)
-    model = recurrent_lm.fit(texts, counts)
-    classes = recurrent_lm.Classes([])
-    classes.known = {recurrent_lm.END: 0} | {w: i + 1 for i, w in enumerate(model.top)}
+    counts = recurrent_lm.count_words(frame([(1, "a b b c cc ccc dd " * 9)], "key long, text string"))
+    words = recurrent_lm.vocabulary(counts)
+    codes = recurrent_lm.Codes(words)
     by_class = Counter()
     for r in counts.collect():
-        by_class[int(classes.of([bytes(r.word)])[0])] += r.n + 0.5
+        by_class[codes.kinds[codes[bytes(r.word)]]] += r.n + 0.5
     for c, total in by_class.items():
-        assert total + 0.5 == pytest.approx(model.class_total[c])
+        assert total + 0.5 == pytest.approx(words.class_total[c])
+    assert codes.kinds[codes[b"unseen"]] >= recurrent_lm.OWN
+    codes.forget()
+    assert b"unseen" not in codes and len(codes.words) == codes.known
 
 
 def test_held_out_likelihood_beats_the_unigram(frame):
