@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pathloom.llm.common import LOWER, utf8
 
 SAMPLES = 64
 STEPS = 1 << 16
+HELD = 1 << 16  # terms whose values are held at once
 
 
 def gamma_quantiles() -> np.ndarray:
@@ -49,48 +51,99 @@ def terms(text: str | None, words: int = 2) -> tuple[np.ndarray, np.ndarray]:
     own = utf8(text).translate(LOWER).split()
     if not own:
         return np.zeros(0, np.uint64), np.zeros(0)
-    joined = b" ".join(own)
-    ends = np.cumsum([len(w) + 1 for w in own]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
+    single = np.array(list(map(xxhash.xxh3_64_intdigest, own)), np.uint64)
     size = min(words, len(own))
-    hash_of = xxhash.xxh3_64_intdigest
-    spans = zip(starts[: len(own) - size + 1].tolist(), ends[size - 1 :].tolist())
-    hashes = np.array([hash_of(joined[a:b]) for a, b in spans], np.uint64)
+    hashes = np.full(len(own) - size + 1, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + single[k : k + len(hashes)]
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     hashes, counts = np.unique(hashes, return_counts=True)
     return hashes, counts.astype(np.float64)
 
 
-def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One drawn (term, level) per sample, as 16-bit codes; zeros for no terms.
+def draws(own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r and log c, both of Gamma(2, 1), and beta of terms, from one hash each."""
+    x = mixed(own, keys)
+    low = np.uint64(STEPS - 1)
+    beta = (x >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+    return GAMMA[x & low], LOG_GAMMA[(x >> np.uint64(16)) & low], beta
 
-    For each term and sample: r and c are Gamma(2, 1), beta is uniform, all from the term's
-    hash alone. With t = floor(log(weight) / r + beta) and y = exp(r (t - beta)), the term
-    with the smallest c / (y exp(r)) is drawn, together with its t. Two weightings draw the
-    same with a chance of their generalised Jaccard similarity, sum of the smaller weights over
-    sum of the larger.
-    """
-    best = np.full(SAMPLES, np.inf, np.float32)
-    drawn = np.zeros(SAMPLES, np.uint64)
-    columns = np.arange(SAMPLES)
+
+def values(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log(c / (y exp(r))) of each term and sample, with t = floor(log(weight) / r + beta) and y = exp(r (t - beta))."""
+    out = np.empty((len(hashes), SAMPLES), np.float32)
     for at in range(0, len(hashes), 256):
-        own, logs = hashes[at : at + 256], np.log(weights[at : at + 256]).astype(np.float32)[:, None]
-        x = mixed(own, KEYS[0])
-        low = np.uint64(STEPS - 1)
-        r, log_c = GAMMA[x & low], LOG_GAMMA[(x >> np.uint64(16)) & low]
-        beta = (x >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        level = np.floor(logs / r + beta)
-        value = log_c - r * (level - beta + np.float32(1))
-        row = value.argmin(axis=0)
-        least = value[row, columns]
-        better = least < best
-        best[better] = least[better]
-        code = own[row] + level[row, columns].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        drawn[better] = code[better]
+        logs = np.log(weights[at : at + 256]).astype(np.float32)[:, None]
+        r, log_c, beta = draws(hashes[at : at + 256], KEYS[0])
+        out[at : at + 256] = log_c - r * (np.floor(logs / r + beta) - beta + np.float32(1))
+    return out
+
+
+def drawn(hashes: np.ndarray, weights: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """16-bit codes of the smallest value of each sample: of its term, and of its t."""
     if not len(hashes):
         return np.zeros(SAMPLES, np.uint16)
+    row = value.argmin(axis=0)
+    term = hashes[row]
+    logs = np.log(weights[row]).astype(np.float32)
+    r, _, beta = (x.diagonal() for x in draws(term, KEYS[0]))
+    level = np.floor(logs / r + beta).astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        drawn = (drawn ^ (drawn >> np.uint64(32))) * KEYS[1]
-    return np.maximum(drawn >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+        code = term + level * np.uint64(0x9E3779B97F4A7C15)
+        code = (code ^ (code >> np.uint64(32))) * KEYS[1]
+    return np.maximum(code >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+
+
+def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """One drawn (term, level) per sample, as 16-bit codes; zeros for no terms.
+
+    For each term and sample, r and c are Gamma(2, 1) and beta is uniform, all from the term's
+    hash alone. The term with the smallest c / (y exp(r)) is drawn, together with its t (see
+    ``values``). Two weightings draw the same with a chance of their generalised Jaccard
+    similarity, sum of the smaller weights over sum of the larger.
+    """
+    out, least = np.zeros(SAMPLES, np.uint16), np.full(SAMPLES, np.inf, np.float32)
+    for at in range(0, len(hashes), HELD):
+        own, weight = hashes[at : at + HELD], weights[at : at + HELD]
+        value = values(own, weight)
+        low = value.min(axis=0)
+        out = np.where(low < least, drawn(own, weight, value), out)
+        least = np.minimum(low, least)
+    return out
+
+
+@dataclass
+class Sampled:
+    """The terms of a text, in order of hash, with their values and what was drawn.
+
+    Of a text with more than ``HELD`` terms only the last is kept.
+    """
+
+    hashes: np.ndarray
+    weights: np.ndarray
+    values: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, text: str | None) -> "Sampled":
+        hashes, weights = terms(text)
+        if len(hashes) > HELD:
+            return cls(hashes[:0], weights[:0], np.zeros((0, SAMPLES), np.float32), sample(hashes, weights))
+        value = values(hashes, weights)
+        return cls(hashes, weights, value, drawn(hashes, weights, value))
+
+    def resampled(self, text: str | None) -> np.ndarray:
+        """The codes of a text that shares most of its terms: values of a term and weight are taken over."""
+        hashes, weights = terms(text)
+        if not len(self.hashes) or not 0 < len(hashes) <= HELD:
+            return sample(hashes, weights)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = (self.hashes[place] == hashes) & (self.weights[place] == weights)
+        value = np.empty((len(hashes), SAMPLES), np.float32)
+        value[same] = self.values[place[same]]
+        value[~same] = values(hashes[~same], weights[~same])
+        return drawn(hashes, weights, value)
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -172,9 +225,10 @@ def neighbour_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "d
         def done(row: tuple, following: tuple) -> tuple:
             doc, text, own = row
             changed = edited(text, following[1])
-            other = fingerprint(changed)
+            other = own.resampled(changed)
             digest = hashlib.sha256(utf8(changed)).hexdigest()
-            return doc, len(text), digest, shown(own), shown(other), likeness(own, other), likeness(own, following[2])
+            near = likeness(own.codes, other), likeness(own.codes, following[2].codes)
+            return doc, len(text), digest, shown(own.codes), shown(other), *near
 
         names = RESULT.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
         last, part, guest_seen = None, None, False
@@ -185,7 +239,7 @@ def neighbour_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "d
                     last, part, guest_seen = None, own_part, False
                 if guest_seen:
                     continue  # rows that share the next range's first id: the first of them is the next row
-                row = (doc, text, fingerprint(text))
+                row = (doc, text, Sampled.of(text))
                 if last is not None:
                     out.append(done(last, row))
                 last = row
