@@ -206,7 +206,7 @@ def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "text", 16 << 20):
+        for frame in slices(frames, "text", 8 << 20):
             ids, marks = frame["doc_id"].to_numpy(np.int64), frame["mark"].to_numpy(np.int64)
             hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(frame["text"]):
