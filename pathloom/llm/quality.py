@@ -85,7 +85,7 @@ class TokenScores(dict):
     def score(self, text: str | None) -> float:
         """The same as the weighted sum of ``Hasher.row``."""
         tokens = (text or "").split()
-        if len(self) > 50_000:  # few, as every task of an executor has its own
+        if len(self) > 200_000:  # few, as every task of an executor has its own
             self.clear()
         again = sum(map(operator.eq, tokens, islice(tokens, 1, None)))
         return (sum(map(self.__getitem__, tokens)) + again * self.again) / scale_of(len(tokens))
