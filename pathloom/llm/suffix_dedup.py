@@ -15,6 +15,7 @@ from pathloom.operators.joins import lookup_join
 LEVELS = (20, 36, None)  # bytes of an anchor: first, where an anchor is too common, and the whole window
 COLLECTION = 1024  # strings of one collection, as far as whole anchors allow
 COMMON = 65_536  # strings of one anchor before it is cut finer
+PASSED_ON = 4096  # strings of a common anchor that go to the finer level at a time
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -387,9 +388,13 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
         for frame in frames:
             for anchor, piece, doc in zip(frame["anchor"], frame["piece"], frame["doc_id"]):
                 if anchor != current:
-                    into = single if len(strings) == 1 and not common else done
-                    into[0].extend(strings)
-                    into[1].extend(docs)
+                    if common:  # all of its strings meet at the finer level, the last ones too
+                        if strings:
+                            yield cut(strings, docs)
+                    else:
+                        into = single if len(strings) == 1 else done
+                        into[0].extend(strings)
+                        into[1].extend(docs)
                     strings, docs, current, common = [], [], anchor, False
                     if len(done[0]) >= COLLECTION:
                         yield from close(*done)
@@ -398,7 +403,7 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
                 docs.append(doc)
                 if not last and (common or len(strings) > COMMON):
                     common = True
-                    if len(strings) > 4096:
+                    if len(strings) > PASSED_ON:
                         yield cut(strings, docs)
                         strings, docs = [], []
             if common and strings:

@@ -186,3 +186,23 @@ def test_repeats_are_those_of_brute_force(frame, monkeypatch, common):
     cut = {(r.doc_id, len(r.text or "")): r.text for r in suffix_dedup.drop_repeats(docs).collect()}
     assert (103, 0) in cut and len(cut) >= 55
     assert suffix_dedup.find_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("passed_on", [4096, 2])
+def test_common_anchors_keep_all_their_strings_together(spark, frame, monkeypatch, passed_on):
+    """Several common anchors in one batch, and batches that end within an anchor."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", 3)
+    monkeypatch.setattr(suffix_dedup, "PASSED_ON", passed_on, raising=False)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    cores, left, right = [word(30) for _ in range(4)], [word(35) for _ in range(5)], [word(35) for _ in range(5)]
+    texts = [a + core + b for core in cores for a in left for b in right]
+    rng.shuffle(texts)
+    want = brute_repeats(list(enumerate(texts)), 50)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = suffix_dedup.find_repeats(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.doc_id: r.repeats.n_removed for r in found} == {i: int(want[str(i), t].sum()) for i, t in enumerate(texts)}
