@@ -210,7 +210,11 @@ def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
         for frame in slices(frames, "text", 8 << 20):
             ids, marks = frame["doc_id"].to_numpy(np.int64), frame["mark"].to_numpy(np.int64)
             hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, text in enumerate(frame["text"]):
+            taken: set[tuple[int, int]] = set()
+            for i, (key, text) in enumerate(zip(zip(ids.tolist(), marks.tolist()), frame["text"])):
+                if key in taken:  # the same text with the same id: told with the first one
+                    continue
+                taken.add(key)
                 own = np.unique(anchors(np.frombuffer(utf8(text), np.uint8), length, LEVELS[0])[0])
                 hashes.append(own)
                 rows.append(np.full(len(own), i))
@@ -220,15 +224,18 @@ def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
             order = np.lexsort((ids[row], hashed))
             hashed, row = hashed[order], row[order]
             # Repeated here: the first and the last document of a hash differ.
-            first = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1])))
+            head = np.concatenate(([True], hashed[1:] != hashed[:-1]))
+            first = np.flatnonzero(head)
             last = np.append(first[1:], len(hashed)) - 1
             twice = ids[row[first]] != ids[row[last]]
             here = np.repeat(twice, last - first + 1)
             settled = packed(ids[row[here]], marks[row[here]], hashed[here], parts)
             yield settled.assign(bucket=settled["part"], settled=True, local=None)[columns]
             # One of each to its bucket: hash, its document within the piece, whether it is settled.
-            sent = row[first]
-            bucket = (hashed[first] % np.uint64(parts)).astype(np.int64)
+            # Of a hash that one id has in several texts, each text: all of them may be told.
+            told = head | ~here
+            sent, keys, known = row[told], hashed[told], here[told]
+            bucket = (keys % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((sent, bucket))
             edges = np.searchsorted(bucket[order], np.arange(parts + 1))
             out = []
@@ -236,8 +243,8 @@ def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
                 own = order[edges[b] : edges[b + 1]]
                 if len(own):
                     used, local = np.unique(sent[own], return_inverse=True)
-                    local = (local.astype(np.uint32) << np.uint32(1)) | twice[own].astype(np.uint32)
-                    out.append((b, False, 0, ids[used].tobytes(), marks[used].tobytes(), hashed[first][own].tobytes(), local.tobytes()))
+                    local = (local.astype(np.uint32) << np.uint32(1)) | known[own].astype(np.uint32)
+                    out.append((b, False, 0, ids[used].tobytes(), marks[used].tobytes(), keys[own].tobytes(), local.tobytes()))
             yield pd.DataFrame(out, columns=columns)
 
     columns = ["bucket", "settled", "part", "ids", "marks", "keys", "local"]

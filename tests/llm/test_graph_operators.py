@@ -206,3 +206,15 @@ def test_common_anchors_keep_all_their_strings_together(spark, frame, monkeypatc
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {r.doc_id: r.repeats.n_removed for r in found} == {i: int(want[str(i), t].sum()) for i, t in enumerate(texts)}
+
+
+def test_texts_of_one_id_are_all_told_of_an_earlier_document(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    core = word(90)
+    rows = [(5, "one " + core), (5, core + " two"), (5, "one " + core), (5, word(70)), (1, "head " + core + " tail"), (6, word(80))]
+    # The texts of id 5 are in one slice, the earlier document is in another.
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    want = brute_repeats(rows, 50)
+    found = suffix_dedup.find_repeats(docs).collect()
+    assert sorted((r.doc_id, r.text, r.repeats.n_removed) for r in found) == sorted((i, t, int(want[str(i), t].sum())) for i, t in rows)
