@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathloom.llm.common import saved
 
+LONG_BLANKS = 100_000  # blanks in a row beyond which tiktoken's pattern may run out of stack
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, part int, nth long"
 
 
@@ -44,7 +46,36 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
+class WholeEncoder:
+    """Ids as ``tokenizers`` gives them, by ``tiktoken`` where the two are sure to agree.
+
+    Texts with very long runs of blanks go to ``tokenizers`` itself, and with ``added_tokens``
+    those that hold the string of an added token, which has its own id there; else such strings
+    are ordinary text. ``tokenizers`` is loaded when the first such text comes.
+    """
+
+    def __init__(self, path: str, added_tokens: bool) -> None:
+        import json
+
+        self.path, self.added, self.whole = path, added_tokens, None
+        self.fast = encoder(path).encode_ordinary
+        self.blanks = re.compile(r"\s{%d}" % LONG_BLANKS)
+        with open(path, encoding="utf-8") as file:
+            tokens = [re.escape(t["content"]) for t in json.load(file)["added_tokens"]]
+        self.tokens = re.compile("|".join(tokens)) if tokens and added_tokens else None
+
+    def __call__(self, text: str) -> list[int]:
+        if (self.tokens is None or not self.tokens.search(text)) and (len(text) < LONG_BLANKS or not self.blanks.search(text)):
+            return self.fast(text)
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = not self.added
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+
+def tokenize_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, added_tokens: bool = False) -> DataFrame:
     """Pieces of at most ``size`` ids; ``nth`` numbers those of one length within a task ``part``.
 
     A document is its ids, then ``end_id``. Only longer ones are cut: all pieces have
@@ -52,7 +83,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) ->
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = WholeEncoder(tokenizer, added_tokens)
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64()]
@@ -133,11 +164,14 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``size`` ids, one row per piece.
 
     Columns: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
 
+    With ``added_tokens`` the string of an added token in a text has that token's id, as
+    ``tokenizers`` encodes it by default; else it is ordinary text.
+
     1. Tokenise once and write the pieces; each task numbers its pieces per length.
     2. The histogram has at most ``size`` lengths, so planning is small whatever the corpus.
     3. The rank of a piece within its length is its number in its task plus the counts of
@@ -150,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) ->
     ignored.
     """
     spark = docs.sparkSession
-    pieces = saved(tokenize_pieces(docs, tokenizer, size, end_id), "pieces")
+    pieces = saved(tokenize_pieces(docs, tokenizer, size, end_id, added_tokens), "pieces")
     per_task = saved(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan(counts, size)

@@ -114,7 +114,7 @@ def warc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(spark))
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(spark), added_tokens=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

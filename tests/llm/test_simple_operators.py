@@ -102,6 +102,28 @@ def test_pieces_are_the_tokenizers_and_fill_sequences_without_gaps(frame):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_added_tokens_and_long_blanks_are_those_of_the_tokenizers_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from pathloom.llm import queries
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|", "plain text", " " * 1_200_000 + "a", "", "\n" * 100_000 + "<|endoftext|>x"]
+    reader = Tokenizer.from_file(path)
+    want = [reader.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    whole = packing.WholeEncoder(path, True)
+    assert [whole(t) for t in texts] == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()
+    for doc, own in enumerate(want):
+        own = [*own, 2]
+        first = len(own) % 1024 or 1024
+        cuts = [0, *range(first, len(own) + 1, 1024)]
+        crcs = [zlib.crc32(np.array(own[a:b], "<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
+        assert [r.ids_crc32 for r in sorted(rows, key=lambda r: r.piece) if r.doc_id == doc] == crcs
+
+
 def test_the_plan_places_every_piece_and_wastes_little():
     rng = random.Random(3)
     for _ in range(60):
