@@ -75,6 +75,13 @@ def test_gradients_are_differences_of_the_loss():
         assert (up - down) / 2e-2 / live.sum() == pytest.approx(gradient[i], abs=2e-4)
 
 
+def test_the_network_has_its_whole_size():
+    """64 classes, of which 24 of one word, and 16 hidden units: not cut for time."""
+    net = recurrent_lm.Network.fresh(np.full(recurrent_lm.CLASSES, 1 / recurrent_lm.CLASSES))
+    assert recurrent_lm.OWN >= 24 and net.output.shape[1] >= 64 and net.state.shape[0] >= 16
+    assert len({recurrent_lm.shared_class(b"%03d" % i) for i in range(1000)}) == net.output.shape[1] - recurrent_lm.OWN
+
+
 def test_windows_carry_the_state_through_whole_documents():
     rng = np.random.default_rng(1)
     net = recurrent_lm.Network.fresh(np.full(recurrent_lm.CLASSES, 1 / recurrent_lm.CLASSES))
