@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that also start in a document with a smaller id.
 
-    ``n_chars`` follows the text. Documents of which nothing is left go.
+    ``n_chars`` follows the text. Documents of which nothing is left stay, with an empty text.
     """
     cut = suffix_dedup.drop_repeats(docs).withColumn("_length", F.length("text"))
     changed = F.col("n_chars").isNull() | (F.col("_length").isNull())

@@ -75,3 +75,10 @@ def test_packed_ids_of_the_query(spark):
     assert all(0 <= r.ids_crc32 < 1 << 32 for r in rows) and zlib.crc32(b"\x02\x00\x00\x00") < 1 << 32
     need = -(-sum(r.length for r in rows) // 1024)
     assert len({r.sequence_id for r in rows}) <= need * 1.05 + 1
+
+
+def test_documents_cut_whole_stay_with_empty_texts(spark):
+    text = "a text that is longer than fifty bytes, and is in two documents"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert "stay, with an empty text" in corpus_pipeline.cut_repeats.__doc__
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()) == [(1, text, len(text)), (2, "", 0), (3, "", 0)]
