@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathloom.llm import chat_repair, decontaminate, packing, quality, recurrent_lm, simhash_gray, suffix_dedup, url_rules, warc_segments, weighted_sampling
+from pathloom.llm import (
+    chat_repair, decontaminate, hash_tree, packing, quality, recurrent_lm, simhash_gray, spelling_variants, suffix_dedup, url_rules,
+    warc_segments, weighted_sampling, whitening,
+)
 from pathloom.llm.common import table
 
 QUERIES: dict = {}
@@ -133,6 +136,83 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+#: CRC-32 of a text as a DuckDB expression over its bytes ``x``: the table follows from the polynomial.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t"
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a DuckDB text expression, beside a row ``crc(t)`` from ``CRC_TABLE``."""
+    x = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda i: ('0x' || i)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {x}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295::BIGINT)::BIGINT"
+
+
+TREE = hash_tree.even_tree(16)
+GROWN = hash_tree.grow(TREE)
+
+#: Draws of all nodes below each row's choice of the level above, level by level, for the tree and for the grown one.
+SHARDS_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+leaves AS (
+  SELECT false AS grown, 'r' || (s // 4) AS region, 'r' || (s // 4) || '.k' || (s // 2 % 2) AS rack, s::INTEGER AS shard FROM range(16) r(s)
+  UNION ALL SELECT true, 'r' || (s // 4), 'r' || (s // 4) || '.k' || (s // 2 % 2), s::INTEGER FROM range(16) r(s)
+  UNION ALL SELECT true, 'r16', 'r16.k0', 16),
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS key FROM documents),
+regions AS (SELECT grown, region, count(*) AS w FROM leaves GROUP BY ALL),
+racks AS (SELECT grown, region, rack, count(*) AS w FROM leaves GROUP BY ALL),
+one AS (SELECT DISTINCT key FROM d),
+a AS (SELECT grown, key, arg_max(region, ln((('0x' || substr(md5(region || '/' || key), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / w) AS region
+  FROM one, regions GROUP BY grown, key),
+b AS (SELECT grown, key, arg_max(rack, ln((('0x' || substr(md5(rack || '/' || key), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / w) AS rack
+  FROM a JOIN racks USING (grown, region) GROUP BY grown, key),
+c AS (SELECT grown, key, arg_max(shard, ln((('0x' || substr(md5(rack || '.' || shard || '/' || key), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE)) AS shard
+  FROM b JOIN leaves USING (grown, rack) GROUP BY grown, key)
+SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, {crc_sql("text")} AS text_crc32, 'key' AS law, c.shard,
+       row_number() OVER (PARTITION BY c.shard ORDER BY doc_id NULLS FIRST, strlen(text)) - 1 AS slot, g.shard AS grown_shard
+FROM d, crc, c, c AS g WHERE d.key = c.key AND NOT c.grown AND d.key = g.key AND g.grown
+"""
+
+
+@register("op12_hash_tree_sharding", SHARDS_SQL)
+def hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hash_tree.shard_table(table(spark, sf_dir, "documents"), TREE, GROWN)
+    return placed.withColumn("law", F.lit("key"))
+
+
+VARIANTS_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+hashed AS (SELECT run, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc WHERE length(run) >= 6),
+v AS (SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cuts WHERE rest IN (SELECT word FROM v)
+  UNION SELECT rest, word FROM cuts WHERE rest IN (SELECT word FROM v)),
+ranked AS (
+  SELECT p.word, v.n, near, f.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY f.n DESC, near) AS place
+  FROM pairs p JOIN v ON v.word = p.word JOIN v f ON f.word = near),
+forms AS (SELECT word, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM ranked WHERE place = 1),
+steps AS (SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM v LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+
+
+@register("op13_spelling_variants", VARIANTS_SQL)
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.word_counts(table(spark, sf_dir, "documents"), typo_every=199))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
