@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokenize
@@ -28,7 +33,11 @@ def build_postings(docs: DataFrame, text: str = "name", tokenizer: str = "mixed"
     sort (term, position) pairs, find where the term changes, slice there. Nothing is
     shuffled, and a term that occurs everywhere causes no skew.
     """
-    tokens = docs.select("doc_id", tokenize(text, tokenizer).alias("tokens"))
+    return token_postings(docs.select("doc_id", tokenize(text, tokenizer).alias("tokens")))
+
+
+def token_postings(tokens: DataFrame) -> DataFrame:
+    """:func:`build_postings` of documents that are cut into ``tokens`` already."""
     ordered = tokens.select(
         "doc_id",
         F.size("tokens").alias("dl"),
@@ -66,11 +75,89 @@ def build_postings(docs: DataFrame, text: str = "name", tokenizer: str = "mixed"
     )
 
 
+#: Document ids of a posting block.
+BLOCK = 256
+
+
+def block_of(doc_id: Column | str = "doc_id") -> Column:
+    return F.shiftright(doc_id, BLOCK.bit_length() - 1)
+
+
+def offset_of(doc_id: Column | str = "doc_id") -> Column:
+    """The id within its block."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return doc_id.bitwiseAND(F.lit(BLOCK - 1).cast("long")).cast("int")
+
+
+def block_postings(postings: DataFrame) -> DataFrame:
+    """One row per term and block of document ids, with the bounds of its weights.
+
+    Lists are as long as a block at most.
+    """
+    entry = F.struct(offset_of().alias("offset"), "tf", "dl", "positions")
+    rows = postings.groupBy("term", block_of().alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    e = F.col("e")
+    return rows.select(
+        "term", "block", F.size("e").alias("n"), e["offset"].alias("offsets"), e["tf"].alias("tfs"), e["dl"].alias("dls"),
+        e["positions"].alias("positions"), F.array_max(e["tf"]).alias("max_tf"), F.array_min(e["dl"]).alias("min_dl"),
+    )
+
+
+def gather_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`block_postings` of rows (bucket, term, doc_id, tf, dl, positions) that a task has sorted by these.
+
+    The columns are the lists already; only where one ends is added. A block that goes on in the next
+    batch of a task becomes two rows with documents of their own.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term, doc_id = batch["term"], batch["doc_id"].to_numpy()
+        block = doc_id // BLOCK
+        other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], other | (block[1:] != block[:-1])]))
+        ends = pa.array(np.append(starts, batch.num_rows), pa.int32())
+        tf, dl = batch["tf"], batch["dl"]
+        lists = [pa.array((doc_id - block * BLOCK).astype(np.int32)), tf, dl, batch["positions"]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["bucket"].take(pa.array(starts)), term.take(pa.array(starts)), pa.array(block[starts]),
+                pa.array(np.diff(np.append(starts, batch.num_rows)).astype(np.int32)),
+                *[pa.ListArray.from_arrays(ends, values) for values in lists],
+                pa.array(np.maximum.reduceat(tf.to_numpy(), starts)), pa.array(np.minimum.reduceat(dl.to_numpy(), starts)),
+            ],
+            names=[*"bucket term block n offsets tfs dls positions max_tf min_dl".split()],
+        )
+
+
+GATHERED = (
+    "bucket int, term string, block long, n int, offsets array<int>, tfs array<int>, dls array<int>, "
+    "positions array<array<int>>, max_tf int, min_dl int"
+)
+
+
+def block_rows(blocks: DataFrame, positions: bool = True) -> DataFrame:
+    """One row per document again, in the place of the lists. Lists that are not used are not read."""
+    lists = {"offsets", "tfs", "dls", "positions", "block", "n", "max_tf", "min_dl"}
+    rows = blocks.select("*", F.posexplode("offsets").alias("_i", "_offset"))
+    doc_id = F.shiftleft("block", BLOCK.bit_length() - 1) + F.col("_offset")
+    columns = [doc_id.alias("doc_id"), F.get("tfs", "_i").alias("tf"), F.get("dls", "_i").alias("dl")]
+    columns += [F.get("positions", "_i").alias("positions")] if positions else []
+    return rows.select(*[c for c in blocks.columns if c not in lists], *columns)
+
+
 def doc_frequency(postings: DataFrame) -> DataFrame:
     """``(term, df)``; partial counts combine before the shuffle."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_bounds(blocks: DataFrame) -> DataFrame:
+    """``(term, df, max_tf, min_dl)`` from posting blocks."""
+    return blocks.groupBy("term").agg(
+        F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
+    )
+
+
 def term_bucket(term: Column | str, buckets: int) -> Column:
     term = F.col(term) if isinstance(term, str) else term
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

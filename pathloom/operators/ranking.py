@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -10,7 +11,7 @@ from ..functions.text import tokenize
 from ..functions.values import normalize_query
 from ..session import cut_lineage
 from .joins import fits_broadcast, lookup_join
-from .postings import corpus_stats, doc_frequency, term_bucket
+from .postings import block_of, block_postings, block_rows, corpus_stats, offset_of, term_bounds, term_bucket
 
 # Fixed values of the ranking function and the result page.
 K1, B = 1.2, 0.75
@@ -19,23 +20,31 @@ TOP_K = 100
 
 @dataclass(frozen=True)
 class IndexView:
-    """What a search reads. ``buckets`` is set when postings are partitioned by term bucket."""
+    """What a search reads. ``buckets`` is set when postings are partitioned by term bucket.
+
+    ``postings`` are live; ``blocks`` are as stored and ``alive`` drops rows (doc_id, segment, ...) of
+    removed documents.
+    """
 
     docs: DataFrame  # doc_id, path, ...
-    postings: DataFrame  # term, doc_id, tf, dl, positions [, bucket]
-    terms: DataFrame  # term, df [, bucket]
+    postings: DataFrame  # term, doc_id, tf, dl, positions [, segment, bucket]
+    terms: DataFrame  # term, df, max_tf, min_dl [, bucket]
     n_docs: Column
     avg_len: Column
+    blocks: DataFrame  # term, block, n, offsets, tfs, dls, positions, ... [, segment, bucket]
     buckets: int | None = None
+    alive: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
 
 def view_of(docs: DataFrame, postings: DataFrame) -> IndexView:
     """A view over plain frames; statistics are scalar subqueries, not cross joins."""
     stats = corpus_stats(docs)
+    blocks = block_postings(postings)
     return IndexView(
         docs=docs,
         postings=postings,
-        terms=doc_frequency(postings),
+        blocks=blocks,
+        terms=term_bounds(blocks),
         n_docs=stats.select("n_docs").scalar(),
         avg_len=stats.select("avg_len").scalar(),
     )
@@ -124,13 +133,13 @@ def term_query(view: IndexView, term: str) -> DataFrame:
 
 
 def _restrict(view: IndexView, clauses: DataFrame, listed: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    """Postings and terms behind static filters, for a clause list known to be small.
+    """Blocks and terms behind static filters, for a clause list known to be small.
 
     At most 256 terms, else at most ``view.buckets`` bucket numbers, become literals,
     so the scan prunes partitions and row groups.
     """
     if not view.buckets:
-        return view.postings, view.terms
+        return view.blocks, view.terms
     if listed is None:
         listed = [r["term"] for r in clauses.select("term").distinct().limit(257).collect()]
     if len(listed) <= 256:
@@ -138,15 +147,57 @@ def _restrict(view: IndexView, clauses: DataFrame, listed: list[str] | None) ->
         keep = in_bucket & F.col("term").isin(listed)
     else:
         keep = F.col("bucket").isin([r[0] for r in clauses.select("bucket").distinct().collect()])
-    return view.postings.where(keep), view.terms.where(keep)
+    return view.blocks.where(keep), view.terms.where(keep)
 
 
-def clause_hits(view: IndexView, clauses: DataFrame | QueryTerms, small: bool | None = None) -> DataFrame:
-    """One row per matching clause and document, with tf, dl and idf.
+@dataclass(frozen=True)
+class Matching:
+    """The clause terms of a search that the index knows, and the blocks they are in."""
+
+    view: IndexView
+    blocks: DataFrame
+    known: DataFrame  # bucket, term, query_id, clause, occur, n_must, offset, n_terms, df, max_tf, min_dl, idf
+    key: list[str]  # what joins both
+    small: bool  # whether ``known`` may be broadcast
+    phrases: bool
 
-    Term clauses take postings as they are. For a phrase, ``tf`` is the number of places
-    where its terms stand in order, and its idf is the sum over them.
-    """
+    @property
+    def place(self) -> list[str]:
+        """What tells the block of a document: its ids may be in several segments."""
+        return [*(["segment"] if "segment" in self.blocks.columns else []), *self.key, "block"]
+
+    def hits(self, wanted: DataFrame, positions: bool = False) -> DataFrame:
+        """All documents of the terms of ``wanted``, with its columns: blocks are joined first and opened then."""
+        lists = ["offsets", "tfs", "dls", *(["positions"] if positions else [])]
+        joined = lookup_join(
+            self.blocks.select(*self.place, *lists), wanted, self.key,
+            spread=F.xxhash64("block"), small=self.small,
+        )
+        return self.view.alive(block_rows(joined, positions))
+
+    def look_up(self, wanted: DataFrame, terms: DataFrame, positions: bool = False) -> DataFrame:
+        """``wanted`` (key, doc_id [, segment], ...) with tf where the document has the term.
+
+        ``terms`` has the keys that occur in ``wanted``; other blocks are not moved.
+
+        A block is found by an equality join and the document in it by its place in the list: no postings
+        are opened. The segment of a candidate is that of its live version, so removed ones are not met.
+        """
+        lists = ["offsets", "tfs", *(["positions"] if positions else [])]
+        blocks = lookup_join(self.blocks.select(*self.place, *lists), terms, self.key, "left_semi", spread=F.xxhash64("block"), small=self.small)
+        found = wanted.withColumn("block", block_of()).join(blocks, self.place)
+        at = F.array_position("offsets", offset_of())
+        found = found.withColumn("_at", at.cast("int") - 1).where("_at >= 0")
+        columns = [F.get("tfs", F.col("_at")).alias("tf")]
+        columns += [F.get("positions", F.col("_at")).alias("positions")] if positions else []
+        return found.select(*wanted.columns, *columns)
+
+    def only(self, known: DataFrame) -> Matching:
+        return Matching(self.view, self.blocks, known, self.key, self.small, self.phrases)
+
+
+def match_terms(view: IndexView, clauses: DataFrame | QueryTerms, small: bool | None = None) -> Matching:
+    """Look the clause terms up in the vocabulary."""
     listed = phrases = None
     if isinstance(clauses, QueryTerms):
         listed, phrases, small = clauses.terms, clauses.phrases, True
@@ -157,77 +208,85 @@ def clause_hits(view: IndexView, clauses: DataFrame | QueryTerms, small: bool |
         key = ["bucket", "term"]
     small = fits_broadcast(clauses) if small is None else small
     if small:
-        postings, terms = _restrict(view, clauses, listed)
+        blocks, terms = _restrict(view, clauses, listed)
         # Terms are unique, so the result is no longer than the clause list.
         known = lookup_join(terms, clauses, key, small=True)
     else:
-        postings, terms = view.postings, view.terms
+        blocks, terms = view.blocks, view.terms
         vocabulary = lookup_join(terms, clauses, key, "left_semi")
         known = lookup_join(clauses, vocabulary, key, spread=F.xxhash64("query_id", "clause"))
-    of_clause = ["query_id", "clause", "occur", "n_must"]
     known = known.select(
-        *key, *of_clause, "offset", "n_terms", "df", idf(view.n_docs, F.col("df")).alias("idf")
+        *key, *OF_CLAUSE, "offset", "n_terms", "df", "max_tf", "min_dl", idf(view.n_docs, F.col("df")).alias("idf")
     )
-    hit = [*of_clause, "doc_id", "tf", "dl", "idf"]
-    singles = lookup_join(
-        postings.select(*key, "doc_id", "tf", "dl"),
-        known.where("n_terms = 1"), key, spread=F.xxhash64("doc_id"), small=small,
-    ).select(*hit)
     if phrases is None:
         phrases = not clauses.where("n_terms > 1").isEmpty()
-    if not phrases:
-        return singles
-    phrase_hits = _phrase_hits(postings, known.where("n_terms > 1"), key, of_clause, small)
-    return singles.unionByName(phrase_hits.select(*hit))
+    return Matching(view, blocks, known, key, small, phrases)
+
+
+OF_CLAUSE = ["query_id", "clause", "occur", "n_must"]
+HIT = [*OF_CLAUSE, "doc_id", "tf", "dl", "idf"]
+
+
+def clause_hits(view: IndexView, clauses: DataFrame | QueryTerms, small: bool | None = None) -> DataFrame:
+    """One row per matching clause and document, with tf, dl and idf.
+
+    Term clauses take postings as they are. For a phrase, ``tf`` is the number of places
+    where its terms stand in order, and its idf is the sum over them.
+    """
+    return _all_hits(match_terms(view, clauses, small))
 
 
-def _phrase_hits(
-    postings: DataFrame, known: DataFrame, key: list[str], of_clause: list[str], small: bool
-) -> DataFrame:
+def _all_hits(m: Matching, more: tuple[str, ...] = ()) -> DataFrame:
+    singles = m.hits(m.known.where("n_terms = 1").select(*m.key, *OF_CLAUSE, "idf")).select(*HIT, *more)
+    return singles.unionByName(phrase_hits(m).select(*HIT, *more)) if m.phrases else singles
+
+
+def phrase_hits(m: Matching) -> DataFrame:
     """Documents where the terms of a phrase stand in order.
 
     The rarest term of each phrase proposes (document, start) candidates; every other
-    term of the phrase is then looked up in just those documents, by (term, document),
-    which no frequent word can skew. Frequent words are thus never copied once per
-    phrase they occur in.
+    term of the phrase is then looked up in just those documents, by (term, block of documents),
+    which no frequent word can skew. Positions are taken out of a block for documents that have both.
     """
-    # Sized like the queries and used three times below: written once.
-    whole = Window.partitionBy(*of_clause)
-    place = F.row_number().over(whole.orderBy("df", "offset"))
-    ranked = cut_lineage(
-        known.select(
-            *key, *of_clause, "offset", "n_terms", place.alias("place"),
-            F.count("*").over(whole).alias("n_known"), F.sum("idf").over(whole).alias("phrase_idf"),
-        ).where(F.col("n_known") == F.col("n_terms"))
+    # Sized like the queries and used below several times: written once. Of equal phrases one is matched.
+    of_term = F.struct("offset", *m.key, "df", "idf")
+    phrases = m.known.where("n_terms > 1").groupBy(*OF_CLAUSE, "n_terms").agg(F.sort_array(F.collect_list(of_term)).alias("terms"))
+    phrases = cut_lineage(phrases.where(F.size("terms") == F.col("n_terms")).withColumn("phrase", F.to_json("terms.term")))
+    rarest = F.array_min(F.transform("terms", lambda t: F.struct(t["df"], t["offset"])))["offset"]
+    ranked = phrases.select("phrase", "n_terms", "terms").dropDuplicates(["phrase"]).select(
+        "phrase", "n_terms", rarest.alias("first"), F.inline("terms")
     )
-
+    ranked = cut_lineage(ranked)
+    segment = [c for c in m.place if c == "segment"]
     starts = F.transform("positions", lambda p: p - F.col("offset"))
-    lead = lookup_join(
-        postings.select(*key, "doc_id", "dl", "positions"), ranked.where("place = 1"), key,
-        spread=F.xxhash64("doc_id"), small=small,
-    ).select(*of_clause, "doc_id", "dl", "n_terms", "phrase_idf", starts.alias("starts"))
-    others = ranked.where("place > 1").select(*key, *of_clause, "offset")
-    wanted = lookup_join(lead, others, of_clause, spread=F.xxhash64("doc_id"), small=small)
-
-    relevant = lookup_join(
-        postings.select(*key, "doc_id", "positions"), others, key, "left_semi",
-        spread=F.xxhash64("doc_id"), small=small,
+    lead = m.hits(ranked.where("offset = first"), positions=True).select(
+        "phrase", *segment, "doc_id", "dl", "n_terms", starts.alias("starts")
     )
+    others = ranked.where("offset <> first").select(*m.key, "phrase", "offset")
+    wanted = lookup_join(lead, others, "phrase", spread=F.xxhash64("doc_id"), small=m.small)
     # One row per start where a term agrees with the rarest one: few, and counted before
     # the shuffle. A start that all other terms agree on is an occurrence of the phrase.
     # The short list is shifted and hashed, the long one only walked.
     expected = F.transform("starts", lambda p: p + F.col("offset"))
-    agreed = wanted.join(relevant, [*key, "doc_id"]).select(
-        *of_clause, "doc_id", "dl", "n_terms", "phrase_idf", "offset",
-        F.explode(F.array_intersect("positions", expected)).alias("met"),
-    ).withColumn("start", F.col("met") - F.col("offset"))
-    of_hit = [*of_clause, "doc_id", "dl", "n_terms", "phrase_idf"]
-    return (
-        agreed.groupBy(*of_hit, "start").agg(F.count("*").alias("agreeing"))
+    met = m.look_up(wanted, others, positions=True).withColumn("met", F.array_intersect("positions", expected))
+    of_hit = ["phrase", *segment, "doc_id", "dl"]
+    # With two terms each meeting place is an occurrence; more terms have to agree on the start.
+    pairs = met.where("n_terms = 2").select(*of_hit, F.size("met").alias("tf")).where("tf > 0")
+    agreed = met.where("n_terms > 2").select(*of_hit, "n_terms", "offset", F.explode("met").alias("met"))
+    agreed = agreed.withColumn("start", F.col("met") - F.col("offset"))
+    longer = (
+        agreed.groupBy(*of_hit, "n_terms", "start").agg(F.count("*").alias("agreeing"))
         .where("agreeing = n_terms - 1")
-        .groupBy(*of_hit).agg(F.count("*").alias("tf"))
-        .withColumnRenamed("phrase_idf", "idf")
+        .groupBy(*of_hit).agg(F.count("*").cast("int").alias("tf"))
     )
+    found = pairs.unionByName(longer) if _any_longer(phrases) else pairs
+    idfs = F.aggregate("terms", F.lit(0.0), lambda total, t: total + t["idf"]).alias("idf")
+    askers = phrases.select("phrase", *OF_CLAUSE, idfs)
+    return lookup_join(found, askers, "phrase", spread=F.xxhash64("doc_id"), small=m.small)
+
+
+def _any_longer(phrases: DataFrame) -> bool:
+    return not phrases.where("n_terms > 2").isEmpty()
 
 
 def score_hits(view: IndexView, hits: DataFrame) -> DataFrame:
@@ -256,6 +315,133 @@ def any_term_scores(view: IndexView, hits: DataFrame, clauses_per_query: int | N
     return hits.groupBy("query_id", "doc_id").agg(F.sum(value).alias("score"))
 
 
+def bool_scores(view: IndexView, clauses: DataFrame, small: bool | None = None) -> DataFrame:
+    """:func:`score_hits` of :func:`clause_hits`, clause by clause.
+
+    The rarest required clause of a query proposes documents. Other required terms are looked
+    up in these only, the rest in those that had them all. Phrases are matched by their own rarest term. Queries that
+    require nothing take all their hits.
+    """
+    m = match_terms(view, clauses, small)
+    of_query = Window.partitionBy("query_id")
+    rarest = F.min("df").over(Window.partitionBy(*OF_CLAUSE))
+    # A clause of which a term is unknown has no documents; a required one then ends its query.
+    whole = F.count("*").over(Window.partitionBy(*OF_CLAUSE)) == F.col("n_terms")
+    place = F.min(F.when(F.col("occur") == "must", F.struct("rarest", "clause"))).over(of_query)
+    known = m.known.withColumn("rarest", rarest).withColumn("whole", whole).where("whole")
+    known = cut_lineage(known.withColumn("lead", F.coalesce(place["clause"] == F.col("clause"), F.lit(False))).drop("rarest", "whole"))
+    value = bm25(F.col("idf"), F.col("tf"), F.col("dl"), view.avg_len)
+    segment = [c for c in m.place if c == "segment"]
+    seen = ["query_id", "n_must", *segment, "doc_id", "dl"]
+
+    free = _all_hits(m.only(known.where("n_must = 0")))
+    led = m.only(known.where("n_must > 0"))
+    proposed = _all_hits(led.only(led.known.where("lead")), tuple(segment)).select(*seen, value.alias("score"))
+    rest = led.known.where("NOT lead")
+
+    def add(found: DataFrame, occurs: list[str]) -> DataFrame:
+        """(seen, score, musts, forbidden) of ``found`` rows and the clauses that they match."""
+        asked = rest.where(F.col("occur").isin(occurs))
+        singles = asked.where("n_terms = 1").select(*m.key, "query_id", "clause", "occur", "idf")
+        wanted = lookup_join(found.select(*seen), singles, "query_id", spread=F.xxhash64("doc_id"), small=m.small)
+        matched = m.look_up(wanted, singles).select(*seen, "clause", "occur", value.alias("w"))
+        if m.phrases:
+            places = phrase_hits(led.only(asked)).select("query_id", *segment, "doc_id", "clause", "occur", "tf", "idf")
+            matched = matched.unionByName(
+                found.select(*seen).join(places, ["query_id", *segment, "doc_id"]).select(*seen, "clause", "occur", value.alias("w"))
+            )
+        own = found.select(*seen, F.col("score").alias("w"), F.lit("own").alias("occur"))
+        both = own.unionByName(matched.select(*seen, "w", "occur"))
+        return both.groupBy(*seen).agg(
+            F.sum(F.when(F.col("occur") != "must_not", F.col("w"))).alias("score"),
+            F.count_if(F.col("occur") == "must").alias("musts"),
+            F.count_if(F.col("occur") == "must_not").alias("forbidden"),
+        )
+
+    required = cut_lineage(add(proposed, ["must"]).where("musts = n_must - 1"))
+    scored = add(required, ["should", "must_not"]).where("forbidden = 0")
+    return score_hits(view, free).unionByName(scored.select("query_id", "doc_id", "score"))
+
+
+def best_hits(view: IndexView, clauses: DataFrame, k: int = TOP_K, most: int | None = None) -> DataFrame:
+    """:func:`top_k` of all optional clauses, by score bounds where they save more than their extra steps cost.
+
+    Up to ``most`` postings all of them are scored in one pass; the document counts of the terms tell how many
+    there are before any posting is read. Rows are the same.
+    """
+    m = match_terms(view, clauses)
+    m = m.only(cut_lineage(m.known))
+    postings = m.known.agg(F.sum("df")).first()[0] or 0
+    if postings <= (PLAIN_POSTINGS if most is None else most):
+        return top_k(any_term_scores(view, _all_hits(m)), k)
+    return bounded_top_k(m, k)
+
+
+#: Postings of a batch of requests that are scored whole: some seconds of eight cores.
+PLAIN_POSTINGS = 100_000_000
+
+
+def bounded_top_k(m: Matching, k: int = TOP_K) -> DataFrame:
+    """:func:`top_k` of all optional clauses, without the postings that cannot matter.
+
+    Each term has a bound: the weight of its largest ``tf`` in its shortest document, whatever the mean length
+    is now. The rarest terms of a query give a score that ``k`` documents reach. The terms of least bound
+    whose bounds do not add up to that score cannot bring a document onto the page by themselves, so
+    only documents with another term are candidates, and of those only the ones whose score so far plus
+    these bounds reaches the score of the ``k``-th. The weak terms are looked up in what is left. Phrases always
+    propose. Rows are those of :func:`top_k`.
+    """
+    view = m.view
+    segment = [c for c in m.place if c == "segment"]
+    bound = bm25(F.col("idf"), F.col("max_tf"), F.col("min_dl"), view.avg_len)
+    # A word that stands twice in a query is one term of double weight.
+    single = m.known.where("n_terms = 1").groupBy(*m.key, "query_id").agg(
+        F.first("df").alias("df"), F.first("idf").alias("idf"), F.first(bound).alias("bound"), F.count("*").alias("times")
+    ).withColumn("bound", F.col("bound") * F.col("times"))
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    by_bound = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    single = cut_lineage(
+        single.withColumn("rarer", F.coalesce(F.sum("df").over(by_rarity), F.lit(0))).withColumn("weak_sum", F.sum("bound").over(by_bound))
+    )
+    value = bm25(F.col("idf"), F.col("tf"), F.col("dl"), view.avg_len) * F.col("times")
+    asked = [*m.key, "query_id", "idf", "times"]
+
+    def partial(terms: DataFrame) -> DataFrame:
+        return m.hits(terms.select(*asked)).select("query_id", *segment, "doc_id", "dl", value.alias("w"))
+
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("query_id", *segment, "doc_id", "dl").agg(F.sum("w").alias("score"))
+
+    def reached(rows: DataFrame) -> DataFrame:
+        """(query_id, least): the score of the k-th document so far; less a little for rounding."""
+        kth = top_k(rows.select("query_id", "doc_id", "score"), k).where(F.col("rank") == k)
+        return kth.select("query_id", (F.col("score") - 1e-5).alias("least"))
+
+    first = cut_lineage(reached(sums(partial(single.where(F.col("rarer") < LEADING * k)))))
+    levels = lookup_join(single, first, "query_id", "left", spread=F.xxhash64("term"), small=m.small or None)
+    levels = cut_lineage(levels.withColumn("weak", F.coalesce(F.col("weak_sum") < F.col("least"), F.lit(False))))
+    rows = partial(levels.where("NOT weak"))
+    if m.phrases:
+        weight = bm25(F.col("idf"), F.col("tf"), F.col("dl"), view.avg_len)
+        rows = rows.unionByName(phrase_hits(m).select("query_id", *segment, "doc_id", "dl", weight.alias("w")))
+    strong = cut_lineage(sums(rows))
+    weak = levels.where("weak")
+    slack = weak.groupBy("query_id").agg(F.sum("bound").alias("slack"))
+    limits = lookup_join(
+        slack, reached(strong), "query_id", "left", small=m.small or None
+    ).select("query_id", (F.col("least") - F.col("slack")).alias("least"))
+    limited = lookup_join(strong, cut_lineage(limits), "query_id", "left", spread=F.xxhash64("doc_id"), small=m.small or None)
+    kept = limited.where("least IS NULL OR score >= least").drop("least")
+    wanted = lookup_join(kept.drop("score"), weak.select(*asked), "query_id", spread=F.xxhash64("doc_id"), small=m.small or None)
+    more = m.look_up(wanted, weak).select("query_id", "doc_id", value.alias("w"))
+    scored = kept.select("query_id", "doc_id", F.col("score").alias("w")).unionByName(more)
+    return top_k(scored.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")), k)
+
+
+#: The first estimate scores a query's rarest terms until they have about so many postings per wanted row.
+LEADING = 20
+
+
 # ---------------------------------------------------------------- top k
 
 

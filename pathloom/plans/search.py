@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import normalize_query
 from ..operators.joins import fits_broadcast, lookup_join, restrict_scan
 from ..operators.ranking import (
-    TOP_K, IndexView, any_term_scores, clause_hits, clause_terms, query_terms, score_hits, top_k,
+    TOP_K, IndexView, any_term_scores, best_hits, bool_scores, clause_hits, clause_terms, query_terms, top_k,
     top_k_single, word_clauses,
 )
 from ..operators.results import enrich, fetch_stored, project_result
@@ -26,19 +27,42 @@ def search(
     view: IndexView, files: DataFrame, q: str, as_of: dt.date, tokenizer: str = "mixed", k: int = TOP_K
 ) -> DataFrame:
     """The result page of one query, with its ``rank``."""
-    # Written once, the page's rows also serve as scan filters for the stored paths and the
-    # metadata. Each frame is counted before it is broadcast, as ``k`` is the caller's.
-    hits = cut_lineage(search_hits(view, q, tokenizer, k))
+    hits = search_hits(view, q, tokenizer, k)
+    if k <= PAGE_ROWS:
+        # A page of bounded size: its rows, then its paths, become literals of the next scan, and nothing is written.
+        hits = _literal(hits)
+        stored = _literal(fetch_stored(hits, _equal_to(view.docs, "doc_id", hits), small=True))
+        known = _equal_to(files, "path", stored)
+        return project_result(enrich(stored, known, as_of, small=True), keep=("rank",))
+    # Each frame is counted before it is broadcast, as ``k`` is the caller's.
+    hits = cut_lineage(hits)
     docs = restrict_scan(view.docs, "doc_id", hits)
     stored = cut_lineage(fetch_stored(hits, docs, small=fits_broadcast(hits)))
     known = restrict_scan(files, "path", stored)
     return project_result(enrich(stored, known, as_of, small=fits_broadcast(stored)), keep=("rank",))
 
 
+#: Rows of a page that pass through the driver, as the page of one request does anyway.
+PAGE_ROWS = 128
+
+
+def _literal(page: DataFrame) -> DataFrame:
+    """The rows of a bounded page as a literal frame."""
+    return page.sparkSession.createDataFrame(page.toArrow())
+
+
+def _equal_to(df: DataFrame, key: str, page: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is on the page, by equalities that the scan can use."""
+    values = sorted({r[0] for r in page.select(key).collect()} - {None})
+    if not values:
+        return df.where(F.lit(False))
+    return df.where(reduce(lambda a, b: a | b, [F.col(key) == v for v in values]))
+
+
 def clause_search(view: IndexView, clauses: DataFrame, tokenizer: str = "mixed", k: int = TOP_K) -> DataFrame:
     """Best hits for structured clauses ``(query_id, clause, occur, text)``."""
     terms = clause_terms(clauses, tokenizer)
-    return top_k(score_hits(view, clause_hits(view, terms)), k)
+    return top_k(bool_scores(view, cut_lineage(terms)), k)
 
 
 def batch_hits(view: IndexView, queries: DataFrame, tokenizer: str = "mixed", k: int = TOP_K) -> DataFrame:
@@ -52,7 +76,7 @@ def batch_hits(view: IndexView, queries: DataFrame, tokenizer: str = "mixed", k:
     distinct = asked.select(F.col("asked_id").alias("query_id"), "q")
     # Used for sizing, pruning and matching; written once instead of tokenized each time.
     terms = cut_lineage(clause_terms(word_clauses(distinct), tokenizer, optional=True))
-    best = cut_lineage(top_k(any_term_scores(view, clause_hits(view, terms)), k))
+    best = cut_lineage(best_hits(view, terms, k))
     # A text may be asked by a third of all requests; its answer is k rows at most. So the
     # requests are the side that is spread, and the answers the side that is looked up.
     owners = lookup_join(trimmed, asked, "q", spread=F.xxhash64("query_id")).select("query_id", "asked_id")

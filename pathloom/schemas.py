@@ -17,12 +17,16 @@ FILES = _table(
 # ``segment`` (and below it ``bucket``) are partition folders of the stored index.
 DOCS = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I), ("segment", _S))
 
-# ``dl`` (tokens in the document) rides along so that ranking needs no join.
-POSTINGS = _table(
-    ("term", _S), ("doc_id", _L), ("tf", _I), ("dl", _I), ("positions", T.ArrayType(_I)),
-    ("segment", _S), ("bucket", _I),
+# One row per term and block of 256 document ids. ``offsets`` are the ids within the block, in order; ``tfs``,
+# ``dls`` and ``positions`` go with them. ``max_tf`` and ``min_dl`` bound the weight of any document of the row.
+_LIST = T.ArrayType(_I)
+BLOCKS = _table(
+    ("term", _S), ("block", _L), ("n", _I), ("offsets", _LIST), ("tfs", _LIST), ("dls", _LIST),
+    ("positions", T.ArrayType(_LIST)), ("max_tf", _I), ("min_dl", _I), ("segment", _S), ("bucket", _I),
 )
-TERMS = _table(("term", _S), ("df", _L), ("segment", _S), ("bucket", _I))
+TERMS = _table(("term", _S), ("df", _L), ("max_tf", _I), ("min_dl", _I), ("segment", _S), ("bucket", _I))
+# The documents once more by hash of their path; ``slot`` is that hash modulo the slots of the segment.
+PATHS = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I), ("segment", _S), ("slot", _I))
 DEAD = DOCS
 
 # ``exists_after[i]`` tells whether ``paths[i]`` was present after the event.

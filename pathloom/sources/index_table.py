@@ -7,11 +7,13 @@ about the size of its batch. ``compact`` folds the segments into one.
 
 Folders:
 
-* ``postings/segment=S/bucket=N/`` sorted by term; ``bucket`` is a hash of the term. A
-  bucket has as many files as its size needs, so a term found in a third of all
-  documents is neither written nor read by a single task;
-* ``terms/segment=S/bucket=N/``: signed document counts, added up over segments;
-* ``docs/segment=S/`` in id order; ``dead/segment=S/`` removed documents.
+* ``postings/segment=S/bucket=N/`` sorted by term; ``bucket`` is a hash of the term. A row is a term
+  in a block of document ids. A term is in one file, but for frequent ones: they are
+  dealt by block, so a term found in a third of all documents is neither written nor read by a
+  single task;
+* ``terms/segment=S/bucket=N/``: signed document counts, added up over segments, and bounds of weights;
+* ``docs/segment=S/`` in id order; ``paths/segment=S/slot=N/`` the same by hash of the path, which
+  finds paths without reading other slots; ``dead/segment=S/`` removed documents.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import re
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -26,14 +29,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import derive_name
 from ..functions.text import tokenize
-from ..operators.joins import lookup_join, restrict_scan
-from ..operators.postings import build_postings, doc_frequency, doc_lengths, term_bucket
+from ..operators.joins import lookup_join
+from ..operators.postings import GATHERED, block_of, block_rows, gather_blocks, term_bounds, term_bucket, token_postings
 from ..operators.ranking import IndexView
-from ..schemas import DEAD, DOCS, POSTINGS, TERMS
+from ..schemas import BLOCKS, DEAD, DOCS, PATHS, TERMS
 from ..session import cut_lineage
 from .storage import list_names, publish_text, read_text
 
 MAX_ID = 1 << 62
+#: Documents per slot of the path table, most slots, bytes a token takes about, documents that show frequent terms.
+SLOT_ROWS, MOST_SLOTS, TOKEN_BYTES, SAMPLE_DOCS = 65_536, 16_384, 16, 20_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +57,7 @@ class Generation:
     streams: dict[str, int] = field(default_factory=dict)
     feeds: dict[str, str] = field(default_factory=dict)
     tiers: dict[str, int] = field(default_factory=dict)
+    slots: dict[str, int] = field(default_factory=dict)
 
 
 class IndexTable:
@@ -117,16 +123,20 @@ class IndexTable:
     def docs(self) -> DataFrame:
         return self._alive(self._read(DOCS, "docs", self.generation.docs))
 
+    def blocks(self) -> DataFrame:
+        """Posting blocks as stored, removed documents included."""
+        return self._read(BLOCKS, "postings", self.generation.docs)
+
     def postings(self) -> DataFrame:
-        return self._alive(self._read(POSTINGS, "postings", self.generation.docs))
+        return self._alive(block_rows(self.blocks()))
 
     def terms(self) -> DataFrame:
-        """Live document frequency per term."""
+        """Live document frequency per term, and the bounds of its weights (removals do not tighten them)."""
         segments = sorted({*self.generation.docs, *self.generation.dead})
         counts = self._read(TERMS, "terms", segments)
         if len(segments) > 1:
-            counts = counts.groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-        return counts.where("df > 0").select("term", "df", "bucket")
+            counts = counts.groupBy("bucket", "term").agg(*summed())
+        return counts.where("df > 0").select("term", "df", "max_tf", "min_dl", "bucket")
 
     def num_docs(self) -> int:
         return self.generation.n_docs
@@ -136,7 +146,7 @@ class IndexTable:
         mean = g.n_tokens / g.n_docs if g.n_docs else 1.0
         return IndexView(
             docs=self.docs(), postings=self.postings(), terms=self.terms(),
-            n_docs=F.lit(g.n_docs), avg_len=F.lit(float(mean)), buckets=g.buckets,
+            n_docs=F.lit(g.n_docs), avg_len=F.lit(float(mean)), buckets=g.buckets, blocks=self.blocks(), alive=self._alive,
         )
 
     # ------------------------------------------------------------ change
@@ -162,27 +172,30 @@ class IndexTable:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         gone = self._write_dead(segment, deletes) if deletes is not None else None
-        new = self._write_docs(segment, adds) if adds is not None else None
+        new = self._tokens(adds) if adds is not None else None
+        added, added_tokens, last_id = _totals(new)
+        removed, removed_tokens, _ = _totals(gone)
 
-        changed = []
+        changed, slots = [], slots_of(added)
         if new is not None:
-            postings = build_postings(new, "name", g.tokenizer)
-            write_postings(postings, self._folder("postings", segment), g.buckets)
-            changed.append(doc_frequency(self._read(POSTINGS, "postings", [segment])))
+            docs = new.drop("tokens")
+            write_docs(docs, self._folder("docs", segment))
+            write_paths(docs, self._folder("paths", segment), slots)
+            write_postings(token_postings(new), self._folder("postings", segment), g.buckets, added_tokens, self._frequent(new, added, added_tokens))
+            changed.append(term_bounds(self._read(BLOCKS, "postings", [segment])))
         if gone is not None:
             words = gone.select(F.explode(F.array_distinct(tokenize("name", g.tokenizer))).alias("term"))
-            changed.append(words.groupBy("term").agg((-F.count("*")).alias("df")))
+            nothing = F.lit(None).cast("int")
+            changed.append(words.groupBy("term").agg((-F.count("*")).alias("df"), nothing.alias("max_tf"), nothing.alias("min_dl")))
         if changed:
             write_terms(changed, self._folder("terms", segment), g.buckets)
-
-        added, added_tokens, last_id = _totals(new)
-        removed, removed_tokens, _ = _totals(gone)
         return IndexTable(self.spark, self.root, replace(
             g,
             number=g.number + 1,
             docs=[*g.docs, segment] if new is not None else g.docs,
             dead=[*g.dead, segment] if gone is not None else g.dead,
             tiers={**g.tiers, segment: tier_of(added + removed)},
+            slots={**g.slots, segment: slots} if new is not None else g.slots,
             n_docs=g.n_docs + added - removed,
             n_tokens=g.n_tokens + added_tokens - removed_tokens,
             next_id=max(g.next_id, last_id + 1),
@@ -191,7 +204,8 @@ class IndexTable:
             feeds={**g.feeds, feed: stream[0]} if stream and feed else g.feeds,
         ))._publish()
 
-    def _write_docs(self, segment: str, adds: DataFrame) -> DataFrame:
+    def _tokens(self, adds: DataFrame) -> DataFrame:
+        """``adds`` with ids, names and tokens, cut once: all that a commit writes comes from these rows."""
         name = F.col("name") if "name" in adds.columns else derive_name("path")
         if "doc_id" in adds.columns:
             doc_id = F.col("doc_id")
@@ -200,18 +214,43 @@ class IndexTable:
                 raise OverflowError("document ids are used up; rebuild the index")
             # Unique without a global order; fixed by this write, which all later steps read.
             doc_id = F.lit(self.generation.next_id) + F.monotonically_increasing_id()
-        docs = doc_lengths(
-            adds.select(doc_id.cast("long").alias("doc_id"), "path", name.alias("name")),
-            "name", self.generation.tokenizer,
-        )
-        write_docs(docs, self._folder("docs", segment))
-        return self._read(DOCS, "docs", [segment])
+        rows = adds.select(doc_id.cast("long").alias("doc_id"), "path", name.alias("name"))
+        tokens = rows.withColumn("tokens", tokenize("name", self.generation.tokenizer))
+        return cut_lineage(tokens.select("doc_id", "path", "name", F.size("tokens").alias("dl"), "tokens"))
+
+    def _frequent(self, new: DataFrame, docs: int, tokens: int) -> list[str]:
+        """Terms that a part of the postings would not hold, as a sample of about ``SAMPLE_DOCS`` documents shows.
+
+        The list only steers how rows are dealt. A part has so many rows that few terms are on it.
+        """
+        parts = parts_of(self.spark, tokens)
+        if docs <= tokens / parts / 4:
+            return []
+        share = min(1.0, SAMPLE_DOCS / docs)
+        seen = new.sample(share, seed=7) if share < 1 else new
+        counts = seen.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").count()
+        least = max(2.0, tokens / parts / 4 * share)
+        return [r["term"] for r in counts.where(F.col("count") > least).orderBy(F.desc("count"), "term").limit(4 * parts).collect()]
+
+    def stored_paths(self, paths: DataFrame) -> DataFrame:
+        """Stored documents, removed ones included, in the slots of the path table that ``paths`` fall into.
+
+        However many paths there are, the slots are partition filters: of a large segment only those
+        are read. There are as many slot numbers as slots at most.
+        """
+        g = self.generation
+        out = None
+        for slots in sorted(set(g.slots.values())):
+            stored = self._read(PATHS, "paths", [s for s in g.docs if g.slots[s] == slots])
+            if slots > 1:
+                wanted = [r[0] for r in paths.select(slot_of("path", slots)).distinct().collect()]
+                stored = stored.where(F.col("slot").isin(wanted))
+            out = stored if out is None else out.unionByName(stored)
+        return (self._read(PATHS, "paths", []) if out is None else out).drop("slot")
 
     def _write_dead(self, segment: str, deletes: DataFrame) -> DataFrame:
-        # A few paths are filters of the scan, for which the files have bloom filters; more are a join.
         paths = cut_lineage(deletes.select("path").distinct())
-        stored = restrict_scan(self._read(DOCS, "docs", self.generation.docs), "path", paths)
-        dead = lookup_join(self._alive(stored), paths, "path", "left_semi", spread=F.xxhash64("doc_id"))
+        dead = lookup_join(self._alive(self.stored_paths(paths)), paths, "path", "left_semi", spread=F.xxhash64("doc_id"))
         dead.drop("segment").write.parquet(self._folder("dead", segment))
         return self._read(DEAD, "dead", [segment])
 
@@ -227,13 +266,25 @@ class IndexTable:
         if len({*g.docs, *g.dead}) <= 1 or not g.docs:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        write_docs(self.docs().drop("segment"), self._folder("docs", segment))
-        postings = self.postings().drop("segment", "bucket")
-        write_postings(postings, self._folder("postings", segment), g.buckets)
-        write_terms([self.terms().select("term", "df")], self._folder("terms", segment), g.buckets)
-        return IndexTable(
-            self.spark, self.root, replace(g, number=g.number + 1, docs=[segment], dead=[], tiers={segment: tier_of(g.n_docs)})
-        )._publish()
+        docs = self.docs().drop("segment")
+        write_docs(docs, self._folder("docs", segment))
+        write_paths(docs, self._folder("paths", segment), slots_of(g.n_docs))
+        self._write_merged(segment, g.docs, g.n_tokens)
+        write_terms([self.terms().drop("bucket")], self._folder("terms", segment), g.buckets)
+        return IndexTable(self.spark, self.root, replace(
+            g, number=g.number + 1, docs=[segment], dead=[], tiers={segment: tier_of(g.n_docs)}, slots={segment: slots_of(g.n_docs)},
+        ))._publish()
+
+    def _write_merged(self, segment: str, older: list[str], tokens: int) -> None:
+        """Live postings of older segments as one; their own counts tell the frequent terms."""
+        parts = parts_of(self.spark, tokens)
+        frequent: list[str] = []
+        if parts > 1:
+            counts = self._read(TERMS, "terms", older).groupBy("term").agg(F.sum("df").alias("df"))
+            wide = counts.where(F.col("df") > tokens / parts / 4).orderBy(F.desc("df"), "term").limit(4 * parts)
+            frequent = [r["term"] for r in wide.collect()]
+        postings = self._alive(block_rows(self._read(BLOCKS, "postings", older))).drop("segment", "bucket")
+        write_postings(postings, self._folder("postings", segment), self.generation.buckets, tokens, frequent)
 
     def merge_tail(self, fanout: int = 8) -> IndexTable:
         """Fold the newest commits into a segment of the next tier, once they weigh as much as ``fanout`` of theirs.
@@ -254,21 +305,25 @@ class IndexTable:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         docs, dead = [s for s in tail if s in g.docs], [s for s in tail if s in g.dead]
+        slots = 1
         if docs:
-            write_docs(self._alive(self._read(DOCS, "docs", docs)).drop("segment"), self._folder("docs", segment))
-            postings = self._alive(self._read(POSTINGS, "postings", docs)).drop("segment", "bucket")
-            write_postings(postings, self._folder("postings", segment), g.buckets)
+            live = cut_lineage(self._alive(self._read(DOCS, "docs", docs)).drop("segment"))
+            rows, tokens, _ = _totals(live)
+            slots = slots_of(rows)
+            write_docs(live, self._folder("docs", segment))
+            write_paths(live, self._folder("paths", segment), slots)
+            self._write_merged(segment, docs, tokens)
         if dead:
             gone = self._read(DEAD, "dead", dead).drop("segment").dropDuplicates(["doc_id"])
             gone.write.parquet(self._folder("dead", segment))
-        counts = self._read(TERMS, "terms", tail).groupBy("term").agg(F.sum("df").alias("df"))
-        write_terms([counts], self._folder("terms", segment), g.buckets)
+        write_terms([self._read(TERMS, "terms", tail).groupBy("term").agg(*summed())], self._folder("terms", segment), g.buckets)
         older = set(tail)
         return IndexTable(self.spark, self.root, replace(
             g, number=g.number + 1,
             docs=[s for s in g.docs if s not in older] + ([segment] if docs else []),
             dead=[s for s in g.dead if s not in older] + ([segment] if dead else []),
             tiers={**{s: t for s, t in g.tiers.items() if s not in older}, segment: tier + 1},
+            slots={**{s: n for s, n in g.slots.items() if s not in older}, **({segment: slots} if docs else {})},
         ))._publish().merge_tail(fanout)
 
 
@@ -284,30 +339,72 @@ def tier_of(rows: int) -> int:
     return int(math.log(rows + 1, 8))
 
 
+def summed() -> list[F.Column]:
+    """How the counts of a term in several segments become one row."""
+    return [F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")]
+
+
+def slots_of(docs: int) -> int:
+    """Slots of a segment's path table: a power of two that grows with its documents."""
+    return min(MOST_SLOTS, 1 << max(0, math.ceil(math.log2(max(docs, 1) / SLOT_ROWS))))
+
+
+def slot_of(path: str, slots: int) -> F.Column:
+    return F.pmod(F.xxhash64(path), F.lit(slots)).cast("int").alias("slot")
+
+
+def parts_of(spark: SparkSession, tokens: int) -> int:
+    """Tasks that write the postings: each about an advisory partition, but all cores for a middling table."""
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").strip().lower()
+    digits, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", size).groups()
+    advisory = max(int(digits) << 10 * " kmgt".index(unit or " "), 1)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(math.ceil(tokens * TOKEN_BYTES / advisory), min(shuffle, math.ceil(tokens / 50_000)), 1)
+
+
 def write_docs(docs: DataFrame, path: str) -> None:
-    """Documents in id order per file, with a bloom filter that finds a path without reading the file."""
-    writer = docs.sortWithinPartitions("doc_id").write.option("parquet.bloom.filter.enabled#path", "true")
-    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+    """Documents in id order per file."""
+    docs.sortWithinPartitions("doc_id").write.parquet(path)
+
+
+def write_paths(docs: DataFrame, path: str, slots: int) -> None:
+    """Documents by slot of their path, sorted by path within a slot.
+
+    A path that very many documents share is split with its slot at the advisory partition size.
+    """
+    placed = docs.withColumn("slot", slot_of("path", slots))
+    placed = placed.hint("rebalance", "slot") if slots > 1 else placed.hint("rebalance")
+    placed.sortWithinPartitions("slot", "path").write.partitionBy("slot").parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int) -> None:
-    """Term buckets as folders, each file sorted by term and document.
+def write_postings(postings: DataFrame, path: str, buckets: int, tokens: int, frequent: list[str]) -> None:
+    """Posting blocks in term buckets as folders, each file sorted by term and block.
 
-    ``rebalance`` gathers a bucket and lets adaptive execution split it at the advisory
-    partition size, however the sizes are distributed; row groups of the sorted files
-    then have tight term ranges.
+    One shuffle deals the rows, and blocks are gathered from sorted rows. All rows of a term go to one task, so a term is in one
+    file; those of the listed frequent terms are dealt by block. A bucket that is larger than a part
+    is divided by a second hash of the term.
     """
-    placed = postings.withColumn("bucket", term_bucket("term", buckets)).hint("rebalance", "bucket")
-    placed.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
+    parts = parts_of(postings.sparkSession, tokens)
+    divisions = math.ceil(parts / buckets)
+    division = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(divisions)).cast("int")
+    if frequent:
+        # Blocks that lie together stay together, four to a file at least.
+        of_block = F.pmod(F.xxhash64(F.shiftright(block_of(), 2)), F.lit(parts)).cast("int")
+        division = F.when(F.col("term").isin(frequent), F.lit(divisions) + of_block).otherwise(division)
+    rows = postings.select(term_bucket("term", buckets).alias("bucket"), "term", "doc_id", "tf", "dl", "positions")
+    placed = rows.repartition(parts, "bucket", division).sortWithinPartitions("bucket", "term", "doc_id")
+    # The rows of a task are in the order of the folders, so the writer need not sort them again.
+    blocks = placed.mapInArrow(gather_blocks, GATHERED)
+    blocks.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
 
 
 def write_terms(counts: list[DataFrame], path: str, buckets: int) -> None:
-    """Signed document counts per term, one row per term and segment."""
+    """Signed document counts and bounds per term, one row per term and segment."""
     merged = counts[0]
     for more in counts[1:]:
         merged = merged.unionByName(more)
     if len(counts) > 1:
-        merged = merged.groupBy("term").agg(F.sum("df").alias("df"))
+        merged = merged.groupBy("term").agg(*summed())
     (
         merged.where("df <> 0")
         .withColumn("bucket", term_bucket("term", buckets))

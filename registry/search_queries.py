@@ -211,21 +211,59 @@ phrase_hits AS (
 def phrase_query(spark, sf_dir):
     """Every pair of neighbouring words of a request is a phrase."""
     view = index_of(spark, sf_dir, "corpus").view()
-    words = F.split(F.trim("q"), r"\s+")
-    pairs = requests(spark, sf_dir).select("query_id", words.alias("w")).select(
-        "query_id",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " "))
-        ).alias("clause", "text"),
-    )
-    clauses = cut_lineage(R.clause_terms(pairs.withColumn("occur", F.lit("should")), optional=True))
+    clauses = cut_lineage(R.clause_terms(_phrases(spark, sf_dir, 2), optional=True))
     hits = R.clause_hits(view, clauses)
     return R.any_term_scores(view, hits).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _phrases(spark, sf_dir, words):
+    """Every run of ``words`` neighbouring words of a request as one clause, numbered by its place."""
+    split = F.split(F.trim("q"), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, F.lit(words)), " "))
+    asked = requests(spark, sf_dir).select("query_id", split.alias("w")).where(F.size("w") >= words)
+    return asked.select("query_id", F.posexplode(runs).alias("clause", "text")).withColumn("occur", F.lit("should"))
+
+
+LONG_PHRASE_SQL = f"""{CORPUS_SQL}, {REQUESTS_SQL},
+runs AS (
+  SELECT a.query_id, a.clause, a.term AS t1, b.term AS t2, c.term AS t3
+  FROM asked_terms a JOIN asked_terms b ON a.query_id = b.query_id AND b.clause = a.clause + 1
+  JOIN asked_terms c ON a.query_id = c.query_id AND c.clause = a.clause + 2),
+doc_runs AS (
+  SELECT a.doc_id, a.term AS t1, b.term AS t2, c.term AS t3, count(*) AS tf, max(a.dl) AS dl
+  FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 GROUP BY ALL),
+idfs AS (SELECT term, ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) AS idf FROM freq CROSS JOIN stats),
+sums AS (
+  SELECT r.query_id, d.doc_id,
+         round(sum((i1.idf + i2.idf + i3.idf) * (d.tf * 2.2e0) / (d.tf + 1.2e0 * (0.25e0 + 0.75e0 * d.dl / avgdl))), 6) AS score
+  FROM runs r JOIN doc_runs d USING (t1, t2, t3) JOIN idfs i1 ON i1.term = t1 JOIN idfs i2 ON i2.term = t2 JOIN idfs i3 ON i3.term = t3
+  CROSS JOIN stats GROUP BY r.query_id, d.doc_id)
+"""
+RANKED_SQL = """SELECT query_id, doc_id, score, rank FROM (
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {}) WHERE rank <= 100"""
+
+
+@register("phrase_page", f"WITH {LONG_PHRASE_SQL} {RANKED_SQL.format('sums')}")
+def phrase_page(spark, sf_dir):
+    """The 100 best documents of each request by its phrases of three words."""
+    view = index_of(spark, sf_dir, "corpus").view()
+    hits = S.clause_search(view, _phrases(spark, sf_dir, 3))
+    return hits.withColumn("rank", F.col("rank").cast("long"))
+
+
 OCCUR_SQL = "CASE WHEN regexp_matches(word, '^\\p{Lu}') THEN 'must' WHEN length(term) > 12 THEN 'must_not' ELSE 'should' END"
 
 
+def _structured(spark, sf_dir):
+    words = R.word_clauses(requests(spark, sf_dir))
+    occur = (
+        F.when(F.col("text").rlike(r"^\p{Lu}"), F.lit("must"))
+        .when(F.length(F.regexp_extract("text", X.WORD, 0)) > 12, F.lit("must_not"))
+        .otherwise(F.lit("should"))
+    )
+    return words.withColumn("occur", occur)
+
+
 @register(
     "bool_query",
     f"""WITH {CORPUS_SQL}, {REQUESTS_SQL}, c AS (SELECT query_id, clause, term, {OCCUR_SQL} AS occur FROM asked_terms),
@@ -239,16 +277,24 @@ WHERE bad = 0 AND musts = n AND score IS NOT NULL""",
 def bool_query(spark, sf_dir):
     """Capitalised words are required, very long ones forbidden, the rest optional."""
     view = index_of(spark, sf_dir, "corpus").view()
-    words = R.word_clauses(requests(spark, sf_dir))
-    occur = (
-        F.when(F.col("text").rlike(r"^\p{Lu}"), F.lit("must"))
-        .when(F.length(F.regexp_extract("text", X.WORD, 0)) > 12, F.lit("must_not"))
-        .otherwise(F.lit("should"))
-    )
-    clauses = cut_lineage(R.clause_terms(words.withColumn("occur", occur)))
-    return R.score_hits(view, R.clause_hits(view, clauses)).select(
-        "query_id", "doc_id", F.round("score", 6).alias("score")
-    )
+    clauses = cut_lineage(R.clause_terms(_structured(spark, sf_dir)))
+    return R.bool_scores(view, clauses).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@register(
+    "bool_page",
+    f"""WITH {CORPUS_SQL}, {REQUESTS_SQL}, c AS (SELECT query_id, clause, term, {OCCUR_SQL} AS occur FROM asked_terms),
+need AS (SELECT query_id, count(*) FILTER (occur = 'must') AS n FROM c GROUP BY query_id),
+m AS (SELECT c.query_id, s.doc_id, round(sum(CASE WHEN occur <> 'must_not' THEN w END), 6) AS score,
+        count(*) FILTER (occur = 'must') AS musts, count(*) FILTER (occur = 'must_not') AS bad
+      FROM c JOIN scored s USING (term) GROUP BY c.query_id, s.doc_id),
+kept AS (SELECT query_id, doc_id, score FROM m JOIN need USING (query_id) WHERE bad = 0 AND musts = n AND score IS NOT NULL)
+{RANKED_SQL.format('kept')}""",
+)
+def bool_page(spark, sf_dir):
+    """The 100 best documents of each structured request."""
+    hits = S.clause_search(index_of(spark, sf_dir, "corpus").view(), _structured(spark, sf_dir))
+    return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("rank_bm25", f"WITH {CORPUS_SQL} SELECT doc_id, round(w, 6) AS score FROM scored WHERE term = 'the'")
@@ -294,6 +340,14 @@ def search_batch(spark, sf_dir):
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("bounded_batch", f"WITH {BATCH_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
+def bounded_batch(spark, sf_dir):
+    """The ten best documents of each request, by score bounds whatever the number of postings."""
+    terms = cut_lineage(R.clause_terms(R.word_clauses(requests(spark, sf_dir)), optional=True))
+    hits = R.best_hits(index_of(spark, sf_dir, "corpus").view(), terms, k=10, most=0)
+    return hits.withColumn("rank", F.col("rank").cast("long"))
+
+
 # ---------------------------------------------------------------- result pages
 
 PAGES_SQL = f"""WITH {BATCH_SQL} SELECT query_id, rank, 'file' AS class, CAST(doc_id AS VARCHAR) AS name, '/doc/' || doc_id AS path,

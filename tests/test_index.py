@@ -200,6 +200,78 @@ def test_clauses_match_brute_force(spark, view, small):
         assert got.get(q, {}) == pytest.approx(brute(clauses), abs=2e-6), clauses
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_clause_by_clause_gives_the_same_scores(spark, view, small):
+    rows = [
+        (q, c, occur, "_".join(terms)) for q, clauses in enumerate(CASES) for c, (occur, terms) in enumerate(clauses)
+    ]
+    rows += [(90, 0, "must", "a"), (90, 1, "must", "a"), (90, 2, "must", "b_a"), (91, 0, "must", "c_c"), (91, 1, "should", "a_nowhere")]
+    cases = [*enumerate(CASES), (90, [("must", ["a"]), ("must", ["a"]), ("must", ["b", "a"])]), (91, [("must", ["c", "c"])])]
+    terms = R.clause_terms(spark.createDataFrame(rows, "query_id long, clause int, occur string, text string"))
+    got = {}
+    for r in R.bool_scores(view, terms, small=small).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = round(r.score, 6)
+    for q, clauses in cases:
+        assert got.get(q, {}) == pytest.approx(brute(clauses), abs=2e-6), clauses
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """2,000 documents over several segments: common and rare words, some documents removed, an id that came back."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 60))) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, f"/t/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, name string")
+    index = IndexTable.create(spark, work_dir(spark, "ix"), buckets=3).commit(adds=docs.where("doc_id < 1500"))
+    index = index.commit(adds=docs.where("doc_id >= 1500"), deletes=paths_of(spark, [f"/t/{i}" for i in range(0, 1500, 3)]))
+    back = spark.createDataFrame([(3, "/back/3", "w0 w1 w39 w39")], "doc_id long, path string, name string")
+    return index.commit(adds=back)
+
+
+@pytest.mark.parametrize("k, leading", [(1, 20), (10, 1), (500, 20)])
+def test_score_bounds_keep_every_best_hit(spark, skewed, k, leading, monkeypatch):
+    rng = random.Random(k)
+    monkeypatch.setattr(R, "LEADING", leading)
+    view = skewed.view()
+    asked = [(q, " ".join(rng.choices([f"w{i}" for i in range(42)], k=rng.randint(1, 9)))) for q in range(25)] + [(30, "w0 w0 w0 w39"), (31, "w3_w1 w0 w20")]
+    terms = R.clause_terms(R.word_clauses(spark.createDataFrame(asked, "query_id long, q string")), optional=True)
+    looked_up = []
+    opened = R.Matching.hits
+    monkeypatch.setattr(R.Matching, "hits", lambda m, wanted, positions=False: (looked_up.append(opened(m, wanted, positions)), looked_up[-1])[1])
+    got = sorted(map(tuple, R.best_hits(view, terms, k, most=0).select("query_id", "rank", "doc_id").collect()))
+    want = R.best_hits(view, terms, k).select("query_id", "rank", "doc_id").collect()
+    assert got == sorted(map(tuple, want))
+    # Opened: for the estimate, for strong terms, for phrases; then for all terms, for phrases.
+    assert len(looked_up) == 5
+    if k == 1:
+        assert looked_up[1].count() < looked_up[3].count()
+
+
+def test_blocks_hold_every_posting_once(spark, skewed):
+    live = skewed.docs().select("doc_id", "path", "name")
+    as_rows = lambda df: sorted((r.term, r.doc_id, r.tf, r.dl, tuple(r.positions)) for r in df.select("term", "doc_id", "tf", "dl", "positions").collect())
+    assert as_rows(skewed.postings()) == as_rows(build_postings(live)) == as_rows(skewed.compact().postings())
+    for r in skewed.blocks().collect():
+        assert r.n == len(r.offsets) == len(r.tfs) == len(r.dls) == len(r.positions) <= 256
+        assert (r.max_tf, r.min_dl) == (max(r.tfs), min(r.dls)) and r.offsets == sorted(r.offsets) and 0 <= r.offsets[0] and r.offsets[-1] < 256
+    bounds = {r.term: (r.max_tf, r.min_dl) for r in skewed.terms().collect()}
+    for r in skewed.postings().collect():
+        assert bounds[r.term][0] >= r.tf and bounds[r.term][1] <= r.dl
+
+
+def test_a_rare_term_is_in_one_file(spark, monkeypatch):
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    docs = spark.range(20000).selectExpr("id AS doc_id", "concat('/n/', id) AS path", "concat('common t', id div 4, ' t', id % 5000) AS name")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50kb")
+        index = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=docs.repartition(5))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = index.blocks().select("term", F.input_file_name().alias("file")).groupBy("term").agg(F.countDistinct("file").alias("files"))
+    assert {r["files"] for r in files.where("term <> 'common'").collect()} == {1}
+    assert files.where("term = 'common'").first()["files"] > 3
+
+
 def test_plain_frames_give_the_same_scores(spark, view):
     docs = view.docs.select("doc_id", "path", "name")
     plain = R.view_of(doc_lengths(docs), build_postings(docs))

@@ -6,7 +6,6 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pathloom.operators.changes import path_copies
-from pathloom.operators.joins import restrict_scan
 from pathloom.plans import search as S
 from pathloom.plans.build import init_index
 from pathloom.session import work_dir
@@ -151,11 +150,24 @@ def test_commits_are_merged_by_tiers(spark):
     assert terms(packed) == terms(table) == terms(IndexTable.open(spark, table.root, table.generation.number))
 
 
-def test_deletes_of_a_few_paths_are_filters_of_the_scan(spark):
-    table = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=spark.range(9).selectExpr("concat('/p/', id) AS path"))
-    stored = restrict_scan(table.docs(), "path", spark.createDataFrame([("/p/3",), ("/p/5",)], "path string"))
-    plan = stored._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(path,/p/3)" in plan and "EqualTo(path,/p/5)" in plan and stored.count() == 2
+def test_deletes_read_only_the_slots_of_their_paths(spark, monkeypatch):
+    """A thousand deletes, whose slots are partition filters; other slots are not scanned."""
+    from pathloom.sources import index_table
+
+    monkeypatch.setattr(index_table, "SLOT_ROWS", 20)
+    paths = spark.range(3000).selectExpr("concat('/p/', id) AS path")
+    table = IndexTable.create(spark, work_dir(spark, "ix"), buckets=2).commit(adds=paths)
+    (slots,) = table.generation.slots.values()
+    assert slots == 256
+    gone = paths.where(index_table.slot_of("path", slots) < 90).limit(1000).persist()
+    stored = table.stored_paths(gone)
+    read = {r[0] for r in stored.select(F.regexp_extract(F.input_file_name(), "slot=(\\d+)", 1).cast("int")).distinct().collect()}
+    touched = {r[0] for r in gone.select(index_table.slot_of("path", slots)).distinct().collect()}
+    assert read == touched and len(read) < slots
+    assert "PartitionFilters: [slot" in stored._jdf.queryExecution().executedPlan().toString()
+    after = table.commit(deletes=gone)
+    assert after.num_docs() == 2000 == after.docs().count()
+    assert sorted(r.path for r in after.docs().collect()) == sorted(r.path for r in paths.subtract(gone).collect())
 
 
 def test_requests(spark):
