@@ -12,7 +12,8 @@ from pathloom.llm.common import CLEANUP, saved, slices, utf8
 from pathloom.operators.joins import lookup_join
 from pathloom.session import work_dir
 
-VERSION = b"WARC/1.1\r\n"
+MARK = b"WARC/1.1"
+VERSION = MARK + b"\r\n"
 END = b"\r\n\r\n"
 SEGMENT = 32 << 10  # bytes of a record's block before it is continued in another record
 CHUNK = 16 << 10
@@ -22,14 +23,20 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 # ------------------------------------------------------------------ bytes of one record
 
+def before_mark(data: bytes, at: int, end: int) -> int:
+    """Where to cut data that a line end will follow: not behind what that would make a record's first line."""
+    return end - 1 if end - at > 1 and data.endswith(MARK, at, end) else end
+
+
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer framing. No chunk has a record's first line in it, so that line marks records only."""
+    """Chunked transfer framing. No chunk, with its line end, has a record's first line in it: that marks records only."""
     out, at = [], 0
     while at < len(payload):
         end = min(at + size, len(payload))
         found = payload.find(VERSION, at, end)
         if found >= 0:
             end = found + len(VERSION) - 1
+        end = before_mark(payload, at, end)
         out += [b"%x\r\n" % (end - at), payload[at:end], b"\r\n"]
         at = end
     return b"".join(out) + b"0\r\n\r\n"
@@ -78,14 +85,18 @@ def page_id_of(uri: bytes) -> int | None:
 def page_records(page: int, url: str | None, payload: bytes, first: int | None, segment: int) -> list[bytes]:
     """The records of a page: a revisit of page ``first``, or a response in one or more segments."""
     digest = hashlib.sha256(payload).hexdigest()
-    target = utf8(url).replace(b"\r", b"%0D").replace(b"\n", b"%0A").replace(VERSION[:-2], b"WARC%2F1.1")
+    target = utf8(url).replace(b"\r", b"%0D").replace(b"\n", b"%0A").replace(MARK, b"WARC%2F1.1")
     fields = [(b"WARC-Record-ID", identifier(page, digest)), (b"WARC-Target-URI", target)]
     fields.append((b"WARC-Payload-Digest", b"sha256:" + digest.encode()))
     if first is not None:
         fields += [(b"WARC-Type", b"revisit"), (b"WARC-Profile", PROFILE), (b"WARC-Refers-To", identifier(first, digest))]
         return [record(fields, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    parts = [block[i : i + segment] for i in range(0, len(block), segment)]
+    parts, at = [], 0
+    while at < len(block):
+        end = before_mark(block, at, min(at + segment, len(block)))
+        parts.append(block[at:end])
+        at = end
     if len(parts) == 1:
         return [record([*fields, (b"WARC-Type", b"response")], block)]
     out = [record([*fields, (b"WARC-Type", b"response"), (b"WARC-Segment-Number", b"1")], parts[0])]
@@ -212,8 +223,9 @@ def reassembled(records: DataFrame) -> DataFrame:
     @F.pandas_udf("payload binary, status string")
     def decode(blocks: pd.Series, digests: pd.Series) -> pd.DataFrame:
         out = []
-        for block, digest in zip(blocks, digests):
-            head, _, body = bytes(block or b"").partition(END)
+        for pieces, digest in zip(blocks, digests):
+            block = None if pieces is None or any(p is None for p in pieces) else b"".join(map(bytes, pieces))
+            head, _, body = (block or b"").partition(END)
             framed = b"transfer-encoding: chunked" in head.lower()
             payload = unchunked(body) if framed else body
             if block is None:
@@ -227,7 +239,7 @@ def reassembled(records: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["payload", "status"])
 
     fields = ["page_id", "type", "refers_to", "digest"]
-    whole = records.where("segment IS NULL AND type = 'response'").select(*fields, "block", F.lit(None).cast("string").alias("wrong"))
+    whole = records.where("segment IS NULL AND type = 'response'").select(*fields, F.array("block").alias("blocks"), F.lit(None).cast("string").alias("wrong"))
     parts = records.where("segment IS NOT NULL").dropDuplicates(["origin_id", "segment"])
     joined = parts.groupBy("origin_id").agg(
         F.first("page_id", True).alias("page_id"),
@@ -241,13 +253,11 @@ def reassembled(records: DataFrame) -> DataFrame:
         .when((F.col("least") != 1) | (F.col("most") != F.col("n")) | F.col("total").isNull(), "missing segment")
         .when(F.col("length") != F.col("total"), "wrong length")
     )
-    # Binary arrays are joined by their bytes; nothing here is taken for text.
-    block = F.aggregate("blocks.block", F.lit(b""), lambda a, b: F.concat(a, b))
     segmented = joined.select(
         "page_id", F.coalesce("head.type", F.lit("response")).alias("type"), "head.refers_to", "head.digest",
-        F.when(wrong.isNull(), block).alias("block"), wrong.alias("wrong"),
+        F.when(wrong.isNull(), F.col("blocks.block")).alias("blocks"), wrong.alias("wrong"),
     )
-    decoded = whole.unionByName(segmented).withColumn("d", decode("block", "digest"))
+    decoded = whole.unionByName(segmented).withColumn("d", decode("blocks", "digest"))
     responses = decoded.select(
         *fields, "d.payload", F.coalesce("wrong", "d.status").alias("status"),
     )
@@ -261,7 +271,8 @@ def archive_report(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the archives, read them back, and report each page from what was read.
 
     A revisit has the length and digest of the response that it refers to; its own stated
-    digest must be the same. Rows that repeat both page_id and html are one page.
+    digest must be the same. Rows that repeat both page_id and html are one page; rows without a
+    page_id are not archived and not reported.
     """
     spark = pages.sparkSession
     path = path or work_dir(spark, "llm-warc")
