@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pathloom.llm.common import saved
+from pathloom.operators.joins import lookup_join
 
 ALLOW, BLOCK = "allow", "block"
 #: Fixed list: (verdict, host, path).
@@ -63,23 +65,47 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(has, F.array_distinct(F.concat(F.array(scheme), labels, steps, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
-    """(tokens, verdict, confidence, support) of rules that lead from URL tokens to a label.
+def _merged(rows: DataFrame, least: int) -> DataFrame:
+    """(items, alike) for rows (row, tokens, label): of tokens that stand in the same rows the first one stays.
+
+    ``alike`` of a row has (token kept, all tokens it stands for). Such tokens have every support and confidence in
+    common, and each subset of them is a frequent set of its own: merged, a URL of many tokens is one item. Tokens in
+    fewer than ``least`` rows go. The rows of a token are told by their number and two sums of hashes.
+    """
+    each = saved(rows.select("row", F.explode("tokens").alias("token")), "url-tokens")
+    marks = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("s")
+    ).where(F.col("n") >= least)
+    groups = saved(marks.groupBy("n", "x", "s").agg(F.sort_array(F.collect_list("token")).alias("same")), "url-alike")
+    kept = groups.select(F.col("same")[0].alias("token"), "same")
+    merged = lookup_join(each, kept, "token", spread=F.xxhash64("row"))
+    return merged.groupBy("row").agg(F.collect_list(F.struct("token", "same")).alias("alike"))
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 5) -> DataFrame:
+    """(tokens, verdict, confidence, support, alike) of rules that lead from URL tokens to a label.
 
     ``labelled``: tokens array<string>, label string. FP-growth runs on all labelled rows;
-    tokens below ``min_support`` take no part. A rule is pruned if its label is no likelier than
+    tokens below ``min_support``, or in fewer than ``min_rows`` rows, take no part. Tokens that stand in the same rows are
+    one item: ``tokens`` names the first of them, ``alike`` lists for each all that it stands for, and any of these
+    fits. A rule is pruned if its label is no likelier than
     among all rows, or if a rule with fewer of its
     tokens has the same verdict and at least its confidence. Rows without a label are
     ignored; without labelled rows there are no rules.
     """
-    schema = "tokens array<string>, verdict string, confidence double, support double"
+    schema = "tokens array<string>, verdict string, confidence double, support double, alike array<array<string>>"
     spark = labelled.sparkSession
     rows = labelled.where("label IS NOT NULL AND tokens IS NOT NULL")
-    items = F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))))
-    rows = saved(rows.select(items.alias("items")), "url-items")
-    if rows.isEmpty():
+    rows = saved(rows.select(F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "label"), "url-rows")
+    n = rows.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    merged = saved(_merged(rows, max(min_rows, math.ceil(min_support * n - 1e-9))), "url-merged")
+    label = F.array(F.concat(F.lit("="), "label"))
+    items = F.concat(F.coalesce("alike.token", F.array().cast("array<string>")), label)
+    items = saved(rows.select("row", "label").join(merged, "row", "left").select(items.alias("items")), "url-items")
+    least = max(min_support, (min_rows - 0.5) / n)
+    model = FPGrowth(itemsCol="items", minSupport=min(least, 1.0), minConfidence=min_confidence).fit(items)
     found = model.associationRules.where("lift > 1").where(F.element_at("consequent", 1).startswith("=")).where(~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = found.select(
         F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 2)").alias("verdict"), "confidence", "support"
@@ -90,7 +116,11 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
         F.col("tokens"), "verdict", "confidence", F.array_except("tokens", F.array("left")).alias("part")
     )
     best = _best_within(rules, parts)
-    return rules.join(best, ["tokens", "verdict"], "left").where(F.col("within").isNull() | (F.col("within") < F.col("confidence"))).drop("within")
+    rules = rules.join(best, ["tokens", "verdict"], "left").where(F.col("within").isNull() | (F.col("within") < F.col("confidence"))).drop("within")
+    same = merged.select(F.explode("alike").alias("a")).select(F.col("a.token").alias("token"), F.col("a.same").alias("same")).distinct()
+    each = lookup_join(rules.select("tokens", F.explode("tokens").alias("token")).distinct(), same, "token")
+    alike = each.groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct("token", "same")))["same"].alias("alike"))
+    return rules.join(alike, "tokens")
 
 
 def _best_within(rules: DataFrame, parts: DataFrame) -> DataFrame:
@@ -114,24 +144,30 @@ def _best_within(rules: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 class RuleIndex:
-    """Rules under their rarest token: a URL meets only rules that have one of its tokens there."""
+    """Rules under their rarest token: a URL meets only rules that have one of its tokens there.
+
+    An entry of a rule's tokens is a token, or a list of tokens any of which fits.
+    """
 
-    def __init__(self, rules: list[tuple[list[str], str, float, float]]) -> None:
-        times: dict[str, int] = defaultdict(int)
+    def __init__(self, rules: list[tuple[list, str, float, float]]) -> None:
+        rules = [([(t,) if isinstance(t, str) else tuple(t) for t in tokens], *rest) for tokens, *rest in rules]
+        times: dict[tuple, int] = defaultdict(int)
         for tokens, *_ in rules:
             for t in tokens:
                 times[t] += 1
-        self.by_token: dict[str, list[tuple[frozenset[str], str, float, float]]] = defaultdict(list)
+        self.by_token: dict[str, list[tuple[list[frozenset[str]], str, float, float, list[str]]]] = defaultdict(list)
         for tokens, verdict, confidence, support in rules:
-            self.by_token[min(tokens, key=lambda t: (times[t], t))].append((frozenset(tokens), verdict, confidence, support))
+            rule = ([frozenset(t) for t in tokens], verdict, confidence, support, sorted(t[0] for t in tokens))
+            for t in min(tokens, key=lambda t: (times[t], t)):
+                self.by_token[t].append(rule)
 
     def best(self, tokens: list[str]) -> tuple[str | None, float, list[str] | None]:
         """(verdict, confidence, tokens) of the rule with the highest confidence, then support, then most tokens."""
         own, top = set(tokens), None
         for t in own:
             for rule in self.by_token.get(t, ()):
-                if rule[0] <= own:
-                    key = (rule[2], rule[3], len(rule[0]), rule[1], sorted(rule[0]))
+                if not any(own.isdisjoint(group) for group in rule[0]):
+                    key = (rule[2], rule[3], len(rule[0]), rule[1], rule[4])
                     if top is None or key > top:
                         top = key
         return (None, 0.0, None) if top is None else (top[3], top[0], top[4])
@@ -156,6 +192,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, tokens_col: str = "tokens", b
     and rows with null tokens, have a null verdict.
     """
     rules = saved(rules, "url-rules")
+    listed = "alike" if "alike" in rules.columns else "tokens"
     blocks = max(1, -(-rules.count() // block_rules))
     schema = T.StructType(
         [T.StructField("verdict", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("tokens", T.ArrayType(T.StringType()))]
@@ -163,7 +200,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, tokens_col: str = "tokens", b
     out = urls.select(*[c for c in urls.columns if c != "mined"], F.lit(None).cast(schema).alias("mined"))
     for block in range(blocks):
         part = rules.where(F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == block).collect()  # about block_rules rows
-        index = RuleIndex([(list(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in part])
+        index = RuleIndex([(list(r[listed]), r["verdict"], r["confidence"], r["support"]) for r in part])
         held = urls.sparkSession.sparkContext.broadcast(index)
         new = _matcher(held, schema)(F.col(tokens_col))
         if block:
