@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.llm.common import saved
-from pathloom.operators.numbering import range_of
+from pathloom.operators.numbering import number_rows, range_of
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -23,6 +23,7 @@ NAMES = ("", "system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 BLOCK = 512  # turns, or blocks of the level below, that are combined at once
+CROWDED = 4  # rows a turn number, above which blocks are cut by rows
 FAR = 10**12
 NONE = -(1 << 63)  # stands for a null number inside; nothing is before it
 
@@ -124,7 +125,8 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     the conversation's text: an end mark is written by the turn after which a new one begins.
 
     The costs of a stretch of turns are a small matrix, and stretches combine like one turn. A
-    conversation is cut into blocks of ``BLOCK`` turn numbers, blocks into blocks of blocks,
+    conversation is cut into blocks of ``BLOCK`` turn numbers, or of ``BLOCK`` rows where a block of numbers
+    has more than ``CROWDED`` rows a number (numbers are null or repeat), blocks into blocks of blocks,
     until each conversation is one: then the cheapest way is handed down, level by level, so
     that each block knows the states it begins and ends in, and repairs itself. No task
     holds a conversation, only a block's steps.
@@ -142,7 +144,13 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
     # Blocks count from that of NONE, so all are 0 or more and meet in one block at last.
-    rows = rows.withColumn("block", range_of("turn", BLOCK) - F.lit(NONE // BLOCK))
+    by_turn = rows.withColumn("block", range_of("turn", BLOCK) - F.lit(NONE // BLOCK))
+    if by_turn.groupBy("key", "block").count().where(F.col("count") > CROWDED * BLOCK).isEmpty():
+        rows = by_turn
+    else:
+        # Many turns of one number, or none: blocks are cut by the place of a row in the order of all.
+        placed = number_rows(rows.withColumn("tie", F.monotonically_increasing_id()), "key", ["turn", "role", "text", "tie"])
+        rows = placed.withColumn("block", range_of("n", BLOCK)).drop("tie", "n")
     order = ["key", "block", "turn", "role", "text"]
     rows = rows.repartition("key", "block").sortWithinPartitions(*order)
 
