@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import slices
+from pathloom.llm.common import saved, slices
 
 #: Most labelled rows that a fit looks at; those with the smallest hash of their id.
 SAMPLE = 8_000
@@ -170,7 +170,9 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, text_col: str
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "_id").mapInPandas(hashed, "_id long, _grade int, f binary, v binary")
-    rows = sorted(rows.toLocalIterator(), key=lambda r: (r["_id"], bytes(r["f"])))[:sample]
+    # All partitions at once, and the choice among repeated documents made by Spark.
+    first = saved(saved(rows, "rated").orderBy("_id", "f").limit(sample), "rated-first")
+    rows = sorted(first.collect(), key=lambda r: (r["_id"], bytes(r["f"])))
     if not rows:
         return None
     pairs = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows]
