@@ -24,6 +24,19 @@ def read_events(spark: SparkSession, path: str, fmt: str = "json", **options: st
     return reader.schema(FS_EVENTS).format(fmt).load(path)
 
 
+def distinct_events(events: DataFrame, within: str, key: list[str] | None = None) -> DataFrame:
+    """The stream without events that come again within ``within`` (event time, such as ``10 minutes``).
+
+    Events are the same if they agree in ``key``: by default in all columns but ``ts``, so an event that its source
+    delivers twice counts once; ``["op", "paths"]`` also takes reports of one change under several
+    numbers for one. Keys are kept until the watermark, the latest ``ts`` less ``within``, has passed
+    them, so the state is as large as the events of that time; events that are older than the watermark are dropped.
+    Lines that could not be read have no ``ts``; they differ by their text.
+    """
+    key = key or [c for c in events.columns if c != "ts"]
+    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(key)
+
+
 def unknown_renames() -> Column:
     """Renames that do not say of each path whether it exists afterwards."""
     unknown = F.exists(F.sequence(F.lit(0), F.size("paths") - 1), lambda i: F.get("exists_after", i).isNull())

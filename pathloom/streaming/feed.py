@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import net_changes, route_events
 from ..session import cut_lineage
-from ..sources.events import split_bad_events, unknown_renames
+from ..sources.events import distinct_events, split_bad_events, unknown_renames
 from ..sources.index_table import IndexTable
 from ..sources.settings import append_log, next_version, pairs
 from ..sources.storage import read_text
@@ -52,7 +52,8 @@ def follow(
     include: str = "/",
     name: str = "feed",
     trigger: dict | None = None,
-    merge_after: int = MERGE_AFTER,
+    merge_after: int | None = MERGE_AFTER,
+    distinct_within: str | None = None,
 ) -> StreamingQuery:
     """Apply a feed to the index, one commit per micro-batch.
 
@@ -66,7 +67,11 @@ def follow(
     again, and takes a new ``name``: a name that another stream of this index has used fails.
 
     After ``merge_after`` commits of about one size, those are folded into one, and so on by
-    tiers; ``IndexTable.compact`` folds everything and is for quiet hours.
+    tiers; ``IndexTable.compact`` folds everything and is for quiet hours. With ``None`` the stream
+    does not merge, and ``IndexTable.merge_tail`` is run between its starts.
+
+    ``distinct_within`` drops events that come again within that time (see ``distinct_events``). It is
+    off by default: then every event counts, and events may be of any age.
 
     Bad events go to ``bad_path`` and do not stop the stream. A rename of which neither the
     event nor a catalogue says what exists afterwards is one of them.
@@ -90,8 +95,11 @@ def follow(
             count = [("indexed_files", str(table.num_docs()))]
             append_log(pairs(spark, count, version=next_version(spark, log_path)), log_path)
         batch.unpersist()
-        table.merge_tail(merge_after)
+        if merge_after is not None:
+            table.merge_tail(merge_after)
 
+    if distinct_within is not None:
+        events = distinct_events(events, distinct_within)
     return (
         events.writeStream.queryName(name)
         .foreachBatch(apply_batch)

@@ -356,6 +356,24 @@ def stream_apply(spark, sf_dir):
     return M.path_copies(index.docs())
 
 
+@register("stream_distinct", f"WITH {FEED_SQL} SELECT path, copies FROM copies")
+def stream_distinct(spark, sf_dir):
+    """Every third event is delivered again with the next instalment, and every seventh at once and late."""
+    base = work_dir(spark, "distinct")
+    IndexTable.create(spark, f"{base}/index", buckets=4)
+    events = fs_events(spark, sf_dir)
+    a, b = _cuts(spark, sf_dir)
+    seq = F.col("seq")
+    parts = [seq < a, (seq >= a) & (seq < b), seq >= b]
+    for part, before in zip(parts, [F.lit(False), *parts]):
+        again = events.where((part & (seq % 7 == 0)) | (before & (seq % 3 == 0)))
+        _feed_lines(events.where(part).unionByName(again)).write.mode("append").text(f"{base}/in")
+        follow(
+            read_events(spark, f"{base}/in"), f"{base}/index", f"{base}/checkpoint", f"{base}/bad", distinct_within="3650 days"
+        ).awaitTermination()
+    return M.path_copies(IndexTable.open(spark, f"{base}/index").docs())
+
+
 @register(
     "stream_count",
     f"""WITH {FEED_SQL}, cuts AS (SELECT 0 AS version, count(*) // 7 AS cut FROM events
