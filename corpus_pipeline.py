@@ -10,18 +10,27 @@ from pathloom.llm import decontaminate, packing, quality, simhash_gray, suffix_d
 from pathloom.llm.common import saved, table
 from pathloom.llm.queries import ratings, tokenizer_path
 
-#: The near-duplicate stage: fingerprints of shingles of three and of five words; either links at up to three bits.
-SHINGLES, BITS_APART = (3, 5), 3
+#: The near-duplicate stage: shingle length and largest bit distance as operator 9 has them.
+SHINGLE_WORDS, BITS_APART = 3, 3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    A null text is an empty one, and is judged like any other. Rows with a null or a repeated id are
+    judged each by its own text. A score at the threshold stays. Without ratings no document is rejected,
+    and an empty table stays empty.
+    """
     return quality.select_good(docs, ratings(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash_gray.keep_first(docs, shingles=SHINGLES, most=BITS_APART)
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Texts without words (null, empty, blanks) have fingerprint 0 and are one group. Rows without an id all
+    stay, and so do all rows that repeat a kept id. An empty table stays empty.
+    """
+    return simhash_gray.keep_first(docs, shingles=(SHINGLE_WORDS,), most=BITS_APART)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +45,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark passages; their texts stay whole."""
+    """Documents that are not contaminated by benchmark passages; their texts stay whole.
+
+    Null and empty texts have no words and stay. Rows with a null or a repeated id are judged each by its
+    own text. An item without words marks nothing; an empty benchmark keeps all documents.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the packed sequences."""
+    """The pieces of all documents with their places in the packed sequences.
+
+    A null text is an empty one, a piece of the end id alone. Rows with a null or a repeated id are packed
+    each. Which of equally long pieces takes which slot is open. An empty table gives no pieces.
+    """
     packed = packing.pack(docs, tokenizer_path(spark), added_tokens=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

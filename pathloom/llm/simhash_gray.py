@@ -298,17 +298,21 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, most: int = 3,
     return prints.join(named, "code").select("doc_id", "code", "component_id")
 
 
-def keep_first(docs: DataFrame, shingles: tuple[int, ...] = (3, 5), **options) -> DataFrame:
+def keep_first(docs: DataFrame, shingles: tuple[int, ...] = (3,), **options) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id.
 
     Documents are linked if their fingerprints of shingles of any of the given lengths are;
     links chain across lengths. Rows without an id, which cannot be told apart, all stay. Of
-    rows that repeat the kept id, all stay: they are one document to every later join.
+    rows that repeat the kept id, all stay: they are one document to every later join. An id
+    goes with all its rows if one of them is in a group that has a smaller id.
     """
     edges = None
     for words in shingles:
         found = near_duplicates(docs, words_per_shingle=words, **options)
         own = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         edges = own if edges is None else edges.unionByName(own)
-    gone = connected_components(edges).where("node <> component").select(F.col("node").alias("doc_id"))
+    if len(shingles) == 1:  # every id is linked to the smallest one of its group already
+        gone = edges.select(F.col("a").alias("doc_id")).distinct()
+    else:
+        gone = connected_components(edges).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from check import TABLES, canonical
-from pathloom.llm import queries
+from pathloom.llm import queries, simhash_gray
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -82,3 +82,28 @@ def test_documents_cut_whole_stay_with_empty_texts(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert "stay, with an empty text" in corpus_pipeline.cut_repeats.__doc__
     assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()) == [(1, text, len(text)), (2, "", 0), (3, "", 0)]
+
+
+@pytest.mark.parametrize("shingles", [(3,), (3, 5)])
+def test_near_copies_go_as_brute_force_says(spark, shingles):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    root = {d: d for d in rows}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for words in shingles:
+        codes = {d: simhash_gray.simhash(t, words) for d, t in rows.items()}
+        for a in sorted(codes):
+            for b in sorted(codes):
+                if a < b and (codes[a] ^ codes[b]).bit_count() <= 3:
+                    low, high = sorted((top(a), top(b)))
+                    root[high] = low
+    want = sorted(d for d in rows if top(d) == d)
+    assert want != sorted(rows)
+    assert sorted(r.doc_id for r in simhash_gray.keep_first(docs, shingles=shingles).collect()) == want
+    if shingles == (corpus_pipeline.SHINGLE_WORDS,):
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == want
