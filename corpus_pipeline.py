@@ -38,10 +38,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text. Documents of which nothing is left stay, with an empty text.
     """
-    cut = suffix_dedup.drop_repeats(docs).withColumn("_length", F.length("text"))
-    changed = F.col("n_chars").isNull() | (F.col("_length").isNull())
-    out = cut.withColumn("n_chars", F.when(changed, F.col("n_chars")).otherwise(F.col("_length").cast("long")))
-    return out.select(*docs.columns)
+    length = F.length("text").cast("long")
+    known = F.col("n_chars").isNotNull() & length.isNotNull()
+    return suffix_dedup.drop_repeats(docs).withColumn("n_chars", F.when(known, length).otherwise(F.col("n_chars")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, after as many underscores as it takes to be no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

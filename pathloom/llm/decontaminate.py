@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pathloom.llm.common import saved, slices, utf8
+from pathloom.llm.common import free_name, saved, slices, utf8
 
 #: A-Z to a-z; digits, a-z and bytes above ASCII stay; everything else becomes a space.
 WORD_BYTES = bytes(
@@ -143,8 +143,9 @@ def find_contamination(
     item_col: str = "item_id",
     benchmark_text_col: str = "text",
     block_grams: int = 1_000_000,
+    out_col: str = "contamination",
 ) -> DataFrame:
-    """Add a struct ``contamination`` (n_words, n_hit, item_ids, spans) to each row of ``docs``.
+    """Add a struct ``out_col`` (n_words, n_hit, item_ids, spans) to each row of ``docs``.
 
     A window is ``n`` consecutive normalised words of an item, or all of them if it has
     fewer; an item without words has none. A word inside any occurrence of a window is hit;
@@ -157,14 +158,14 @@ def find_contamination(
 
     Nulls: a null text has no words; a null item id marks words but is not listed. Repeated
     documents are judged row by row, repeated items are one set of windows. An empty
-    benchmark hits nothing. All columns are kept; a column named ``contamination`` is
+    benchmark hits nothing. All columns are kept; a column named ``out_col`` is
     replaced.
     """
     grams = benchmark_grams(benchmark, n, item_col, benchmark_text_col)
     grams = saved(grams, "grams")
     blocks = max(1, -(-grams.count() // block_grams))
-    columns = [c for c in docs.columns if c != "contamination"]
-    out = docs.select(*columns, F.lit(None).cast(HIT).alias("contamination"))
+    columns = [c for c in docs.columns if c.lower() != out_col.lower()]
+    out = docs.select(*columns, F.lit(None).cast(HIT).alias(out_col))
     spark = docs.sparkSession
     for block in range(blocks):
         part = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block)
@@ -174,8 +175,8 @@ def find_contamination(
         if block:
             out = saved(out, "decontaminate")
 
-        found = _scanner(held)(F.col(text_col).cast("string"), "contamination.spans", "contamination.item_ids")
-        out = out.withColumn("contamination", found)
+        found = _scanner(held)(F.col(text_col).cast("string"), f"{out_col}.spans", f"{out_col}.item_ids")
+        out = out.withColumn(out_col, found)
     return out
 
 
@@ -191,10 +192,11 @@ def decontaminate(
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    found = find_contamination(docs, benchmark, text_col=text_col, **options)
-    hit = F.col("contamination.n_hit")
+    mark = free_name(docs, "contamination")
+    found = find_contamination(docs, benchmark, text_col=text_col, out_col=mark, **options)
+    hit = F.col(f"{mark}.n_hit")
     if remove == "documents":
-        return found.where(~((hit > 0) & (hit * share >= F.col("contamination.n_words")))).select(*docs.columns)
+        return found.where(~((hit > 0) & (hit * share >= F.col(f"{mark}.n_words")))).select(*docs.columns)
     word = re.compile(rb"[^ ]+")
 
     @F.pandas_udf("string")
@@ -213,5 +215,5 @@ def decontaminate(
             out.append(b" ".join([x.strip() for x in kept] + [raw[last:].strip()]).strip().decode())
         return pd.Series(out, dtype=object)
 
-    cleaned = F.when(hit > 0, cut(F.col(text_col), F.col("contamination.spans"))).otherwise(F.col(text_col))
+    cleaned = F.when(hit > 0, cut(F.col(text_col), F.col(f"{mark}.spans"))).otherwise(F.col(text_col))
     return found.withColumn(text_col, cleaned).select(*docs.columns)

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import saved, slices
+from pathloom.llm.common import free_name, saved, slices
 
 #: Most labelled rows that a fit looks at; those with the smallest hash of their id.
 SAMPLE = 8_000
@@ -179,17 +179,19 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, text_col: str
     return fit_rows(pairs, np.array([r["_grade"] for r in rows]))
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, least: int = GRADES - 1, text_col: str = "text") -> DataFrame:
-    """Add a struct ``rating`` (expected_grade, tail_probability, grade) to each row of ``docs``.
+def score(
+    docs: DataFrame, model: OrdinalModel | None, least: int = GRADES - 1, text_col: str = "text", out_col: str = "rating"
+) -> DataFrame:
+    """Add a struct ``out_col`` (expected_grade, tail_probability, grade) to each row of ``docs``.
 
     ``tail_probability`` is that of grade ``least`` or better, ``grade`` the likeliest one. A null
     or empty text has no features and gets the shares that the thresholds alone say.
-    Without a model all three are null. All columns stay; one named ``rating`` is replaced.
+    Without a model all three are null. All columns stay; one named ``out_col`` is replaced.
     """
-    columns = [c for c in docs.columns if c != "rating"]
+    columns = [c for c in docs.columns if c.lower() != out_col.lower()]
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select(*columns, F.struct(none.alias("expected_grade"), none.alias("tail_probability"), none.cast("int").alias("grade")).alias("rating"))
+        return docs.select(*columns, F.struct(none.alias("expected_grade"), none.alias("tail_probability"), none.cast("int").alias("grade")).alias(out_col))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected_grade:double,tail_probability:double,grade:int>")
@@ -207,11 +209,12 @@ def score(docs: DataFrame, model: OrdinalModel | None, least: int = GRADES - 1,
                 }
             )
 
-    return docs.select(*columns, rate(F.col(text_col).cast("string")).alias("rating"))
+    return docs.select(*columns, rate(F.col(text_col).cast("string")).alias(out_col))
 
 
 def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = LEAST_CHANCE, **options) -> DataFrame:
-    """Rows whose chance of the best grade is at least ``least_chance``; all rows if nothing is rated."""
-    scored = score(docs, fit(docs, ratings, **options))
-    chance = F.col("rating.tail_probability")
+    """Rows whose chance of the best grade is at least ``least_chance``; all rows if nothing is rated. Columns are those of ``docs``."""
+    rating = free_name(docs, "rating")
+    scored = score(docs, fit(docs, ratings, **options), out_col=rating)
+    chance = F.col(f"{rating}.tail_probability")
     return scored.where(chance.isNull() | (chance >= least_chance)).select(*docs.columns)

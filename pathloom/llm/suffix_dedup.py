@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import saved, slices, utf8
+from pathloom.llm.common import free_name, saved, slices, utf8
 from pathloom.operators.joins import lookup_join
 
 LEVELS = (20, 36, None)  # bytes of an anchor: first, where an anchor is too common, and the whole window
@@ -500,8 +500,10 @@ def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 REPORT = "struct<n_bytes:long,n_removed:long,spans:array<array<long>>,kept:binary>"
 
 
-def find_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Add a struct ``repeats`` (n_bytes, n_removed, spans, kept) to each row of ``docs``.
+def find_repeats(
+    docs: DataFrame, length: int = 50, text_col: str = "text", id_col: str = "doc_id", out_col: str = "repeats"
+) -> DataFrame:
+    """Add a struct ``out_col`` (n_bytes, n_removed, spans, kept) to each row of ``docs``.
 
     A text is its UTF-8 bytes. Each byte is removed that is covered by a string of ``length``
     bytes which also starts in a document with a smaller id; overlaps count, and strings are
@@ -514,7 +516,7 @@ def find_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", id_c
     Nulls: a null text is empty; a row without an id neither removes nor loses anything.
     Rows that share an id do not count as repeats of each other. Texts shorter than ``length``
     have no strings. An empty table gives no rows. All columns are kept; one named
-    ``repeats`` is replaced.
+    ``out_col`` is replaced.
     """
     spans = saved(repeat_spans(docs, length, text_col, id_col), "suffix-spans")
 
@@ -533,12 +535,13 @@ def find_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", id_c
             rows.append((len(raw), int(gone.sum()), cuts, kept))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept"])
 
-    columns = [c for c in docs.columns if c != "repeats"]
+    columns = [c for c in docs.columns if c.lower() != out_col.lower()]
+    row, own, told_id, told_mark, runs = (free_name(docs, f"_{name}") for name in ("row", "own", "id", "mark", "runs"))
     mark = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))
-    told = spans.withColumnsRenamed({"doc_id": "_id", "mark": "_mark", "runs": "_runs"})
-    keyed = docs.select(*columns, F.col(id_col).cast("long").alias("_row"), mark.alias("_own"))
-    both = keyed.join(told, (F.col("_row") == F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
-    return both.select(*columns, report(F.col(text_col).cast("string"), "_runs").alias("repeats"))
+    told = spans.withColumnsRenamed({"doc_id": told_id, "mark": told_mark, "runs": runs})
+    keyed = docs.select(*columns, F.col(id_col).cast("long").alias(row), mark.alias(own))
+    both = keyed.join(told, (F.col(row) == F.col(told_id)) & (F.col(own) == F.col(told_mark)), "left")
+    return both.select(*columns, report(F.col(text_col).cast("string"), runs).alias(out_col))
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -547,11 +550,12 @@ def drop_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", id_c
     A character of which only some bytes are left goes as well. Texts without repeats, null
     ones included, stay as they are.
     """
-    found = find_repeats(docs, length, text_col, id_col)
+    repeats = free_name(docs, "repeats")
+    found = find_repeats(docs, length, text_col, id_col, repeats)
 
     @F.pandas_udf("string")
     def decoded(kept: pd.Series) -> pd.Series:
         return pd.Series([None if k is None else bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
 
-    cut = F.when(F.col("repeats.n_removed") > 0, decoded("repeats.kept")).otherwise(F.col(text_col))
+    cut = F.when(F.col(f"{repeats}.n_removed") > 0, decoded(f"{repeats}.kept")).otherwise(F.col(text_col))
     return found.withColumn(text_col, cut).select(*docs.columns)

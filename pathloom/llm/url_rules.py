@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pathloom.llm.common import saved
+from pathloom.llm.common import free_name, saved
 from pathloom.operators.joins import lookup_join
 
 ALLOW, BLOCK = "allow", "block"
@@ -197,7 +197,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, tokens_col: str = "tokens", b
     schema = T.StructType(
         [T.StructField("verdict", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("tokens", T.ArrayType(T.StringType()))]
     )
-    out = urls.select(*[c for c in urls.columns if c != "mined"], F.lit(None).cast(schema).alias("mined"))
+    out = urls.select(*[c for c in urls.columns if c.lower() != "mined"], F.lit(None).cast(schema).alias("mined"))
     for block in range(blocks):
         part = rules.where(F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == block).collect()  # about block_rules rows
         index = RuleIndex([(list(r[listed]), r["verdict"], r["confidence"], r["support"]) for r in part])
@@ -205,9 +205,10 @@ def apply_rules(urls: DataFrame, rules: DataFrame, tokens_col: str = "tokens", b
         new = _matcher(held, schema)(F.col(tokens_col))
         if block:
             out = saved(out, "url-matched")
-        out = out.withColumn("_new", new)
-        better = F.col("mined.verdict").isNull() | (F.coalesce(F.col("_new.confidence"), F.lit(0.0)) > F.col("mined.confidence"))
-        out = out.withColumn("mined", F.when(better, F.col("_new")).otherwise(F.col("mined"))).drop("_new")
+        name = free_name(out, "_new")
+        out = out.withColumn(name, new)
+        better = F.col("mined.verdict").isNull() | (F.coalesce(F.col(f"{name}.confidence"), F.lit(0.0)) > F.col("mined.confidence"))
+        out = out.withColumn("mined", F.when(better, F.col(name)).otherwise(F.col("mined"))).drop(name)
     return out
 
 
@@ -220,12 +221,13 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: s
     default. Repeated rows are labels each. An empty table gives no rows. Other columns
     stay; ones with these names are replaced.
     """
-    new = ("host", "path", "rule", "verdict", "mined", "tokens")
+    new = ("host", "path", "rule", "verdict", "mined")
     url = F.col(url_col).cast("string")
-    kept = [c for c in urls.columns if c not in new]
+    kept = [c for c in urls.columns if c.lower() not in new]
     parts = urls.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
+    tokens = free_name(parts, "tokens")
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumns({"rule": rule, "verdict": verdict}).withColumn("tokens", url_tokens(url, F.col("host"), F.col("path")))
-    mined = mine_rules(parts.select("tokens", F.col("verdict").alias("label")), **options)
-    out = apply_rules(parts, mined)
-    return out.withColumn("verdict", F.coalesce("verdict", "mined.verdict", F.lit(default))).drop("tokens")
+    parts = parts.withColumns({"rule": rule, "verdict": verdict}).withColumn(tokens, url_tokens(url, F.col("host"), F.col("path")))
+    mined = mine_rules(parts.select(F.col(tokens).alias("tokens"), F.col("verdict").alias("label")), **options)
+    out = apply_rules(parts, mined, tokens)
+    return out.withColumn("verdict", F.coalesce("verdict", "mined.verdict", F.lit(default))).drop(tokens)

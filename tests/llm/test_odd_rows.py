@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat_repair, quality, recurrent_lm, url_rules, warc_segments
+import corpus_pipeline
+from pathloom.llm import chat_repair, decontaminate, quality, recurrent_lm, simhash_gray, suffix_dedup, url_rules, warc_segments
 
 # ------------------------------------------------------------------ WARC
 
@@ -158,3 +159,38 @@ def test_a_rated_document_that_repeats(frame):
         chances = np.diff(below)
         assert r.expected_grade == pytest.approx(sum(k * c for k, c in enumerate(chances)), abs=1e-4)
         assert r.tail_probability == pytest.approx(chances[-1], abs=1e-4)
+
+
+CLASHING = ["rating", "Contamination", "repeats", "_row", "_own", "_id", "_mark", "_runs", "_length", "tokens", "_new", "code", "component_id", "mark", "first", "part", "piece", "n"]
+
+
+def test_columns_with_the_operators_own_names_stay(frame):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, t, "en", "s", 1, *(f"{c} {i}" for c in CLASHING)) for i, t in enumerate([text, text, text + " more", "a b c", None])]
+    docs = frame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    items = frame([(1, " ".join(f"word{i}" for i in range(20)))], "item_id long, text string")
+    grades = frame([(0, 2), (1, 2), (3, 0)], "doc_id long, grade int")
+    kept = {
+        "quality": quality.select_good(docs, grades, least_chance=0.0),
+        "near": simhash_gray.keep_first(docs),
+        "repeats": corpus_pipeline.cut_repeats(docs.sparkSession, docs, ""),
+        "documents": decontaminate.decontaminate(docs, items),
+        "spans": decontaminate.decontaminate(docs, items, remove="spans"),
+    }
+    ids = {"quality": [0, 1, 2, 3, 4], "near": [0, 2, 3, 4], "repeats": [0, 1, 2, 3, 4], "documents": [3, 4], "spans": [0, 1, 2, 3, 4]}
+    for name, out in kept.items():
+        assert out.columns == docs.columns, name
+        got = {r.doc_id: r for r in out.collect()}
+        if name != "near":
+            assert sorted(got) == ids[name], name
+        assert all(r[c] == f"{c} {d}" for d, r in got.items() for c in CLASHING), name
+    reports = suffix_dedup.find_repeats(docs).collect()
+    assert {r.doc_id: r["repeats"]["n_removed"] for r in reports} == {0: 0, 1: len(text), 2: len(text), 3: 0, 4: 0}
+    assert all(r[c] == f"{c} {r.doc_id}" for r in reports for c in CLASHING if c != "repeats")
+
+
+def test_urls_with_clashing_columns(frame):
+    rows = [(i, u, f"t {i}", f"n {i}", f"m {i}") for i, u in enumerate(["http://a.com/x", "http://a.net/es/x", "http://b.org/es/x", None])]
+    out = url_rules.judge(frame(rows, "page_id int, url string, tokens string, _new string, Mined string"))
+    assert sorted((r.page_id, r.tokens, r["_new"]) for r in out.collect()) == [(i, f"t {i}", f"n {i}") for i in range(4)]
+    assert [c for c in out.columns if c.lower() == "mined"] == ["mined"]
