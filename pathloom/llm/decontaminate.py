@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pathloom.llm.common import free_name, saved, slices, utf8
+from pathloom.llm.common import free_name, saved, slices, tidy, utf8
 
 #: A-Z to a-z; digits, a-z and bytes above ASCII stay; everything else becomes a space.
 WORD_BYTES = bytes(
@@ -119,6 +119,7 @@ def _scanner(held: Broadcast):
     """Hits of the held windows, added to the spans and items that were found before."""
 
     @F.pandas_udf(HIT)
+    @tidy
     def scan(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         grams = held.value
         for texts, spans, items in parts:

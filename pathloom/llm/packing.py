@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pathloom.llm.common import saved
+from pathloom.llm.common import saved, tidy
 
 LONG_BLANKS = 100_000  # blanks in a row beyond which tiktoken's pattern may run out of stack
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, part int, nth long"
@@ -82,6 +82,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, add
     ``size`` ids but the first, which has the rest.
     """
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WholeEncoder(tokenizer, added_tokens)
         part = TaskContext.get().partitionId()

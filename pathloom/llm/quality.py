@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import free_name, saved, slices
+from pathloom.llm.common import free_name, saved, slices, tidy
 
 #: Most labelled rows that a fit looks at; those with the smallest hash of their id.
 SAMPLE = 8_000
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, text_col: str
     rated = ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min("grade").cast("int").alias("_grade"))
     chosen = rated.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
+    @tidy
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for frame in slices(frames, "text"):
@@ -195,6 +196,7 @@ def score(
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected_grade:double,tail_probability:double,grade:int>")
+    @tidy
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = held.value
         added = TokenScores(own.weights)

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import LOWER, saved, utf8
+from pathloom.llm.common import LOWER, saved, tidy, utf8
 from pathloom.llm.components import Forest, connected_components
 
 BITS = 64
@@ -204,10 +204,12 @@ def links(codes: DataFrame, most: int = 3) -> DataFrame:
     """
     chosen = tables(most)
 
+    @tidy
     def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield from _keyed(frame["code"].to_numpy(np.int64).view(np.uint64), chosen, 0, list(range(len(chosen))))
 
+    @tidy
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Links as (-1, 0, a, b); rows of common keys come back keyed by more bits."""
 

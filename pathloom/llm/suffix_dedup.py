@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import free_name, saved, slices, utf8
+from pathloom.llm.common import free_name, saved, slices, tidy, utf8
 from pathloom.operators.joins import lookup_join
 
 LEVELS = (20, 36, None)  # bytes of an anchor: first, where an anchor is too common, and the whole window
@@ -206,6 +206,7 @@ def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
     of all documents arrives once per batch, not once per document.
     """
 
+    @tidy
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text", 8 << 20):
             ids, marks = frame["doc_id"].to_numpy(np.int64), frame["mark"].to_numpy(np.int64)
@@ -250,6 +251,7 @@ def repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
     columns = ["bucket", "settled", "part", "ids", "marks", "keys", "local"]
     kinds = f"bucket int, settled boolean, {PACKED}, local binary"
 
+    @tidy
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close(held: list[tuple]) -> Iterator[pd.DataFrame]:
             if not held:
@@ -291,6 +293,7 @@ def occurrences(texts: DataFrame, wanted: DataFrame, length: int, parts: int) ->
     the anchors of a group are held, texts stream by.
     """
 
+    @tidy
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held, table, keys = None, [], {}, np.zeros(0, np.uint64)
         for frame in slices(frames, "text"):
@@ -366,6 +369,7 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
     size = LEVELS[level] or length
     last = size >= length
 
+    @tidy
     def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close(strings: list, docs: list) -> Iterator[pd.DataFrame]:
             if not strings:
@@ -431,6 +435,7 @@ def window_firsts(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
         return settled
     finer = LEVELS[level + 1] or length
 
+    @tidy
     def recut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -466,6 +471,7 @@ def repeat_spans(docs: DataFrame, length: int = 50, text_col: str = "text", id_c
     found = saved(occurrences(texts, wanted, length, parts), "suffix-pieces")
     firsts = window_firsts(found.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc_id")), length)
 
+    @tidy
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, mark, start, shift = (batch.column(k).to_numpy() for k in range(4))
@@ -520,20 +526,23 @@ def find_repeats(
     """
     spans = saved(repeat_spans(docs, length, text_col, id_col), "suffix-spans")
 
+    def row_of(text: str | None, runs: list | None) -> tuple:
+        raw = utf8(text)
+        edge = np.zeros(len(raw) + 1, np.int64)
+        for x in runs if runs is not None else ():
+            edge[x["a"]] += 1
+            edge[x["b"]] -= 1
+        gone = (np.cumsum(edge)[:-1] > 0).astype(np.int8)
+        cuts = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))).reshape(-1, 2).tolist()
+        kept = np.frombuffer(raw, np.uint8)[gone == 0].tobytes()
+        return len(raw), int(gone.sum()), cuts, kept
+
     @F.pandas_udf(REPORT)
-    def report(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own in zip(texts, runs):
-            raw = utf8(text)
-            edge = np.zeros(len(raw) + 1, np.int64)
-            for x in own if own is not None else ():
-                edge[x["a"]] += 1
-                edge[x["b"]] -= 1
-            gone = (np.cumsum(edge)[:-1] > 0).astype(np.int8)
-            cuts = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))).reshape(-1, 2).tolist()
-            kept = np.frombuffer(raw, np.uint8)[gone == 0].tobytes()
-            rows.append((len(raw), int(gone.sum()), cuts, kept))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept"])
+    @tidy
+    def report(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, runs in parts:
+            rows = [row_of(text, own) for text, own in zip(texts, runs)]
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept"])
 
     columns = [c for c in docs.columns if c.lower() != out_col.lower()]
     row, own, told_id, told_mark, runs = (free_name(docs, f"_{name}") for name in ("row", "own", "id", "mark", "runs"))
@@ -554,8 +563,10 @@ def drop_repeats(docs: DataFrame, length: int = 50, text_col: str = "text", id_c
     found = find_repeats(docs, length, text_col, id_col, repeats)
 
     @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None else bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
+    @tidy
+    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for kept in parts:
+            yield pd.Series([None if k is None else bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
 
     cut = F.when(F.col(f"{repeats}.n_removed") > 0, decoded(f"{repeats}.kept")).otherwise(F.col(text_col))
     return found.withColumn(text_col, cut).select(*docs.columns)
