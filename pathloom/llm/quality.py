@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import free_name, saved, slices, tidy
+from pathloom.llm.common import free_name, give_back, saved, slices, tidy
 
 #: Most labelled rows that a fit looks at; those with the smallest hash of their id.
 SAMPLE = 8_000
@@ -177,7 +177,10 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, text_col: str
     if not rows:
         return None
     pairs = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows]
-    return fit_rows(pairs, np.array([r["_grade"] for r in rows]))
+    model = fit_rows(pairs, np.array([r["_grade"] for r in rows]))
+    del rows, pairs
+    give_back()  # the driver's part of the fit is over
+    return model
 
 
 def score(
