@@ -15,7 +15,7 @@ def range_of(key: str, width: int) -> Column:
     return F.expr(f"(`{key}` - pmod(`{key}`, {width}L)) div {width}L")
 
 
-def _in_order(df: DataFrame, *keys: str) -> DataFrame:
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` sorted over all tasks, with ``_part`` and ``_place``, its place within the part.
 
     Spark cuts the parts by sampled bounds on all keys, so neither sparse keys nor one that
@@ -30,7 +30,7 @@ def _in_order(df: DataFrame, *keys: str) -> DataFrame:
     return written.select(*df.columns, F.expr("shiftright(_id, 33)").alias("_part"), F.expr("_id & 8589934591L").alias("_place"))
 
 
-def _before(parts: DataFrame, *sums: str) -> DataFrame:
+def sums_before(parts: DataFrame, *sums: str) -> DataFrame:
     """Sums over the parts before each part; there is one row per task of the sort."""
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums])
@@ -42,8 +42,8 @@ def number_rows(df: DataFrame, key: str, tie: list[str] | None = None) -> DataFr
     Rows are sorted over all tasks and shifted by the row counts of earlier parts; no task
     has more than its part, and one row per part meets in one.
     """
-    rows = _in_order(df, key, *(tie or []))
-    starts = _before(rows.groupBy("_part").agg(F.count("*").alias("_rows")), "_rows")
+    rows = in_order(df, key, *(tie or []))
+    starts = sums_before(rows.groupBy("_part").agg(F.count("*").alias("_rows")), "_rows")
     numbered = rows.join(F.broadcast(starts), "_part")
     return numbered.select(*df.columns, (F.col("_rows_before") + F.col("_place") + 1).cast("long").alias("n"))
 
@@ -64,8 +64,8 @@ def crawl_count(files: DataFrame, root: str = "root") -> DataFrame:
     per_root = files.groupBy(root).agg(
         F.count("*").alias("entries"), F.count_if(F.col("error").isNotNull()).alias("errors")
     )
-    rows = _in_order(per_root, root)
-    starts = _before(rows.groupBy("_part").agg(F.sum("entries").alias("_sum")), "_sum")
+    rows = in_order(per_root, root)
+    starts = sums_before(rows.groupBy("_part").agg(F.sum("entries").alias("_sum")), "_sum")
     so_far = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("_own", F.sum("entries").over(so_far)).join(F.broadcast(starts), "_part")
     return summed.select(*per_root.columns, (F.col("_own") + F.col("_sum_before")).cast("long").alias("total"))

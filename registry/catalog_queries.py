@@ -208,6 +208,39 @@ def exclude_prefix(spark, sf_dir):
     return filters.exclude_prefix(watched, prefixes).select("event_id", "path")
 
 
+DEEP_SQL = f"""{NAMED_SQL},
+keys AS (SELECT doc_id, path || '/' || repeat('sub/', CAST(doc_id % 60 AS INTEGER)) || 'x' AS path FROM docs),
+ex AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN substr(path, 1, 18 + CAST(doc_id % 40 AS INTEGER)) ELSE path || repeat('/sub', CAST(doc_id % 60 AS INTEGER)) END AS prefix
+       FROM docs WHERE doc_id % 3 = 1)
+"""
+
+
+def _deep(spark, sf_dir):
+    """Paths of many depths and excludes of many lengths, some inside others."""
+    named = docs(spark, sf_dir)
+    times = F.expr("CAST(doc_id % 60 AS INT)")
+    keys = named.select("doc_id", F.concat("path", F.lit("/"), F.repeat(F.lit("sub/"), times), F.lit("x")).alias("path"))
+    cut = F.expr("substring(path, 1, CAST(18 + doc_id % 40 AS INT))")
+    prefix = F.when(F.col("doc_id") % 2 == 0, cut).otherwise(F.concat("path", F.repeat(F.lit("/sub"), times)))
+    return keys, named.where("doc_id % 3 = 1").select(prefix.alias("prefix"))
+
+
+@register(
+    "exclude_intervals",
+    f"WITH {DEEP_SQL} SELECT doc_id, path FROM keys WHERE NOT EXISTS (SELECT 1 FROM ex WHERE starts_with(path, prefix))",
+)
+def exclude_intervals(spark, sf_dir):
+    return filters.exclude_prefix(*_deep(spark, sf_dir))
+
+
+@register(
+    "exclude_components",
+    f"WITH {DEEP_SQL} SELECT doc_id, path FROM keys WHERE NOT EXISTS (SELECT 1 FROM ex WHERE path = prefix OR starts_with(path, rtrim(prefix, '/') || '/'))",
+)
+def exclude_components(spark, sf_dir):
+    return filters.exclude_prefix(*_deep(spark, sf_dir), component=True)
+
+
 ROOTS_SQL = f"""{FILES_SQL},
 roots AS (SELECT path FROM files WHERE regexp_matches(path, '^/[^/]+/*$')),
 ex AS (SELECT DISTINCT {ROOT} AS prefix FROM files WHERE contains(path, '/es/')

@@ -59,6 +59,47 @@ def test_component_match(spark):
     assert values(component) == ["/lib", "/lib/a"]
 
 
+@pytest.mark.parametrize("component", [False, True])
+@pytest.mark.parametrize("lengths", [32, 0])
+def test_component_forms_agree(spark, monkeypatch, lengths, component):
+    monkeypatch.setattr(filters, "INLINE_LENGTHS", lengths)
+    rng = random.Random(11)
+    part = lambda: rng.choice(["a", "ab", "a b", "天", "天地", "\U0001f600", ""])
+    paths = ["/" + "/".join(part() for _ in range(rng.randint(1, 4))) for _ in range(300)] + ["", "/", None, "/a"]
+    prefixes = ["/a", "/ab/", "/天", "/a b/a", "/a b//", "/a/a/a/a", "/\U0001f600/天", "/a"]
+
+    def hit(path, prefix):
+        return path == prefix or path.startswith(prefix.rstrip("/") + "/") if component else path.startswith(prefix)
+
+    want = sorted(p for p in paths if p is not None and not any(hit(p, x) for x in prefixes))
+    rows = frame(spark, paths).selectExpr("path", "'n' AS n", "1 AS `a.b`")
+    for given in (prefixes, frame(spark, prefixes + [None], "prefix")):
+        got = filters.exclude_prefix(rows, given, component=component)
+        assert got.columns == rows.columns
+        assert got.where("path IS NULL").count() == 1
+        assert values(got.where("path IS NOT NULL")) == want
+
+
+@pytest.mark.parametrize("lengths", [32, 0])
+def test_empty_tables_and_the_empty_prefix(spark, monkeypatch, lengths):
+    monkeypatch.setattr(filters, "INLINE_LENGTHS", lengths)
+    paths, none = frame(spark, ["/a", "", None]), frame(spark, [], "prefix")
+    assert paths.count() == filters.exclude_prefix(paths, none).count()
+    assert filters.exclude_prefix(frame(spark, []), frame(spark, ["/a"], "prefix")).count() == 0
+    left = filters.exclude_prefix(paths, frame(spark, ["", "/a"], "prefix"))
+    assert [r["path"] for r in left.collect()] == [None]
+
+
+def test_intervals_move_the_rows_and_not_their_prefixes(spark):
+    """A hundred thousand nested prefixes of 200 lengths: no row is multiplied by lengths."""
+    prefixes = spark.range(100_000).selectExpr("concat('/p', id % 500, repeat('/x', CAST(id % 200 AS INT)), '/', id) AS prefix")
+    rows = spark.range(3_000).selectExpr("concat('/p', id % 500, repeat('/x', CAST(id % 200 AS INT)), '/', id, '/f') AS path")
+    rows = rows.unionByName(spark.range(2_000).selectExpr("'/p1/hot/one' AS path"))
+    left = filters.exclude_prefix(rows, prefixes)
+    assert "Generate" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert left.count() == 2_000
+
+
 @pytest.mark.parametrize("as_frame", [False, True])
 def test_prune_equals_walk(spark, as_frame):
     rng = random.Random(3)
