@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
 from pathloom.functions import text as X
-from pathloom.operators import postings as I, ranking as R, results as O
+from pathloom.operators import lexicon, postings as I, ranking as R, results as O
 from pathloom.plans import search as S
 from pathloom.plans.build import crawl_entries, index_files, plan_roots
 from pathloom.operators.joins import restrict_scan
@@ -112,6 +112,63 @@ def doc_frequency(spark, sf_dir):
     return I.doc_frequency(I.build_postings(corpus(spark, sf_dir)))
 
 
+LEXICON_SQL = f"""{HAN_SQL},
+runs AS (SELECT unnest(regexp_extract_all(replace(name, ' ', ''), '\\p{{Han}}{{1,256}}')) AS run FROM han),
+starts AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs),
+sub AS (SELECT run, i, unnest(range(1, least(4, length(run) - i + 1) + 1)) AS k FROM starts),
+grams AS (SELECT substr(run, i, k) AS word, CASE WHEN i > 1 THEN substr(run, i - 1, 1) ELSE '' END AS before,
+                 CASE WHEN i + k <= length(run) THEN substr(run, i + k, 1) ELSE '' END AS after FROM sub),
+lefts AS (SELECT word, sum(c) AS n, round((ln(sum(c)) - sum(c * ln(c)) / sum(c)) * 1000) AS h
+          FROM (SELECT word, before, count(*) AS c FROM grams GROUP BY ALL) GROUP BY word),
+rights AS (SELECT word, round((ln(sum(c)) - sum(c * ln(c)) / sum(c)) * 1000) AS h
+           FROM (SELECT word, after, count(*) AS c FROM grams GROUP BY ALL) GROUP BY word),
+words AS (SELECT l.word, l.n::BIGINT AS n, least(l.h, r.h)::BIGINT AS freedom FROM lefts l JOIN rights r ON l.word = r.word),
+letters AS (SELECT sum(n)::DOUBLE AS total FROM words WHERE length(word) = 1),
+cuts AS (SELECT word, n, freedom, unnest(range(1, length(word))) AS k FROM words WHERE length(word) > 1),
+bound AS (SELECT c.word, c.n, c.freedom, round(min(ln(c.n::DOUBLE * total / (h.n::DOUBLE * t.n))) * 1000)::BIGINT AS cohesion
+          FROM cuts c JOIN words h ON h.word = substr(c.word, 1, c.k) JOIN words t ON t.word = substr(c.word, c.k + 1), letters
+          GROUP BY ALL),
+lex AS (
+  SELECT word, n, cohesion, freedom, round(-ln(n / total) * 1000)::BIGINT AS cost FROM (
+    SELECT word, n, freedom, cohesion FROM bound WHERE n >= 5 AND cohesion >= 1000 AND freedom >= 500
+    UNION ALL SELECT word, n, freedom, NULL FROM words WHERE length(word) = 1), letters)"""
+
+# The cheapest path letter by letter, then its words from the end to the start.
+SEGMENT_SQL = f"""{LEXICON_SQL},
+priced AS (SELECT run, map_from_entries(list({{'p': i * 16 + k, 'c': cost}})) AS costs
+           FROM (SELECT DISTINCT run, i, k FROM sub) JOIN lex ON word = substr(run, i, k) GROUP BY run),
+ahead AS (
+  SELECT run, costs, 0::BIGINT AS i, [{{'cost': 0::BIGINT, 'k': 0::BIGINT}}] AS best FROM priced
+  UNION ALL
+  SELECT run, costs, i + 1, list_append(best, list_sort(list_transform(range(1, least(4, i + 1) + 1), lambda k:
+    {{'cost': best[i + 2 - k].cost + coalesce(costs[(i + 2 - k) * 16 + k], 1125899906842624), 'k': k}}))[1])
+  FROM ahead WHERE i < length(run)),
+back AS (
+  SELECT run, best, i AS place, []::VARCHAR[] AS words FROM ahead WHERE i = length(run)
+  UNION ALL
+  SELECT run, best, place - best[place + 1].k, list_prepend(substr(run, place - best[place + 1].k + 1, best[place + 1].k), words)
+  FROM back WHERE place > 0),
+held AS (SELECT doc_id, regexp_extract_all(replace(name, ' ', ''), '\\p{{Han}}{{1,256}}') AS rs FROM han),
+each AS (SELECT doc_id, unnest(range(len(rs)))::INTEGER AS run_no, unnest(rs) AS run FROM held)
+SELECT doc_id, run_no, array_to_string(words, ' ') AS words FROM each JOIN back USING (run) WHERE place = 0"""
+
+
+def _joined_han(spark, sf_dir):
+    return han_names(spark, sf_dir).withColumn("name", F.replace("name", F.lit(" "), F.lit("")))
+
+
+@register("learn_lexicon", f"WITH {LEXICON_SQL} SELECT word, n, cohesion, freedom, cost FROM lex")
+def learn_lexicon(spark, sf_dir):
+    return lexicon.learn_lexicon(_joined_han(spark, sf_dir), "name")
+
+
+@register("segment_learned", f"WITH RECURSIVE {SEGMENT_SQL}")
+def segment_learned(spark, sf_dir):
+    names = _joined_han(spark, sf_dir)
+    cut = lexicon.segment(names, "name", lexicon.learn_lexicon(names, "name"))
+    return cut.withColumn("words", F.array_join("words", " "))
+
+
 CHANGED_SQL = f"""{NAMED_SQL},
 gone AS (SELECT DISTINCT path FROM docs JOIN part ON doc_id = p_partkey WHERE p_size > 45),
 changed AS (
