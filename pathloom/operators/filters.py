@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import parent
 from .joins import fits_broadcast, lookup_join
-from .numbering import in_order, sums_before
+from .numbering import _before, _in_order
 
 # A prefix list up to this length becomes one predicate that reaches the scan.
 INLINE_PREFIXES = 200
@@ -87,8 +87,8 @@ def _outside(df: DataFrame, key: str, prefixes: DataFrame, component: bool) -> D
         F.lit(0).cast("long").alias("_step"), F.lit(True).alias("_is_row"),
         F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_tie"),
     )
-    placed = in_order(rows.unionByName(marks, allowMissingColumns=True), "_pos", "_is_row", "_tie")
-    begun = sums_before(placed.groupBy("_part").agg(F.sum("_step").alias("_step")), "_step")
+    placed = _in_order(rows.unionByName(marks, allowMissingColumns=True), "_pos", "_is_row", "_tie")
+    begun = _before(placed.groupBy("_part").agg(F.sum("_step").alias("_step")), "_step")
     so_far = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     depth = F.col("_open") + F.col("_step_before")
     summed = placed.withColumn("_open", F.sum("_step").over(so_far)).join(F.broadcast(begun), "_part")
