@@ -1,5 +1,6 @@
 """SimHash near-duplicates and substring dedup against brute force."""
 
+import os
 import random
 import re
 
@@ -126,6 +127,19 @@ def test_suffixes_stand_in_order_with_their_common_prefixes():
             assert lcp[r] == same
 
 
+def test_suffixes_of_more_than_255_bytes_stand_in_order():
+    rng = random.Random(14)
+    core = bytes(rng.choices(b"ab", k=300))
+    strings = [core, b"a" + core, core[:290] + b"c", bytes(rng.choices(b"ab", k=3)), b""]
+    owner, size, lcp, bwt = suffix_dedup.column_order(strings)
+    rows = [strings[i][len(strings[i]) - t :] for i, t in zip(owner, size)]
+    assert rows == sorted(s[i:] for s in strings for i in range(len(s) + 1))
+    for i, t, symbol in zip(owner, size, bwt):
+        assert symbol == (strings[i][len(strings[i]) - t - 1] + 1 if t < len(strings[i]) else 0)
+    for r in range(1, len(rows)):
+        assert lcp[r] == len(os.path.commonprefix([rows[r - 1], rows[r]]))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(10)
     core = bytes(rng.choices(range(97, 123), k=200))
@@ -208,6 +222,16 @@ def test_common_anchors_keep_all_their_strings_together(spark, frame, monkeypatc
     assert {r.doc_id: r.repeats.n_removed for r in found} == {i: int(want[str(i), t].sum()) for i, t in enumerate(texts)}
 
 
+def test_repeats_of_long_strings_are_those_of_brute_force(frame):
+    rng = random.Random(15)
+    core = "".join(rng.choices("abcdefghij", k=700))
+    rows = [(i, "".join(rng.choices("abcdefghij", k=150)) + core[rng.randint(0, 300) : rng.randint(500, 700)]) for i in range(12)]
+    want = brute_repeats(rows, 200)
+    found = suffix_dedup.find_repeats(frame(rows, "doc_id long, text string"), length=200).collect()
+    assert {r.doc_id: r.repeats.n_removed for r in found} == {i: int(want[str(i), t].sum()) for i, t in rows}
+    assert any(r.repeats.n_removed for r in found)
+
+
 def test_texts_of_one_id_are_all_told_of_an_earlier_document(spark):
     rng = random.Random(13)
     word = lambda n: "".join(rng.choices("abcdefghij", k=n))
