@@ -1,6 +1,7 @@
 """Whitening against plain integer arithmetic, and odd vectors."""
 
 import math
+import os
 import random
 from fractions import Fraction
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm import whitening
+from pathloom.llm import queries, whitening
 
 
 def brute(vectors):
@@ -105,3 +106,12 @@ def test_empty_tables(frame, spark):
         assert whitening.fit(df) == {}
         out = whitening.components(df)
         assert out.count() == 0 and out.columns[1] == "component"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_query_returns_four_rows_of_each_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding IS NOT NULL").count()
+    rows = queries.QUERIES["op11_embedding_whitening"](spark, sf).select("vec_id", "component").collect()
+    assert vectors and len(rows) == len(set(rows)) == 4 * vectors
+    assert {r.component for r in rows} == {1, 2, 3, 4}
