@@ -25,8 +25,9 @@ BLOCKS = _table(
     ("positions", T.ArrayType(_LIST)), ("max_tf", _I), ("min_dl", _I), ("segment", _S), ("bucket", _I),
 )
 TERMS = _table(("term", _S), ("df", _L), ("max_tf", _I), ("min_dl", _I), ("segment", _S), ("bucket", _I))
-# The documents once more by hash of their path; ``slot`` is that hash modulo the slots of the segment.
-PATHS = _table(("doc_id", _L), ("path", _S), ("name", _S), ("dl", _I), ("segment", _S), ("slot", _I))
+# The documents once more by hash of their path; ``slot`` is that hash modulo the slots of the segment. ``own`` tells
+# that the name does not follow from the path; it is NULL in segments of before that column.
+PATHS = _table(("doc_id", _L), ("path", _S), ("own", _B), ("dl", _I), ("segment", _S), ("slot", _I))
 DEAD = DOCS
 
 # ``exists_after[i]`` tells whether ``paths[i]`` was present after the event.

@@ -13,7 +13,8 @@ Folders:
   single task;
 * ``terms/segment=S/bucket=N/``: signed document counts, added up over segments, and bounds of weights;
 * ``docs/segment=S/`` in id order; ``paths/segment=S/slot=N/`` the same by hash of the path, which
-  finds paths without reading other slots; ``dead/segment=S/`` removed documents.
+  finds paths without reading other slots, and without the names, which are texts of any length;
+  ``dead/segment=S/`` removed documents.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import derive_name
 from ..functions.text import tokenize
-from ..operators.joins import lookup_join
-from ..operators.postings import GATHERED, block_of, block_rows, gather_blocks, term_bounds, term_bucket, token_postings
+from ..operators.joins import lookup_join, restrict_scan
+from ..operators.postings import GATHERED, block_rows, gather_blocks, packed_rows, packed_tokens, term_bounds, term_bucket
 from ..operators.ranking import IndexView
 from ..schemas import BLOCKS, DEAD, DOCS, PATHS, TERMS
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_shuffles
 from .storage import list_names, publish_text, read_text
 
 MAX_ID = 1 << 62
@@ -172,16 +173,19 @@ class IndexTable:
             return self
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         gone = self._write_dead(segment, deletes) if deletes is not None else None
-        new = self._tokens(adds) if adds is not None else None
+        new = None
+        if adds is not None:
+            # The ids are fixed by this write; all later steps read it.
+            write_docs(self._named(adds), self._folder("docs", segment))
+            new = self._read(DOCS, "docs", [segment])
         added, added_tokens, last_id = _totals(new)
         removed, removed_tokens, _ = _totals(gone)
 
         changed, slots = [], slots_of(added)
         if new is not None:
-            docs = new.drop("tokens")
-            write_docs(docs, self._folder("docs", segment))
-            write_paths(docs, self._folder("paths", segment), slots)
-            write_postings(token_postings(new), self._folder("postings", segment), g.buckets, added_tokens, self._frequent(new, added, added_tokens))
+            write_paths(new.drop("segment"), self._folder("paths", segment), slots)
+            frequent = self._frequent(new, added, added_tokens)
+            write_postings(packed_tokens(self._cut(new), frequent), self._folder("postings", segment), g.buckets, added_tokens, frequent)
             changed.append(term_bounds(self._read(BLOCKS, "postings", [segment])))
         if gone is not None:
             words = gone.select(F.explode(F.array_distinct(tokenize("name", g.tokenizer))).alias("term"))
@@ -204,19 +208,22 @@ class IndexTable:
             feeds={**g.feeds, feed: stream[0]} if stream and feed else g.feeds,
         ))._publish()
 
-    def _tokens(self, adds: DataFrame) -> DataFrame:
-        """``adds`` with ids, names and tokens, cut once: all that a commit writes comes from these rows."""
+    def _named(self, adds: DataFrame) -> DataFrame:
+        """``adds`` with ids, names and lengths."""
         name = F.col("name") if "name" in adds.columns else derive_name("path")
         if "doc_id" in adds.columns:
             doc_id = F.col("doc_id")
         else:
             if self.generation.next_id > MAX_ID:
                 raise OverflowError("document ids are used up; rebuild the index")
-            # Unique without a global order; fixed by this write, which all later steps read.
+            # Unique without a global order; fixed by the write of the documents.
             doc_id = F.lit(self.generation.next_id) + F.monotonically_increasing_id()
         rows = adds.select(doc_id.cast("long").alias("doc_id"), "path", name.alias("name"))
-        tokens = rows.withColumn("tokens", tokenize("name", self.generation.tokenizer))
-        return cut_lineage(tokens.select("doc_id", "path", "name", F.size("tokens").alias("dl"), "tokens"))
+        return rows.withColumn("dl", F.size(tokenize("name", self.generation.tokenizer)))
+
+    def _cut(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, tokens): cut again from the written names, as tokens take several times their room."""
+        return docs.select("doc_id", tokenize("name", self.generation.tokenizer).alias("tokens"))
 
     def _frequent(self, new: DataFrame, docs: int, tokens: int) -> list[str]:
         """Terms that a part of the postings would not hold, as a sample of about ``SAMPLE_DOCS`` documents shows.
@@ -227,7 +234,7 @@ class IndexTable:
         if docs <= tokens / parts / 4:
             return []
         share = min(1.0, SAMPLE_DOCS / docs)
-        seen = new.sample(share, seed=7) if share < 1 else new
+        seen = self._cut(new.select("doc_id", "name").sample(share, seed=7) if share < 1 else new)
         counts = seen.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").count()
         least = max(2.0, tokens / parts / 4 * share)
         return [r["term"] for r in counts.where(F.col("count") > least).orderBy(F.desc("count"), "term").limit(4 * parts).collect()]
@@ -236,7 +243,8 @@ class IndexTable:
         """Stored documents, removed ones included, in the slots of the path table that ``paths`` fall into.
 
         However many paths there are, the slots are partition filters: of a large segment only those
-        are read. There are as many slot numbers as slots at most.
+        are read. There are as many slot numbers as slots at most. ``own`` tells that the name of a document does not
+        follow from its path.
         """
         g = self.generation
         out = None
@@ -250,8 +258,17 @@ class IndexTable:
 
     def _write_dead(self, segment: str, deletes: DataFrame) -> DataFrame:
         paths = cut_lineage(deletes.select("path").distinct())
-        dead = lookup_join(self._alive(self.stored_paths(paths)), paths, "path", "left_semi", spread=F.xxhash64("doc_id"))
-        dead.drop("segment").write.parquet(self._folder("dead", segment))
+        found = lookup_join(self._alive(self.stored_paths(paths)), paths, "path", "left_semi", spread=F.xxhash64("doc_id"))
+        found = cut_lineage(found.withColumn("own", F.coalesce("own", F.lit(True))))
+        dead, key = found.select("doc_id", "path", derive_name("path").alias("name"), "dl"), ["segment", "doc_id", "path"]
+        named = found.where("own").select(*key).distinct()
+        if not named.isEmpty():
+            # All documents of these keys from where their names are, in the place of the rows found.
+            rest = lookup_join(found, named, key, "left_anti", spread=F.xxhash64("doc_id"))
+            docs = restrict_scan(self._read(DOCS, "docs", self.generation.docs), "doc_id", named)
+            docs = lookup_join(docs, named, key, "left_semi", spread=F.xxhash64("doc_id"))
+            dead = rest.select("doc_id", "path", derive_name("path").alias("name"), "dl").unionByName(docs.select("doc_id", "path", "name", "dl"))
+        dead.write.parquet(self._folder("dead", segment))
         return self._read(DEAD, "dead", [segment])
 
     def reset(self) -> IndexTable:
@@ -268,7 +285,7 @@ class IndexTable:
         segment = f"{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         docs = self.docs().drop("segment")
         write_docs(docs, self._folder("docs", segment))
-        write_paths(docs, self._folder("paths", segment), slots_of(g.n_docs))
+        write_paths(self._read(DOCS, "docs", [segment]).drop("segment"), self._folder("paths", segment), slots_of(g.n_docs))
         self._write_merged(segment, g.docs, g.n_tokens)
         write_terms([self.terms().drop("bucket")], self._folder("terms", segment), g.buckets)
         return IndexTable(self.spark, self.root, replace(
@@ -284,7 +301,7 @@ class IndexTable:
             wide = counts.where(F.col("df") > tokens / parts / 4).orderBy(F.desc("df"), "term").limit(4 * parts)
             frequent = [r["term"] for r in wide.collect()]
         postings = self._alive(block_rows(self._read(BLOCKS, "postings", older))).drop("segment", "bucket")
-        write_postings(postings, self._folder("postings", segment), self.generation.buckets, tokens, frequent)
+        write_postings(packed_rows(postings, frequent), self._folder("postings", segment), self.generation.buckets, tokens, frequent)
 
     def merge_tail(self, fanout: int = 8) -> IndexTable:
         """Fold the newest commits into a segment of the next tier, once they weigh as much as ``fanout`` of theirs.
@@ -307,10 +324,10 @@ class IndexTable:
         docs, dead = [s for s in tail if s in g.docs], [s for s in tail if s in g.dead]
         slots = 1
         if docs:
-            live = cut_lineage(self._alive(self._read(DOCS, "docs", docs)).drop("segment"))
+            write_docs(self._alive(self._read(DOCS, "docs", docs)).drop("segment"), self._folder("docs", segment))
+            live = self._read(DOCS, "docs", [segment]).drop("segment")
             rows, tokens, _ = _totals(live)
             slots = slots_of(rows)
-            write_docs(live, self._folder("docs", segment))
             write_paths(live, self._folder("paths", segment), slots)
             self._write_merged(segment, docs, tokens)
         if dead:
@@ -362,9 +379,16 @@ def parts_of(spark: SparkSession, tokens: int) -> int:
     return max(math.ceil(tokens * TOKEN_BYTES / advisory), min(shuffle, math.ceil(tokens / 50_000)), 1)
 
 
+def store(rows: DataFrame, path: str, *folders: str) -> None:
+    """Write a part of the index; shuffle files go with the write instead of staying until the driver collects its garbage."""
+    writer = rows.write.option("compression", "zstd")
+    with drop_shuffles(rows.sparkSession):
+        (writer.partitionBy(*folders) if folders else writer).parquet(path)
+
+
 def write_docs(docs: DataFrame, path: str) -> None:
     """Documents in id order per file."""
-    docs.sortWithinPartitions("doc_id").write.parquet(path)
+    store(docs.sortWithinPartitions("doc_id"), path)
 
 
 def write_paths(docs: DataFrame, path: str, slots: int) -> None:
@@ -372,30 +396,34 @@ def write_paths(docs: DataFrame, path: str, slots: int) -> None:
 
     A path that very many documents share is split with its slot at the advisory partition size.
     """
-    placed = docs.withColumn("slot", slot_of("path", slots))
+    own = ~F.col("name").eqNullSafe(derive_name("path"))
+    placed = docs.select("doc_id", "path", own.alias("own"), "dl", slot_of("path", slots))
     placed = placed.hint("rebalance", "slot") if slots > 1 else placed.hint("rebalance")
-    placed.sortWithinPartitions("slot", "path").write.partitionBy("slot").parquet(path)
+    store(placed.sortWithinPartitions("slot", "path"), path, "slot")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int, tokens: int, frequent: list[str]) -> None:
+def write_postings(packed: DataFrame, path: str, buckets: int, tokens: int, frequent: list[str]) -> None:
     """Posting blocks in term buckets as folders, each file sorted by term and block.
 
-    One shuffle deals the rows, and blocks are gathered from sorted rows. All rows of a term go to one task, so a term is in one
+    One shuffle deals packed postings, and blocks are gathered from sorted rows. All rows of a term go to one task, so a term is in one
     file; those of the listed frequent terms are dealt by block. A bucket that is larger than a part
     is divided by a second hash of the term.
     """
-    parts = parts_of(postings.sparkSession, tokens)
+    parts = parts_of(packed.sparkSession, tokens)
     divisions = math.ceil(parts / buckets)
     division = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(divisions)).cast("int")
     if frequent:
         # Blocks that lie together stay together, four to a file at least.
-        of_block = F.pmod(F.xxhash64(F.shiftright(block_of(), 2)), F.lit(parts)).cast("int")
-        division = F.when(F.col("term").isin(frequent), F.lit(divisions) + of_block).otherwise(division)
-    rows = postings.select(term_bucket("term", buckets).alias("bucket"), "term", "doc_id", "tf", "dl", "positions")
-    placed = rows.repartition(parts, "bucket", division).sortWithinPartitions("bucket", "term", "doc_id")
+        of_span = F.pmod(F.xxhash64("span"), F.lit(parts)).cast("int")
+        division = F.when(F.col("term").isin(frequent), F.lit(divisions) + of_span).otherwise(division)
+    # One number tells bucket and division, as there are very many short rows.
+    place = term_bucket("term", buckets) + F.lit(buckets).cast("long") * division
+    rows = packed.select(place.alias("place"), "term", "first", "packed").repartition(parts, "place")
+    rows = rows.select(F.pmod("place", F.lit(buckets)).cast("int").alias("bucket"), "term", "first", "packed")
+    placed = rows.sortWithinPartitions("bucket", "term", "first")
     # The rows of a task are in the order of the folders, so the writer need not sort them again.
     blocks = placed.mapInArrow(gather_blocks, GATHERED)
-    blocks.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
+    store(blocks.sortWithinPartitions("bucket"), path, "bucket")
 
 
 def write_terms(counts: list[DataFrame], path: str, buckets: int) -> None:
@@ -405,10 +433,5 @@ def write_terms(counts: list[DataFrame], path: str, buckets: int) -> None:
         merged = merged.unionByName(more)
     if len(counts) > 1:
         merged = merged.groupBy("term").agg(*summed())
-    (
-        merged.where("df <> 0")
-        .withColumn("bucket", term_bucket("term", buckets))
-        .hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "term")
-        .write.partitionBy("bucket").parquet(path)
-    )
+    placed = merged.where("df <> 0").withColumn("bucket", term_bucket("term", buckets)).hint("rebalance", "bucket")
+    store(placed.sortWithinPartitions("bucket", "term"), path, "bucket")
