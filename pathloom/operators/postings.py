@@ -89,6 +89,10 @@ def offset_of(doc_id: Column | str = "doc_id") -> Column:
     return doc_id.bitwiseAND(F.lit(BLOCK - 1).cast("long")).cast("int")
 
 
+def id_of(block: str, offset: str) -> Column:
+    return F.shiftleft(block, BLOCK.bit_length() - 1) + F.col(offset)
+
+
 def block_postings(postings: DataFrame) -> DataFrame:
     """One row per term and block of document ids, with the bounds of its weights.
 
@@ -329,12 +333,11 @@ GATHERED = (
 )
 
 
-def block_rows(blocks: DataFrame, positions: bool = True) -> DataFrame:
-    """One row per document again, in the place of the lists. Lists that are not used are not read."""
-    lists = {"offsets", "tfs", "dls", "positions", "block", "n", "max_tf", "min_dl"}
+def block_rows(blocks: DataFrame, positions: bool = True, block: bool = False) -> DataFrame:
+    """One row per document again, in the place of the lists. Lists that are not used are not read. ``block`` stays if asked."""
+    lists = {"offsets", "tfs", "dls", "positions", "n", "max_tf", "min_dl"} | (set() if block else {"block"})
     rows = blocks.select("*", F.posexplode("offsets").alias("_i", "_offset"))
-    doc_id = F.shiftleft("block", BLOCK.bit_length() - 1) + F.col("_offset")
-    columns = [doc_id.alias("doc_id"), F.get("tfs", "_i").alias("tf"), F.get("dls", "_i").alias("dl")]
+    columns = [id_of("block", "_offset").alias("doc_id"), F.get("tfs", "_i").alias("tf"), F.get("dls", "_i").alias("dl")]
     columns += [F.get("positions", "_i").alias("positions")] if positions else []
     return rows.select(*[c for c in blocks.columns if c not in lists], *columns)
 

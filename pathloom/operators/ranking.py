@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -11,7 +11,7 @@ from ..functions.text import tokenize
 from ..functions.values import normalize_query
 from ..session import cut_lineage
 from .joins import fits_broadcast, lookup_join
-from .postings import block_of, block_postings, block_rows, corpus_stats, offset_of, term_bounds, term_bucket
+from .postings import block_of, block_postings, block_rows, corpus_stats, id_of, offset_of, term_bounds, term_bucket
 
 # Fixed values of the ranking function and the result page.
 K1, B = 1.2, 0.75
@@ -160,6 +160,8 @@ class Matching:
     key: list[str]  # what joins both
     small: bool  # whether ``known`` may be broadcast
     phrases: bool
+    dealt: bool = False  # whether hits are dealt by block, which they keep
+    folded: bool = False  # whether hits stay blocks, with removed documents
 
     @property
     def place(self) -> list[str]:
@@ -169,13 +171,22 @@ class Matching:
     def hits(self, wanted: DataFrame, positions: bool = False) -> DataFrame:
         """All documents of the terms of ``wanted``, with its columns: blocks are joined first and opened then."""
         lists = ["offsets", "tfs", "dls", *(["positions"] if positions else [])]
-        joined = lookup_join(
-            self.blocks.select(*self.place, *lists), wanted, self.key,
-            spread=F.xxhash64("block"), small=self.small,
-        )
-        return self.view.alive(block_rows(joined, positions))
+        blocks = self.blocks.select(*self.place, *lists)
+        if self.dealt and self.small:
+            blocks = lookup_join(blocks, wanted, self.key, "left_semi", small=True).repartition("block")
+        joined = lookup_join(blocks, wanted, self.key, spread=F.xxhash64("block"), small=self.small)
+        return joined if self.folded else self.view.alive(block_rows(joined, positions, block=self.dealt))
+
+    def sums(self, wanted: DataFrame, value: Column, *more: str) -> DataFrame:
+        """(query_id, ``more``, doc_id, score): ``value`` of all documents of the terms of ``wanted``, added up.
 
-    def look_up(self, wanted: DataFrame, terms: DataFrame, positions: bool = False) -> DataFrame:
+        A document is in one block of ids. So the blocks of the asked terms are dealt by their number, each once however many
+        queries ask for it, and the sums need no other shuffle, which would move a row per query and document from each task.
+        """
+        rows = replace(self, dealt=True).hits(wanted)
+        return rows.groupBy("query_id", "block", *more, "doc_id").agg(F.sum(value).alias("score")).drop("block")
+
+    def look_up(self, wanted: DataFrame, terms: DataFrame) -> DataFrame:
         """``wanted`` (key, doc_id [, segment], ...) with tf where the document has the term.
 
         ``terms`` has the keys that occur in ``wanted``; other blocks are not moved.
@@ -183,17 +194,14 @@ class Matching:
         A block is found by an equality join and the document in it by its place in the list: no postings
         are opened. The segment of a candidate is that of its live version, so removed ones are not met.
         """
-        lists = ["offsets", "tfs", *(["positions"] if positions else [])]
-        blocks = lookup_join(self.blocks.select(*self.place, *lists), terms, self.key, "left_semi", spread=F.xxhash64("block"), small=self.small)
+        blocks = lookup_join(self.blocks.select(*self.place, "offsets", "tfs"), terms, self.key, "left_semi", spread=F.xxhash64("block"), small=self.small)
         found = wanted.withColumn("block", block_of()).join(blocks, self.place)
         at = F.array_position("offsets", offset_of())
         found = found.withColumn("_at", at.cast("int") - 1).where("_at >= 0")
-        columns = [F.get("tfs", F.col("_at")).alias("tf")]
-        columns += [F.get("positions", F.col("_at")).alias("positions")] if positions else []
-        return found.select(*wanted.columns, *columns)
+        return found.select(*wanted.columns, F.get("tfs", F.col("_at")).alias("tf"))
 
     def only(self, known: DataFrame) -> Matching:
-        return Matching(self.view, self.blocks, known, self.key, self.small, self.phrases)
+        return replace(self, known=known)
 
 
 def match_terms(view: IndexView, clauses: DataFrame | QueryTerms, small: bool | None = None) -> Matching:
@@ -244,9 +252,9 @@ def _all_hits(m: Matching, more: tuple[str, ...] = ()) -> DataFrame:
 def phrase_hits(m: Matching) -> DataFrame:
     """Documents where the terms of a phrase stand in order.
 
-    The rarest term of each phrase proposes (document, start) candidates; every other
-    term of the phrase is then looked up in just those documents, by (term, block of documents),
-    which no frequent word can skew. Positions are taken out of a block for documents that have both.
+    The rarest term of each phrase proposes (document, start) candidates, as whole blocks; every other
+    term of the phrase is then looked up in just those blocks, by (term, block of documents),
+    which no frequent word can skew. Blocks are opened where they met, for documents that have both.
     """
     # Sized like the queries and used below several times: written once. Of equal phrases one is matched.
     of_term = F.struct("offset", *m.key, "df", "idf")
@@ -258,17 +266,27 @@ def phrase_hits(m: Matching) -> DataFrame:
     )
     ranked = cut_lineage(ranked)
     segment = [c for c in m.place if c == "segment"]
-    starts = F.transform("positions", lambda p: p - F.col("offset"))
-    lead = m.hits(ranked.where("offset = first"), positions=True).select(
-        "phrase", *segment, "doc_id", "dl", "n_terms", starts.alias("starts")
+    # Positions travel as one list beside their counts, which takes a quarter of the room of a list of lists.
+    starts = F.transform(F.flatten("positions"), lambda p: p - F.col("offset"))
+    lead = replace(m, folded=True).hits(ranked.where("offset = first"), positions=True).select(
+        "phrase", *segment, "block", "n_terms", F.col("offsets").alias("lead_offsets"), "dls", F.col("tfs").alias("lead_tfs"), starts.alias("starts")
     )
     others = ranked.where("offset <> first").select(*m.key, "phrase", "offset")
-    wanted = lookup_join(lead, others, "phrase", spread=F.xxhash64("doc_id"), small=m.small)
+    # A block of the rarest term is one row, whatever documents of it have the term.
+    wanted = lookup_join(lead, others, "phrase", spread=F.xxhash64("block"), small=m.small)
+    stored = m.blocks.select(*m.place, "offsets", "tfs", F.flatten("positions").alias("positions"))
+    theirs = lookup_join(stored, others, m.key, "left_semi", spread=F.xxhash64("block"), small=m.small)
+    both = wanted.join(theirs, m.place).select("*", F.posexplode("lead_offsets").alias("_i", "_offset"))
+    both = both.withColumn("_at", F.array_position("offsets", F.col("_offset")).cast("int") - 1).where("_at >= 0")
+    rows = both.select(
+        "phrase", *segment, id_of("block", "_offset").alias("doc_id"), F.get("dls", "_i").alias("dl"), "n_terms", "offset",
+        _own("starts", "lead_tfs", "_i"), _own("positions", "tfs", "_at"),
+    )
     # One row per start where a term agrees with the rarest one: few, and counted before
     # the shuffle. A start that all other terms agree on is an occurrence of the phrase.
     # The short list is shifted and hashed, the long one only walked.
     expected = F.transform("starts", lambda p: p + F.col("offset"))
-    met = m.look_up(wanted, others, positions=True).withColumn("met", F.array_intersect("positions", expected))
+    met = m.view.alive(rows).withColumn("met", F.array_intersect("positions", expected))
     of_hit = ["phrase", *segment, "doc_id", "dl"]
     # With two terms each meeting place is an occurrence; more terms have to agree on the start.
     pairs = met.where("n_terms = 2").select(*of_hit, F.size("met").alias("tf")).where("tf > 0")
@@ -285,6 +303,13 @@ def phrase_hits(m: Matching) -> DataFrame:
     return lookup_join(found, askers, "phrase", spread=F.xxhash64("doc_id"), small=m.small)
 
 
+def _own(flat: str, counts: str, at: str) -> Column:
+    """The entries of the ``at``-th of the lists that were flattened, by their lengths."""
+    # Also read for rows that a later filter drops, where ``at`` is -1.
+    before = F.aggregate(F.slice(counts, F.lit(1), F.greatest(F.col(at), F.lit(0))), F.lit(0), lambda total, n: total + n)
+    return F.slice(flat, before + 1, F.get(counts, at)).alias(flat)
+
+
 def _any_longer(phrases: DataFrame) -> bool:
     return not phrases.where("n_terms > 2").isEmpty()
 
@@ -373,7 +398,12 @@ def best_hits(view: IndexView, clauses: DataFrame, k: int = TOP_K, most: int | N
     m = m.only(cut_lineage(m.known))
     postings = m.known.agg(F.sum("df")).first()[0] or 0
     if postings <= (PLAIN_POSTINGS if most is None else most):
-        return top_k(any_term_scores(view, _all_hits(m)), k)
+        value = bm25(F.col("idf"), F.col("tf"), F.col("dl"), view.avg_len)
+        scored = m.sums(m.known.where("n_terms = 1").select(*m.key, "query_id", "idf"), value)
+        if m.phrases:
+            more = phrase_hits(m).select("query_id", "doc_id", value.alias("score"))
+            scored = scored.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        return top_k(scored, k)
     return bounded_top_k(m, k)
 
 
@@ -406,25 +436,23 @@ def bounded_top_k(m: Matching, k: int = TOP_K) -> DataFrame:
     value = bm25(F.col("idf"), F.col("tf"), F.col("dl"), view.avg_len) * F.col("times")
     asked = [*m.key, "query_id", "idf", "times"]
 
-    def partial(terms: DataFrame) -> DataFrame:
-        return m.hits(terms.select(*asked)).select("query_id", *segment, "doc_id", "dl", value.alias("w"))
-
-    def sums(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("query_id", *segment, "doc_id", "dl").agg(F.sum("w").alias("score"))
+    def sums(terms: DataFrame) -> DataFrame:
+        return m.sums(terms.select(*asked), value, *segment, "dl")
 
     def reached(rows: DataFrame) -> DataFrame:
         """(query_id, least): the score of the k-th document so far; less a little for rounding."""
         kth = top_k(rows.select("query_id", "doc_id", "score"), k).where(F.col("rank") == k)
         return kth.select("query_id", (F.col("score") - 1e-5).alias("least"))
 
-    first = cut_lineage(reached(sums(partial(single.where(F.col("rarer") < LEADING * k)))))
+    first = cut_lineage(reached(sums(single.where(F.col("rarer") < LEADING * k))))
     levels = lookup_join(single, first, "query_id", "left", spread=F.xxhash64("term"), small=m.small or None)
     levels = cut_lineage(levels.withColumn("weak", F.coalesce(F.col("weak_sum") < F.col("least"), F.lit(False))))
-    rows = partial(levels.where("NOT weak"))
+    strong = sums(levels.where("NOT weak"))
     if m.phrases:
         weight = bm25(F.col("idf"), F.col("tf"), F.col("dl"), view.avg_len)
-        rows = rows.unionByName(phrase_hits(m).select("query_id", *segment, "doc_id", "dl", weight.alias("w")))
-    strong = cut_lineage(sums(rows))
+        strong = strong.unionByName(phrase_hits(m).select("query_id", *segment, "doc_id", "dl", weight.alias("score")))
+        strong = strong.groupBy("query_id", *segment, "doc_id", "dl").agg(F.sum("score").alias("score"))
+    strong = cut_lineage(strong)
     weak = levels.where("weak")
     slack = weak.groupBy("query_id").agg(F.sum("bound").alias("slack"))
     limits = lookup_join(

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import postings as P
+from pathloom.operators import postings as P, ranking as R
 from pathloom.session import cut_lineage, work_dir
 from pathloom.sources import index_table
 from pathloom.sources.index_table import IndexTable
@@ -69,3 +69,23 @@ def test_deletes_find_the_names_of_texts(spark):
     left = index.commit(deletes=spark.createDataFrame([("/d/a.txt",), ("/d/b",), ("/d/c",)], "path string"))
     assert sorted(map(tuple, left.terms().select("term", "df").collect())) == [("red", 1), ("x", 1)]
     assert (left.num_docs(), left.generation.n_tokens) == (1, 2) and left.docs().select(F.max("path")).first()[0] == "/d/keep"
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_batches_shuffle_blocks_not_hits(spark, monkeypatch, most):
+    """Each posting block is moved once however many requests ask for its term; scores are those of all hits."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i * 3, f"/t/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, name string")
+    view = IndexTable.create(spark, work_dir(spark, "ix"), buckets=3).commit(adds=docs).view()
+    asked = spark.createDataFrame([(q, f"w1 w2 w{q} w{q + 1}_w1") for q in range(20)], "query_id long, q string")
+    terms = cut_lineage(R.clause_terms(R.word_clauses(asked), optional=True))
+    summed = []
+    sums = R.Matching.sums
+    monkeypatch.setattr(R.Matching, "sums", lambda m, *args: (summed.append(sums(m, *args)), summed[-1])[1])
+    row = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    assert row(R.best_hits(view, terms, 10, most=most)) == row(R.top_k(R.any_term_scores(view, R.clause_hits(view, terms)), 10))
+    assert summed
+    for df in summed:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(block#") == 1
